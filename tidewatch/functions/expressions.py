@@ -82,7 +82,7 @@ def near_ceiling_note(accuracy: Column, threshold: float) -> Column:
     """A caution beside an accuracy at or above ``threshold``, null below it."""
     text = F.format_string(
         "accuracy %.4f is at or above %.4f: read macro-F1 and the false-positive rate instead",
-        accuracy,
+        F.bround(accuracy, 4),
         F.lit(threshold),
     )
     return (

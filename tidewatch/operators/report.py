@@ -22,10 +22,9 @@ def _measured(value: Column) -> Column:
 def seed_summary(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Mean and population deviation over seeds, NaN skipped, with the usual text line."""
     measured = _measured(F.col(value))
-    # Rounded before printing: a sum in another order must not print another digit.
     text = F.format_string(
         f"{name}: %.4f +/- %.4f (n=%d)",
-        F.round("mean", 9), F.round("std", 9), F.col("n_values"),
+        F.bround("mean", 4), F.bround("std", 4), F.col("n_values"),
     )
     return (
         df.groupBy(*keys)

@@ -183,12 +183,12 @@ def cloud_accept(
 def alert_log(
     alerts: DataFrame, edge: str, device: str, counter: str, order: str, bits: int = CHUNK_BITS
 ) -> DataFrame:
-    """(edge, sequence, reason) in arrival order, numbered from 1 within each edge."""
+    """(edge, sequence, reason) in arrival order, numbered from 1 over the whole log."""
     empty = F.raise_error(F.lit("edge_id must be non-empty")).cast("string")
     named = alerts.withColumn(
         edge, F.when(F.length(edge) > 0, F.col(edge)).otherwise(empty)
     )
-    numbered = by_position(named, [edge], order, {"sequence": running_count()}, bits)
+    numbered = by_position(named, [], order, {"sequence": running_count()}, bits)
     return numbered.select(
         order, edge, "sequence", alert_reason(F.col(device), F.col(counter)).alias("reason")
     )
