@@ -1,8 +1,8 @@
 """Named queries over the driver tables, each with its check in SQL where SQL can say it."""
 
-from tidewatch.plans import scans
+from tidewatch.plans import scans, sequences, splits
 
-_AREAS = (scans,)
+_AREAS = (scans, splits, sequences)
 QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLES = {name: text for area in _AREAS for name, text in area.ORACLES.items()}
-flagship = None
+flagship = sequences.split_train_windows
