@@ -22,6 +22,10 @@ def _fractional(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
 
 
+def _double(name: str) -> Column:
+    return F.col(f"`{name}`").cast("double")
+
+
 def missing(df: DataFrame, name: str) -> Column:
     """Null, or NaN in a fractional column."""
     column = F.col(f"`{name}`")
@@ -119,10 +123,10 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(
             F.lit(a).alias("a"),
             F.lit(b).alias("b"),
-            F.nanvl(
-                F.coalesce(
-                    F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")),
-                    F.lit(0.0),
+            F.coalesce(
+                F.try_divide(
+                    F.covar_pop(_double(a), _double(b)),
+                    F.stddev_pop(_double(a)) * F.stddev_pop(_double(b)),
                 ),
                 F.lit(0.0),
             ).alias("r"),
