@@ -1,4 +1,4 @@
-"""Routing metadata as bytes and back, as column expressions.
+"""Routing metadata as bytes and back, in bulk.
 
 Fixed format, big-endian: version 1 as one byte; edge id with a two-byte length; device id with
 a two-byte length; counter as eight bytes; schema version with a two-byte length.
@@ -52,37 +52,71 @@ def _unsigned(data: Column, kind: str) -> Column:
     return F.conv(F.hex(data), 16, 10).cast(kind)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value`` bound to a name, so that later rewrites copy the name only."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def decode_metadata(data: Column) -> Column:
-    """A struct (edge_id, device_id, counter, schema_version), null when the bytes are malformed.
+    """A struct (edge_id, device_id, counter, schema_version), null for malformed bytes.
 
     Strict: an unknown version, a truncated field, text that is not UTF-8 or trailing bytes all
-    make the value malformed. It never fails the job.
+    make the value malformed. It never fails the job. Each offset rests on the length before it,
+    and every length is bound once: written out in full, a filter on the result would repeat the
+    inner expressions many times over.
     """
-    edge_size = _unsigned(_slice(data, F.lit(1), 2), "int")
-    device_at = edge_size + 3
-    device_size = _unsigned(_slice(data, device_at, 2), "int")
-    counter_at = device_at + 2 + device_size
-    schema_at = counter_at + 8
-    schema_size = _unsigned(_slice(data, schema_at, 2), "int")
-    end = schema_at + 2 + schema_size
-
-    edge = _slice(data, F.lit(3), edge_size).cast("string")
-    device = _slice(data, device_at + 2, device_size).cast("string")
-    counter = _unsigned(_slice(data, counter_at, 8), COUNTER_TYPE)
-    schema = _slice(data, schema_at + 2, schema_size).cast("string")
-    whole = (
-        (F.hex(_slice(data, F.lit(0), 1)) == "01")
-        & (end == F.octet_length(data))
-        & F.is_valid_utf8(edge)
-        & F.is_valid_utf8(device)
-        & F.is_valid_utf8(schema)
-    )
-    return F.when(
-        F.coalesce(whole, F.lit(False)),
-        F.struct(
-            edge.alias("edge_id"),
-            device.alias("device_id"),
-            counter.alias("counter"),
-            schema.alias("schema_version"),
-        ),
-    )
+
+    def with_edge(raw: Column) -> Column:
+        size = _unsigned(_slice(raw, F.lit(1), 2), "int")
+        return _let(
+            F.struct(raw.alias("raw"), (size + 3).alias("edge_end"), size.alias("edge_size")),
+            with_device,
+        )
+
+    def with_device(at: Column) -> Column:
+        size = _unsigned(_slice(at["raw"], at["edge_end"], 2), "int")
+        return _let(
+            F.struct(
+                at["raw"].alias("raw"),
+                _slice(at["raw"], F.lit(3), at["edge_size"]).cast("string").alias("edge"),
+                (at["edge_end"] + 2).alias("device_at"),
+                size.alias("device_size"),
+            ),
+            with_counter,
+        )
+
+    def with_counter(at: Column) -> Column:
+        counter_at = at["device_at"] + at["device_size"]
+        return _let(
+            F.struct(
+                at["raw"].alias("raw"),
+                at["edge"].alias("edge"),
+                _slice(at["raw"], at["device_at"], at["device_size"]).cast("string")
+                .alias("device"),
+                _unsigned(_slice(at["raw"], counter_at, 8), COUNTER_TYPE).alias("counter"),
+                (counter_at + 10).alias("schema_at"),
+                _unsigned(_slice(at["raw"], counter_at + 8, 2), "int").alias("schema_size"),
+            ),
+            with_schema,
+        )
+
+    def with_schema(at: Column) -> Column:
+        schema = _slice(at["raw"], at["schema_at"], at["schema_size"]).cast("string")
+        whole = (
+            (F.hex(_slice(at["raw"], F.lit(0), 1)) == "01")
+            & (at["schema_at"] + at["schema_size"] == F.octet_length(at["raw"]))
+            & F.is_valid_utf8(at["edge"])
+            & F.is_valid_utf8(at["device"])
+            & F.is_valid_utf8(schema)
+        )
+        return F.when(
+            F.coalesce(whole, F.lit(False)),
+            F.struct(
+                at["edge"].alias("edge_id"),
+                at["device"].alias("device_id"),
+                at["counter"].alias("counter"),
+                schema.alias("schema_version"),
+            ),
+        )
+
+    return _let(data, with_edge)

@@ -184,8 +184,9 @@ def metadata_decode(spark, folder):
         )
         .otherwise(F.col("bytes"))
     )
-    decoded = decode_metadata(F.col("damaged"))
-    return _metadata(spark, folder).withColumn("damaged", damaged).select(
+    sent = _metadata(spark, folder).withColumn("damaged", damaged)
+    decoded = F.col("decoded")
+    return sent.withColumn("decoded", decode_metadata(F.col("damaged"))).select(
         "event_id",
         decoded["edge_id"].alias("edge_id"),
         decoded["device_id"].alias("device_id"),

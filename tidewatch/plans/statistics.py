@@ -318,7 +318,19 @@ FROM counts""",
         C.EV, C.SRC, windows_sql("src", 2),
         query=_stats_sql("wins", ["value", "k"], f"(source % {C.CLIENTS})", 4, 2)),
     "scaler_combine": C.sql(_MEASURES, query=_stats_sql("measures", MEASURES)),
-    "scaler_gap": "SELECT true AS within_tolerance",
+    "scaler_gap": C.sql(_MEASURES, *[f"""part_{f} AS (
+  SELECT count(*) AS n, avg({f}) AS m, var_pop({f}) * count(*) AS m2
+  FROM measures GROUP BY l_suppkey % {C.CLIENTS}),
+pooled_{f} AS (
+  SELECT avg({f}) AS pm, stddev_pop({f}) AS ps, (SELECT sum(n * m) / sum(n) FROM part_{f}) AS fm
+  FROM measures),
+both_{f} AS (
+  SELECT pm, ps, fm,
+         sqrt((SELECT sum(m2 + n * (m - fm) ** 2) / sum(n) FROM part_{f})) AS fs
+  FROM pooled_{f})""" for f in MEASURES], query="""
+SELECT greatest(max(abs(fm - pm)) / max(abs(pm)), max(abs(fs - ps)) / max(abs(ps))) <= 1e-9
+       AS within_tolerance FROM (""" + " UNION ALL ".join(
+        f"SELECT * FROM both_{f}" for f in MEASURES) + ")"),
     "mutual_info": " UNION ALL ".join(
         f"""SELECT '{f}' AS feature, round(sum(n / t * ln(n * t / (b * l))), 8) AS mi FROM (
   SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER ()::DOUBLE AS t,
