@@ -11,6 +11,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators.metrics import confusion, macro_metrics
 from tidewatch.operators.ordering import bounded_table
@@ -91,8 +92,8 @@ def score_with(
     features: int,
 ) -> DataFrame:
     """Score with any function from a (batch, window, feature) array to class probabilities."""
-    schema = sequences.select(*keep).schema.add("prediction", "integer").add(
-        "probabilities", "array<double>"
+    schema = sequences.select(*keep).schema.add("prediction", T.IntegerType()).add(
+        "probabilities", T.ArrayType(T.DoubleType())
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,7 +27,7 @@ def _keep_smallest(df: DataFrame, keys: list[str], seed: int, row_id: str, cap:
         return joined.where(order <= F.col("cutoffs")[0]).select(*df.columns)
     # A sample of the whole table has one cutoff, a single value.
     found = cutoffs.first()
-    return df.limit(0) if found is None else df.where(order <= F.lit(found["cutoffs"][0]))
+    return df.limit(0) if not (found and found["cutoffs"]) else df.where(order <= F.lit(found["cutoffs"][0]))
 
 
 def trim_to_cap(df: DataFrame, label: str, row_id: str, cap: int, seed: int) -> DataFrame:

@@ -13,16 +13,26 @@ from tidewatch.operators.ordering import bounded_table
 
 
 def _feature_stats(features: Sequence[str]) -> list[Column]:
-    """One struct per feature; Spark's central moments merge by the parallel formula."""
-    return [
-        F.struct(
-            F.lit(name).alias("feature"),
-            F.count(name).alias("count"),
-            F.avg(F.col(name).cast("double")).alias("mean"),
-            (F.var_pop(F.col(name).cast("double")) * F.count(name)).alias("m2"),
+    """One struct per feature; Spark's central moments merge by the parallel formula.
+
+    Merging leaves rounding noise on a constant feature, which a scaler would divide by, so a
+    feature whose extremes agree gets its exact mean and no deviation.
+    """
+    stats = []
+    for name in features:
+        x = F.col(name).cast("double")
+        constant = F.min(x) == F.max(x)
+        stats.append(
+            F.struct(
+                F.lit(name).alias("feature"),
+                F.count(name).alias("count"),
+                F.when(constant, F.min(x)).otherwise(F.avg(x)).alias("mean"),
+                F.when(constant, F.lit(0.0))
+                .otherwise(F.var_pop(x) * F.count(name))
+                .alias("m2"),
+            )
         )
-        for name in features
-    ]
+    return stats
 
 
 def _long(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,12 +66,15 @@ def combine_stats(parts: DataFrame) -> DataFrame:
     """Pool client statistics without their rows: means first, then squared deviations.
 
     Clients without rows are skipped. A feature that some client does not report fails the job.
+    A feature that is one constant for all clients stays exactly that.
     """
     filled = parts.where(F.col("count") > 0)
     weighted = filled.groupBy("feature").agg(
         F.sum("count").alias("n"),
         F.count(F.lit(1)).alias("reporting"),
-        (F.sum(F.col("count") * F.col("mean")) / F.sum("count")).alias("center"),
+        F.when(F.min("mean") == F.max("mean"), F.min("mean"))
+        .otherwise(F.sum(F.col("count") * F.col("mean")) / F.sum("count"))
+        .alias("center"),
     )
     most = weighted.agg(F.max("reporting")).scalar()
     between = F.col("count") * F.pow(F.col("mean") - F.col("center"), 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ def discover_parts(spark: SparkSession, root: str) -> list[str]:
         .option("pathGlobFilter", "*.csv")
         .load(root)
     )
-    parts = sorted(listing.inputFiles())
+    # The listing is percent-encoded; readers want plain paths.
+    parts = sorted(unquote(path) for path in listing.inputFiles())
     if not parts:
         raise FileNotFoundError(f"no *.csv files found under {root}")
     return parts
@@ -154,8 +156,5 @@ def capped_subsample(
 
 
 def _relative(path: str, root: str) -> str:
-    from urllib.parse import unquote
-
-    plain = unquote(path)
     marker = root.split("://")[-1].rstrip("/") + "/"
-    return plain[plain.index(marker) + len(marker):]
+    return path[path.index(marker) + len(marker):]
