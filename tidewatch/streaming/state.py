@@ -51,7 +51,8 @@ class _Windows(StatefulProcessor):
             self._last.put([(r,) for r in keep])
         else:
             self._last.clear()
-        yield pd.DataFrame({"device": key[0], "stream_index": indexes, "window": windows})
+        if windows:
+            yield pd.DataFrame({"device": key[0], "stream_index": indexes, "window": windows})
 
     def close(self) -> None:
         pass
