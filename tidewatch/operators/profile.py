@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.expressions import INFINITY, finite_rows, numeric_columns
+from tidewatch.operators.ordering import CHUNK_BITS, running, running_sum, value_chunk
 
 # Beyond this many columns the pairwise aggregate grows too wide and the matrix job takes over.
 PAIRWISE_COLUMNS = 16
@@ -117,7 +118,7 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     columns = list(columns)
     usable = finite_rows(df, columns)
     if len(columns) > PAIRWISE_COLUMNS:
-        return _matrix(usable, columns, "pearson")
+        return _matrix(usable, columns)
     pairs = list(combinations(columns, 2))
     entries = [
         F.struct(
@@ -144,19 +145,64 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r): absolute rank correlation with average ranks for ties."""
-    return _matrix(finite_rows(df, columns), list(columns), "spearman").withColumn(
-        "r", F.abs("r")
+def average_ranks(counted: DataFrame, rows_per_chunk: int = 1 << CHUNK_BITS) -> DataFrame:
+    """(feature, value, rank) from (feature, value, n): ties share the mean of their ranks."""
+    placed = running(
+        counted,
+        ["feature"],
+        [F.col("value")],
+        [value_chunk(counted, "value", rows_per_chunk)],
+        {"__before": running_sum(F.col("n"), inclusive=False)},
     )
+    return placed.select("feature", "value", (F.col("__before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def _matrix(df: DataFrame, columns: list[str], method: str) -> DataFrame:
+def spearman_matrix(
+    df: DataFrame, columns: Sequence[str], broadcast_rows: int = 1 << CHUNK_BITS
+) -> DataFrame:
+    """(a, b, r): absolute rank correlation with average ranks for ties, over finite rows.
+
+    Values are counted before they are ranked, so a value that fills a third of a column is one
+    row of the rank table. The table of a column is broadcast up to ``broadcast_rows`` distinct
+    values and joined by shuffle beyond.
+    """
+    columns = list(columns)
+    usable = finite_rows(df, columns).select(*[_double(c).alias(c) for c in columns])
+    entries = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("value")) for c in columns]
+    counted = (
+        usable.select(F.inline(F.array(*entries)))
+        .groupBy("feature", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .persist()
+    )
+    ranks = average_ranks(counted).persist()
+    try:
+        sizes = {r["feature"]: r["count"] for r in counted.groupBy("feature").count().collect()}
+        ranked = usable
+        for i, name in enumerate(columns):
+            table = ranks.where(F.col("feature") == name).select(
+                F.col("value").alias(name), F.col("rank").alias(f"__rank_{i}")
+            )
+            small = sizes.get(name, 0) <= broadcast_rows
+            ranked = ranked.join(F.broadcast(table) if small else table, name).drop(name)
+        names = {f"__rank_{i}": c for i, c in enumerate(columns)}
+        # k x k numbers, one per pair of columns.
+        matrix = pearson_matrix(ranked, list(names)).collect()
+    finally:
+        ranks.unpersist()
+        counted.unpersist()
+    return df.sparkSession.createDataFrame(
+        [(names[r["a"]], names[r["b"]], abs(r["r"])) for r in matrix],
+        "a string, b string, r double",
+    )
+
+
+def _matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     vectors = df.select(
         array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("v")
     )
     # k x k numbers, one per pair of columns.
-    matrix = Correlation.corr(vectors, "v", method).first()[0].toArray()
+    matrix = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
     rows = []
     for i, a in enumerate(columns):
         for j, b in enumerate(columns):

@@ -123,14 +123,21 @@ def fit_block_split(blocks: DataFrame, label: str, fraction: float, seed: int) -
     """Cutoff draws, one row per class, that put ``fraction`` of its blocks on the test side."""
     if not 0.0 < fraction < 1.0:
         raise ValueError(f"test fraction must be in (0, 1), got {fraction}")
-    return draw_cutoffs(
-        blocks,
-        [label],
-        draw(seed, label, "block_id"),
-        lambda n: F.array(F.bround(n * fraction).cast("long")),
+    return _block_cutoffs(
+        blocks, label, seed, lambda n: F.array(F.bround(n * fraction).cast("long"))
     )
 
 
+def _block_cutoffs(blocks: DataFrame, label: str, seed: int, ranks) -> DataFrame:
+    """:func:`draw_cutoffs` over blocks. The block list is a block size shorter than the rows, so
+    it is kept for the two passes rather than derived from the rows twice."""
+    kept = blocks.select(label, "block_id").persist()
+    try:
+        return draw_cutoffs(kept, [label], draw(seed, label, "block_id"), ranks)
+    finally:
+        kept.unpersist()
+
+
 def assign_side(df: DataFrame, cutoffs: DataFrame, label: str, seed: int) -> DataFrame:
     """Add ``side`` ('test' or 'train') to blocks or to rows that carry a block id."""
     chosen = draw(seed, label, "block_id") <= F.col("cutoffs")[0]
@@ -195,6 +202,16 @@ def fit_clients(
     blocks: DataFrame, label: str, n_clients: int, alpha: float, seed: int
 ) -> DataFrame:
     """Cutoff draws, one row per class, that cut its blocks into client shares."""
+    blocks = blocks.select(label, "block_id").persist()
+    try:
+        return _client_cutoffs(blocks, label, n_clients, alpha, seed)
+    finally:
+        blocks.unpersist()
+
+
+def _client_cutoffs(
+    blocks: DataFrame, label: str, n_clients: int, alpha: float, seed: int
+) -> DataFrame:
     cuts = dirichlet_cuts(_class_list(blocks, label), n_clients, alpha, seed)
     if n_clients == 1:
         return bounded_table(

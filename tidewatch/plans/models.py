@@ -31,8 +31,8 @@ def _sequences(rows, features, scaler, window=WINDOW, source="source"):
     )
 
 
-def _train_and_test(spark, folder, window=WINDOW):
-    rows = _sides(spark, folder)
+def _train_and_test(spark, folder, window=WINDOW, rows=None):
+    rows = _sides(spark, folder) if rows is None else rows
     train, test = rows.where("side = 'train'"), rows.where("side = 'test'")
     scaler = Scaler.fit(train, FEATURES)
     return [
@@ -50,9 +50,10 @@ def rf_baseline(spark, folder):
 
 def windowed_baseline(spark, folder):
     """Does history help: the same detector on one record and on the whole window."""
+    rows = cut_lineage(spark, _sides(spark, folder), "rows")
     results = []
     for window in (1, WINDOW):
-        train, test = _train_and_test(spark, folder, window)
+        train, test = _train_and_test(spark, folder, window, rows)
         model = M.fit_windowed(train, "class_index", N_CLASSES, 10)
         scored = M.score_windows(model, test, "class_index", single_record=False)
         results.append(
@@ -72,7 +73,7 @@ def score_windows(spark, folder):
 
 def _federation(spark, folder):
     """Client training data and the shared test sequences, scaled by combined statistics."""
-    rows = _sides(spark, folder)
+    rows = cut_lineage(spark, _sides(spark, folder), "rows")
     train, test = rows.where("side = 'train'"), rows.where("side = 'test'")
     cutoffs = split.fit_clients(
         split.block_labels(train, "label"), "label", C.CLIENTS, C.ALPHA, C.SEED

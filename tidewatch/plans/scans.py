@@ -13,6 +13,7 @@ from tidewatch.operators.routing import held_out_pool
 from tidewatch.operators.scaling import Scaler
 from tidewatch.operators.split import keep_blocks
 from tidewatch.plans import common as C
+from tidewatch.session import cut_lineage
 from tidewatch.sources.tables import events, table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -61,7 +62,7 @@ def payload_json(spark, folder):
 
 
 def held_out(spark, folder):
-    rows = C.split_events(spark, folder)
+    rows = cut_lineage(spark, C.split_events(spark, folder), "rows")
     scaler = Scaler.fit(rows.where("side = 'train'"), ["value", "k"])
     pool = held_out_pool(
         rows.where("side = 'test'"), "source", "pos", ["value", "k"], scaler, "label"

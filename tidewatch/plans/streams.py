@@ -8,7 +8,7 @@ from tidewatch.functions.metadata import encode_metadata
 from tidewatch.operators import routing as R
 from tidewatch.operators.scaling import Scaler
 from tidewatch.plans import common as C
-from tidewatch.session import run_folder
+from tidewatch.session import cut_lineage, run_folder
 from tidewatch.sources.tables import events, table
 from tidewatch.streaming import jobs, state
 
@@ -96,12 +96,12 @@ def replay_accept_stream(spark, folder):
 
 
 def pair_held_out(spark, folder):
-    rows = C.split_events(spark, folder)
+    rows = cut_lineage(spark, C.split_events(spark, folder), "rows")
     scaler = Scaler.fit(rows.where("side = 'train'"), FEATURES)
     pool = R.held_out_pool(
         rows.where("side = 'test'"), "source", "pos", FEATURES, scaler, "label"
     )
-    slots = R.pool_slots(pool, C.SEED)
+    slots = cut_lineage(spark, R.pool_slots(pool, C.SEED), "slots")
     messages = _batch(spark, folder).select("stream_index")
     return R.pair_held_out(messages, slots, slots.count()).select(
         "stream_index", "ref", "true_label"
