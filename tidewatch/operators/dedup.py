@@ -18,10 +18,17 @@ def record_hash(columns: Sequence[str]) -> Column:
 
 
 def record_md5(columns: Sequence[str]) -> Column:
-    """A fingerprint other engines can recompute: md5 over the joined text of the columns."""
-    return F.md5(
-        F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in columns])
-    )
+    """128-bit fingerprint other engines can recompute: md5 over the text of the columns.
+
+    Each value is written with its length, so values cannot run into each other.
+    """
+
+    def field(name: str) -> Column:
+        text = F.col(f"`{name}`").cast("string")
+        sized = F.concat(F.length(text).cast("string"), F.lit(":"), text)
+        return F.coalesce(sized, F.lit(NULL_MARK))
+
+    return F.md5(F.concat_ws("|", *[field(c) for c in columns]))
 
 
 def keep_first(df: DataFrame, pos: str, subset: Sequence[str] | None = None) -> DataFrame:
@@ -54,8 +61,12 @@ def deduplicate(
 
 
 def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows, distinct rows and exact duplicates, counted per group of equal rows."""
-    groups = df.groupBy(*(columns or df.columns)).agg(F.count(F.lit(1)).alias("__n"))
+    """Rows, distinct rows and exact duplicates.
+
+    Only fingerprints are shuffled, one per group of equal rows and task.
+    """
+    fingerprint = record_md5(columns or df.columns).alias("__print")
+    groups = df.groupBy(fingerprint).agg(F.count(F.lit(1)).alias("__n"))
     return groups.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"),
         F.count(F.lit(1)).alias("n_distinct"),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 CHUNK_BITS = 18
 # Draws are hex strings; four digits split them into 65,536 buckets of equal expected size.
 DRAW_PREFIX = 4
-MAX_VALUE_CHUNKS = 1 << 16
+MAX_VALUE_CHUNKS = 1 << 14
 BOUNDED_ROWS = 100_000
 
 

@@ -43,22 +43,25 @@ def device_windows(
     features: Sequence[str],
     window: int,
     keep: Sequence[str] = (),
+    buffering: bool = False,
     bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """Per device, the last ``window`` records at every record from the ``window``-th on.
 
-    ``counter`` is the dense per-device counter.
+    ``counter`` is the dense per-device counter. With ``buffering`` the earlier records are kept
+    too, without a window.
     """
     if window <= 0:
         raise ValueError(f"window must be positive, got {window}")
     frame = sliding([device], counter).rowsBetween(-(window - 1), 0)
     record = F.array(*[F.col(c).cast("double") for c in features])
     needed = list(dict.fromkeys([device, counter, *keep, *features]))
+    full = F.col(counter) >= window - 1
     return (
         with_halo(df.select(*needed), counter, window - 1, bits)
         .withColumn("window", F.collect_list(record).over(frame))
-        .where(~F.col("__halo") & (F.col(counter) >= window - 1))
-        .select(device, counter, *keep, "window")
+        .where(~F.col("__halo") & (F.lit(buffering) | full))
+        .select(device, counter, *keep, F.when(full, F.col("window")).alias("window"))
     )
 
 

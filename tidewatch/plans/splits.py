@@ -212,8 +212,10 @@ _SIDES = f"""docs AS (SELECT *, md5('{C.SEED}:' || doc_id) < '4' AS held_out FRO
 
 ORACLES = {
     "record_hash": """
-SELECT doc_id, md5(coalesce(text, '∅') || '|' || coalesce(lang, '∅') || '|'
-                   || coalesce(source, '∅')) AS fingerprint FROM documents""",
+SELECT doc_id, md5(coalesce(length(text) || ':' || text, '∅') || '|'
+                   || coalesce(length(lang) || ':' || lang, '∅') || '|'
+                   || coalesce(length(source) || ':' || source, '∅')) AS fingerprint
+FROM documents""",
     "record_hash_count": """
 SELECT count(*) AS n_fingerprints, 16 AS digits
 FROM (SELECT DISTINCT text, lang, source FROM documents)""",

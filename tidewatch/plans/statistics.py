@@ -11,6 +11,7 @@ from tidewatch.operators.sequences import final_record
 from tidewatch.plans import common as C
 from tidewatch.plans.scans import FEATURES
 from tidewatch.plans.sequences import _windows, windows_sql
+from tidewatch.session import cut_lineage
 from tidewatch.sources.tables import events, table
 
 TOP = 6
@@ -156,6 +157,7 @@ def select_features(spark, folder):
         (F.col("k") * 3).alias("k_copy"),
         F.lit(1.0).alias("constant"),
     )
+    train = cut_lineage(spark, train, "train")
     result = L.select_features(train, "label", "event_id", 0.95, 2, trees=10, seed=C.SEED)
     rows = [(i, name) for i, name in enumerate(result.selected)]
     return spark.createDataFrame(rows, "fused_rank int, feature string")

@@ -46,10 +46,11 @@ def device_counter(spark, folder):
     )
 
 
-def _windows(spark, folder):
+def _windows(spark, folder, buffering=False):
     counted = R.device_counter(_batch(spark, folder), "device", "stream_index", "own")
     return R.device_windows(
-        counted, "device", "own", FEATURES, WINDOW, ["stream_index", "edge", "counter", "label"]
+        counted, "device", "own", FEATURES, WINDOW, ["stream_index", "edge", "counter", "label"],
+        buffering,
     )
 
 
@@ -111,12 +112,10 @@ def pair_held_out(spark, folder):
 def _verdicts(spark, folder):
     """Every message: still buffering, or judged by the mean second feature of its window."""
     level = F.aggregate("window", F.lit(0.0), lambda total, record: total + record[1]) / WINDOW
-    judged = _windows(spark, folder).withColumn("malicious", level >= 50)
-    waiting = _batch(spark, folder).select("stream_index", "device", "edge", "counter", "label")
-    return waiting.join(judged.select("stream_index", "malicious"), "stream_index", "left").select(
-        *waiting.columns,
-        F.col("malicious").isNotNull().alias("classified"),
-        F.coalesce("malicious", F.lit(False)).alias("malicious"),
+    return _windows(spark, folder, buffering=True).select(
+        "stream_index", "device", "edge", "counter", "label",
+        F.col("window").isNotNull().alias("classified"),
+        F.coalesce(level >= 50, F.lit(False)).alias("malicious"),
     )
 
 
@@ -179,8 +178,7 @@ def _cloud(spark, folder):
     """Benign messages with the cloud's answer."""
     benign = R.cloud_messages(
         R.route(_verdicts(spark, folder).where("classified"), "malicious")
-    ).select("stream_index", "edge", F.encode(F.lit(""), "UTF-8").alias("none"), "device",
-             "counter")
+    ).select("stream_index", "edge", "device", "counter")
     sent = benign.withColumn(
         "metadata",
         encode_metadata(F.col("edge"), F.col("device"), F.col("counter"), F.lit("v1")),
