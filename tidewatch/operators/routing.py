@@ -153,6 +153,11 @@ def replay_accept(
     return guarded.withColumn("accepted", accepted).drop("__highest")
 
 
+def last_accepted(df: DataFrame, keys: Sequence[str], counter: str) -> DataFrame:
+    """The guard's state after these messages: the highest counter of each key."""
+    return df.groupBy(*keys).agg(F.max(counter).alias("last_counter"))
+
+
 def cloud_accept(
     df: DataFrame, edge: str, metadata: str, order: str, bits: int = CHUNK_BITS
 ) -> DataFrame:

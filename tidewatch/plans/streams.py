@@ -85,6 +85,10 @@ def replay_accept(spark, folder):
     ).select("stream_index", "accepted")
 
 
+def last_accepted(spark, folder):
+    return R.last_accepted(_batch(spark, folder), ["edge", "device"], "counter")
+
+
 def replay_accept_stream(spark, folder):
     messages = _stream(spark, folder).select(
         F.col("edge").alias("edge_id"), F.col("device").alias("device_id"), "stream_index",
@@ -210,6 +214,7 @@ QUERIES = {
     "device_windows_stream": device_windows_stream,
     "buffer_depth": buffer_depth,
     "replay_accept": replay_accept,
+    "last_accepted": last_accepted,
     "replay_accept_stream": replay_accept_stream,
     "pair_held_out": pair_held_out,
     "verdict": verdict,
@@ -263,6 +268,8 @@ SELECT stream_index, device, own AS counter FROM msg"""),
 SELECT stream_index, least(own + 1, {WINDOW}) AS depth FROM msg"""),
     "replay_accept": _REPLAY_SQL,
     "replay_accept_stream": _REPLAY_SQL,
+    "last_accepted": C.sql(C.EV, _MSG, query="""
+SELECT edge, device, max(counter) AS last_counter FROM msg GROUP BY ALL"""),
     "pair_held_out": C.sql(C.EV, C.POOL, C.SPLIT, f"""slots AS (
   SELECT source || ':' || pos AS ref, label AS true_label, count(*) OVER () AS n,
          row_number() OVER (ORDER BY md5('{C.SEED}:' || source || ':' || pos)) - 1 AS slot
