@@ -7,7 +7,7 @@ map-side comparison, so the rows are not shuffled to learn which side they belon
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.draws import draw
@@ -16,11 +16,7 @@ from tidewatch.operators.ordering import (
     bounded_table,
     by_position,
     draw_cutoffs,
-    position_chunk,
-    running,
     running_count,
-    running_max,
-    running_sum,
     sliding,
     with_halo,
 )
@@ -39,32 +35,57 @@ def make_blocks(
 ) -> DataFrame:
     """Add ``block_id`` to rows with a dense ``pos``, whatever order the labels come in.
 
-    A block ends where the label changes or after ``block_size`` rows.
+    A block ends where the label changes or after ``block_size`` rows. Within a chunk, blocks are
+    counted from the first run that starts there. The rows before it continue a run of an earlier
+    chunk; as positions are dense, the blocks they open follow from where that run started.
     """
     _check_size(block_size)
-    starts = (
+    order = sliding([], pos)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.col(pos)
+    continues = F.coalesce(F.lag(label).over(order) == F.col(label), F.lit(False))
+    rows = (
         with_halo(df, pos, 1, bits)
+        .withColumn("__start", F.when(~continues, here))
+        .where(~F.col("__halo"))
+        .withColumn("__run", F.max("__start").over(upto))
+        .withColumn("__opens", F.coalesce((here - F.col("__run")) % block_size == 0, F.lit(False)))
+    )
+
+    earlier = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+    def blocks_before(at: Column) -> Column:
+        """Blocks the carried run has opened at positions below ``at``."""
+        return F.ceil((at - F.col("__carried")) / block_size)
+
+    # One row per chunk of 2**bits rows.
+    chunks = (
+        rows.groupBy("__chunk")
+        .agg(
+            F.min(pos).alias("__first"),
+            F.coalesce(F.min("__start"), F.max(pos) + 1).alias("__lead_end"),
+            F.max("__start").alias("__last_start"),
+            F.count_if("__opens").alias("__own"),
+        )
+        .withColumn("__carried", F.max("__last_start").over(earlier))
         .withColumn(
-            "__start",
-            ~F.coalesce(F.lag(label).over(sliding([], pos)) == F.col(label), F.lit(False)),
+            "__lead",
+            F.coalesce(
+                blocks_before(F.col("__lead_end")) - blocks_before(F.col("__first")), F.lit(0)
+            ),
         )
-        .where(~F.col("__halo"))
-        .drop("__halo")
+        .withColumn(
+            "__offset", F.coalesce(F.sum(F.col("__lead") + F.col("__own")).over(earlier), F.lit(0))
+        )
+        .select("__chunk", "__first", "__carried", "__lead", "__offset")
     )
-    runs = running(
-        starts,
-        [],
-        [F.col(pos)],
-        [F.col("__chunk")],
-        {"__run_start": running_max(F.when(F.col("__start"), F.col(pos)))},
+    counted = rows.withColumn("__opened", F.count_if("__opens").over(upto))
+    in_lead = blocks_before(here + 1) - blocks_before(F.col("__first"))
+    opened = F.when(F.col("__run").isNull(), in_lead).otherwise(
+        F.col("__lead") + F.col("__opened")
     )
-    opens = ((F.col(pos) - F.col("__run_start")) % block_size == 0).cast("long")
-    return (
-        running(
-            runs, [], [F.col(pos)], [F.col("__chunk")], {"__blocks": running_sum(opens)}
-        )
-        .withColumn("block_id", F.col("__blocks") - 1)
-        .select(*df.columns, "block_id")
+    return counted.join(chunks, "__chunk").select(
+        *df.columns, (F.col("__offset") + opened - 1).alias("block_id")
     )
 
 
