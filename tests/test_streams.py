@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.metadata import decode_metadata, encode_metadata
 from tidewatch.operators import routing as R
-from tidewatch.streaming import jobs, state
+from tidewatch.streaming import detector, jobs, state
 
 
 def feed(spark, folder, batches, schema):
@@ -106,7 +106,7 @@ def test_replay_stream_equals_batch(spark, tmp_path, cuts):
 # --- metadata ---
 
 
-def encoded(spark, edge="edge01", device="soil01", counter="5", schema="v1"):
+def encoded(spark, edge="edge01", device="sensor1", counter="5", schema="v1"):
     return spark.range(1).select(
         encode_metadata(
             F.lit(edge), F.lit(device), F.lit(counter).cast("decimal(38,0)"), F.lit(schema)
@@ -123,7 +123,7 @@ def wire(edge, device, counter, schema):
 
 
 @pytest.mark.parametrize("counter", [0, 5, 255, 2**63, 2**64 - 1])
-@pytest.mark.parametrize("device", ["", "soil01", "gerät-ß"])
+@pytest.mark.parametrize("device", ["", "sensor1", "gerät-ß"])
 def test_metadata_bytes_round_trip(spark, counter, device):
     df = encoded(spark, device=device, counter=str(counter))
     assert bytes(df.first()["m"]) == wire("edge01", device, counter, "v1")
@@ -263,3 +263,22 @@ def test_device_windows_batch_hand_case(spark):
         got = R.device_windows(df, "device", "counter", ["x"], 3, bits=bits).collect()
         assert sorted((r["counter"], [x[0] for x in r["window"]]) for r in got) == [
             (2, [1.0, 2.0, 3.0]), (3, [2.0, 3.0, 4.0])]
+
+
+def always_malicious(batch):
+    import numpy as np
+
+    return np.tile([0.0, 1.0], (len(batch), 1))
+
+
+@pytest.mark.parametrize(("window", "classified"), [(2, 4), (9, 0)])
+def test_detection_run_without_benign_verdicts(spark, tmp_path, window, classified):
+    (tmp_path / "src").mkdir()
+    rows = [(i, "d", "e", i) for i in range(5)]
+    stream = feed(spark, tmp_path / "src", [rows[:2], rows[2:]],
+                  "stream_index long, device string, edge string, counter long")
+    slots = R.pool_slots(pool(spark, 3).withColumn("x", F.lit(1.0)), 0)
+    verdicts = detector.verdict_stream(stream, slots, 3, ["x"], window, always_malicious)
+    run = detector.run_detection(verdicts, str(tmp_path / "run"), "v1")
+    assert tuple(run.counts(5).first()) == (5, 5 - classified, classified, 0, classified, 0, 0,
+                                            classified)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.functions.metadata import encode_metadata
@@ -10,7 +11,7 @@ from tidewatch.operators.scaling import Scaler
 from tidewatch.plans import common as C
 from tidewatch.session import cut_lineage, run_folder
 from tidewatch.sources.tables import events, table
-from tidewatch.streaming import jobs, state
+from tidewatch.streaming import detector, jobs, state
 
 WINDOW = 4
 FEATURES = ["value", "k"]
@@ -100,19 +101,40 @@ def replay_accept_stream(spark, folder):
     return rows.select("stream_index", "accepted")
 
 
-def pair_held_out(spark, folder):
+def _slots(spark, folder):
     rows = cut_lineage(spark, C.split_events(spark, folder), "rows")
     scaler = Scaler.fit(rows.where("side = 'train'"), FEATURES)
     pool = R.held_out_pool(
         rows.where("side = 'test'"), "source", "pos", FEATURES, scaler, "label"
     )
-    slots = cut_lineage(spark, R.pool_slots(pool, C.SEED), "slots")
+    return cut_lineage(spark, R.pool_slots(pool, C.SEED), "slots")
+
+
+def pair_held_out(spark, folder):
+    slots = _slots(spark, folder)
     messages = _batch(spark, folder).select("stream_index")
     return R.pair_held_out(messages, slots, slots.count()).select(
         "stream_index", "ref", "true_label"
     )
 
 
+def _two_classes(batch):
+    """A rule in place of a fitted model: malicious when the second feature is high on average."""
+    high = batch[:, :, 1].mean(axis=1) > 0.1
+    return np.stack([~high, high], axis=1).astype("float64")
+
+
+def detection_run(spark, folder):
+    """The runtime job as a stream, from pairing to both routes, as run counters."""
+    slots = _slots(spark, folder)
+    messages = _stream(spark, folder).select("stream_index", "device", "edge", "counter")
+    verdicts = detector.verdict_stream(
+        messages, slots, slots.count(), FEATURES, WINDOW, _two_classes
+    )
+    run = detector.run_detection(verdicts, run_folder(spark, "detection"), "v1")
+    return run.counts(table(spark, folder, "events").count())
+
+
 def _verdicts(spark, folder):
     """Every message: still buffering, or judged by the mean second feature of its window."""
     level = F.aggregate("window", F.lit(0.0), lambda total, record: total + record[1]) / WINDOW
@@ -226,6 +248,7 @@ QUERIES = {
     "e2e_counts": e2e_counts,
     "disjointness": disjointness,
     "label_agreement": label_agreement,
+    "detection_run": detection_run,
 }
 
 _MSG = """msg AS (
@@ -259,7 +282,30 @@ UNION ALL
 SELECT stream_index, CASE WHEN counter <= max(counter) {_GUARD} THEN 'replay' END
 FROM msg WHERE k % 13 <> 0 AND k % 17 <> 0""")
 
+_DETECTED = """fitted AS (
+  SELECT avg(k) AS mk, stddev_pop(k) AS sk
+  FROM pool JOIN split USING (block_id, label) WHERE side = 'train'),
+slots AS (
+  SELECT CAST((k - mk) / sk AS FLOAT)::DOUBLE AS level, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY md5('0:' || source || ':' || pos)) - 1 AS slot
+  FROM pool JOIN split USING (block_id, label), fitted WHERE side = 'test'),
+paired AS (SELECT msg.*, level FROM msg JOIN slots ON stream_index % n = slot),
+judged AS (
+  SELECT stream_index, device, edge, counter, own >= 3 AS classified,
+         coalesce(avg(level) OVER (PARTITION BY device ORDER BY stream_index
+                                   ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) > 0.1, false)
+         AND own >= 3 AS malicious FROM paired)"""
+_COUNTS = """
+SELECT count(*) AS n_messages, count(*) FILTER (NOT classified) AS n_buffering,
+       count(*) FILTER (classified) AS n_classified,
+       count(*) FILTER (classified AND NOT malicious) AS n_benign,
+       count(*) FILTER (classified AND malicious) AS n_malicious,
+       (SELECT count(*) FROM cloud WHERE reject_reason IS NULL) AS cloud_received,
+       (SELECT count(*) FROM cloud WHERE reject_reason IS NOT NULL) AS cloud_rejected,
+       count(*) FILTER (classified AND malicious) AS alerts FROM judged"""
+
 ORACLES = {
+    "detection_run": C.sql(C.EV, C.POOL, C.SPLIT, _MSG, _DETECTED, _CLOUD, query=_COUNTS),
     "device_counter": C.sql(C.EV, _MSG, query="""
 SELECT stream_index, device, own AS counter FROM msg"""),
     "device_windows": _WINDOWS_SQL,
@@ -290,14 +336,7 @@ SELECT stream_index, edge, row_number() OVER (ORDER BY stream_index) AS sequence
        'classifier verdict: malicious (device=' || device || ', counter=' || counter || ')'
          AS reason
 FROM judged WHERE classified AND malicious"""),
-    "e2e_counts": C.sql(C.EV, _MSG, _WIN, _JUDGED, _CLOUD, query="""
-SELECT count(*) AS n_messages, count(*) FILTER (NOT classified) AS n_buffering,
-       count(*) FILTER (classified) AS n_classified,
-       count(*) FILTER (classified AND NOT malicious) AS n_benign,
-       count(*) FILTER (classified AND malicious) AS n_malicious,
-       (SELECT count(*) FROM cloud WHERE reject_reason IS NULL) AS cloud_received,
-       (SELECT count(*) FROM cloud WHERE reject_reason IS NOT NULL) AS cloud_rejected,
-       count(*) FILTER (classified AND malicious) AS alerts FROM judged"""),
+    "e2e_counts": C.sql(C.EV, _MSG, _WIN, _JUDGED, _CLOUD, query=_COUNTS),
     "disjointness": C.sql(C.EV, _MSG, _WIN, _JUDGED, _CLOUD, query="""
 SELECT count(*) AS n_leaked FROM cloud
 WHERE stream_index IN (SELECT stream_index FROM judged WHERE malicious)"""),

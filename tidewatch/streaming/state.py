@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.functions.metadata import COUNTER_TYPE, decode_metadata
 from tidewatch.operators.routing import EDGE_MISMATCH, MALFORMED, REPLAY
 
-WINDOW_SCHEMA = "device string, stream_index long, window array<array<double>>"
 REPLAY_SCHEMA = "edge_id string, device_id string, stream_index long, accepted boolean"
 
 
@@ -23,27 +23,29 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class _Windows(StatefulProcessor):
-    def __init__(self, window: int) -> None:
+    def __init__(self, window: int, keep: list[str]) -> None:
         self._window = window
+        self._keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getListState("last", "features array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = [list(r[0]) for r in self._last.get()] if self._last.exists() else []
-        indexes, windows = [], []
-        for row in _in_order(rows).itertuples(index=False):
-            if row.reset:
+        batch = _in_order(rows)
+        emitted, windows = [], []
+        for at, (reset, features) in enumerate(zip(batch["reset"], batch["features"])):
+            if reset:
                 held = []
                 continue
-            record = list(row.features)
+            record = list(features)
             if held and len(held[-1]) != len(record):
                 raise ValueError(
                     f"device {key[0]!r}: expected {len(held[-1])} features, got {len(record)}"
                 )
             held = [*held[-(self._window - 1):], record] if self._window > 1 else [record]
             if len(held) == self._window:
-                indexes.append(row.stream_index)
+                emitted.append(at)
                 windows.append(held)
         # A window of one needs no history but still remembers the feature count.
         keep = held[-max(self._window - 1, 1):]
@@ -52,17 +54,19 @@ class _Windows(StatefulProcessor):
         else:
             self._last.clear()
         if windows:
-            yield pd.DataFrame({"device": key[0], "stream_index": indexes, "window": windows})
+            yield batch.iloc[emitted][["device", "stream_index", *self._keep]].assign(
+                window=windows
+            )
 
     def close(self) -> None:
         pass
 
 
-def stream_windows(messages: DataFrame, window: int) -> DataFrame:
+def stream_windows(messages: DataFrame, window: int, keep: Sequence[str] = ()) -> DataFrame:
     """Windows of the last ``window`` records per device, from the ``window``-th record on.
 
     ``messages``: device, stream_index, features and optionally ``reset``; a reset row clears the
-    device's buffer and emits nothing.
+    device's buffer and emits nothing. ``keep`` carries further columns of the last record.
     """
     if window <= 0:
         raise ValueError(f"window must be positive, got {window}")
@@ -72,10 +76,14 @@ def stream_windows(messages: DataFrame, window: int) -> DataFrame:
         "stream_index",
         F.col("features").cast("array<double>").alias("features"),
         F.coalesce(reset, F.lit(False)).alias("reset"),
+        *keep,
+    )
+    schema = rows.select("device", "stream_index", *keep).schema.add(
+        "window", T.ArrayType(T.ArrayType(T.DoubleType()))
     )
     return rows.groupBy("device").transformWithStateInPandas(
-        statefulProcessor=_Windows(window),
-        outputStructType=WINDOW_SCHEMA,
+        statefulProcessor=_Windows(window, list(keep)),
+        outputStructType=schema,
         outputMode="Append",
         timeMode="None",
     )
