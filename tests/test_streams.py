@@ -265,14 +265,11 @@ def test_device_windows_batch_hand_case(spark):
             (2, [1.0, 2.0, 3.0]), (3, [2.0, 3.0, 4.0])]
 
 
-def always_malicious(batch):
-    import numpy as np
-
-    return np.tile([0.0, 1.0], (len(batch), 1))
-
-
 @pytest.mark.parametrize(("window", "classified"), [(2, 4), (9, 0)])
 def test_detection_run_without_benign_verdicts(spark, tmp_path, window, classified):
+    def always_malicious(batch):
+        return [[0.0, 1.0]] * len(batch)
+
     (tmp_path / "src").mkdir()
     rows = [(i, "d", "e", i) for i in range(5)]
     stream = feed(spark, tmp_path / "src", [rows[:2], rows[2:]],
