@@ -279,3 +279,18 @@ def test_detection_run_without_benign_verdicts(spark, tmp_path, window, classifi
     run = detector.run_detection(verdicts, str(tmp_path / "run"), "v1")
     assert tuple(run.counts(5).first()) == (5, 5 - classified, classified, 0, classified, 0, 0,
                                             classified)
+
+
+def test_workers_need_no_import_path(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = tmp_path / "processor.bin"
+    code.write_bytes(cloudpickle.dumps(state._Windows(3, [])))
+    script = f"import pickle; print(pickle.load(open({str(code)!r}, 'rb'))._window)"
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd="/", capture_output=True, text=True, check=True
+    )
+    assert done.stdout.strip() == "3"
