@@ -38,6 +38,7 @@ HEADLINE = [
     "split_train_windows",
     "latency_windows",
     "macro_metrics",
+    "spearman",
     "average_precision",
     "nearest_rank_pct",
     "fedavg",
@@ -47,6 +48,7 @@ HEADLINE = [
     "cloud_accept",
     "e2e_counts",
     "device_windows_stream",
+    "detection_run",
     "federated_rounds",
 ]
 

@@ -66,57 +66,42 @@ def decode_metadata(data: Column) -> Column:
     inner expressions many times over.
     """
 
-    def with_edge(raw: Column) -> Column:
-        size = _unsigned(_slice(raw, F.lit(1), 2), "int")
-        return _let(
-            F.struct(raw.alias("raw"), (size + 3).alias("edge_end"), size.alias("edge_size")),
-            with_device,
-        )
-
-    def with_device(at: Column) -> Column:
-        size = _unsigned(_slice(at["raw"], at["edge_end"], 2), "int")
-        return _let(
-            F.struct(
-                at["raw"].alias("raw"),
-                _slice(at["raw"], F.lit(3), at["edge_size"]).cast("string").alias("edge"),
-                (at["edge_end"] + 2).alias("device_at"),
-                size.alias("device_size"),
-            ),
-            with_counter,
-        )
-
-    def with_counter(at: Column) -> Column:
-        counter_at = at["device_at"] + at["device_size"]
-        return _let(
-            F.struct(
-                at["raw"].alias("raw"),
-                at["edge"].alias("edge"),
-                _slice(at["raw"], at["device_at"], at["device_size"]).cast("string")
-                .alias("device"),
-                _unsigned(_slice(at["raw"], counter_at, 8), COUNTER_TYPE).alias("counter"),
-                (counter_at + 10).alias("schema_at"),
-                _unsigned(_slice(at["raw"], counter_at + 8, 2), "int").alias("schema_size"),
-            ),
-            with_schema,
-        )
-
-    def with_schema(at: Column) -> Column:
-        schema = _slice(at["raw"], at["schema_at"], at["schema_size"]).cast("string")
+    def fields(raw: Column, edge_size: Column, device_size: Column, schema_size: Column) -> Column:
+        edge = F.substring(raw, F.lit(4), edge_size).cast("string")
+        device = F.substring(raw, edge_size + 6, device_size).cast("string")
+        counter = F.substring(raw, edge_size + device_size + 6, F.lit(8))
+        schema = F.substring(raw, edge_size + device_size + 16, schema_size).cast("string")
+        # The total length rules out every truncation and every trailing byte at once.
         whole = (
-            (F.hex(_slice(at["raw"], F.lit(0), 1)) == "01")
-            & (at["schema_at"] + at["schema_size"] == F.octet_length(at["raw"]))
-            & F.is_valid_utf8(at["edge"])
-            & F.is_valid_utf8(at["device"])
+            (F.octet_length(raw) == edge_size + device_size + schema_size + 15)
+            & (F.substring(raw, F.lit(1), F.lit(1)) == F.unhex(F.lit("01")))
+            & F.is_valid_utf8(edge)
+            & F.is_valid_utf8(device)
             & F.is_valid_utf8(schema)
         )
         return F.when(
-            F.coalesce(whole, F.lit(False)),
+            whole,
             F.struct(
-                at["edge"].alias("edge_id"),
-                at["device"].alias("device_id"),
-                at["counter"].alias("counter"),
+                edge.alias("edge_id"),
+                device.alias("device_id"),
+                _unsigned(counter, COUNTER_TYPE).alias("counter"),
                 schema.alias("schema_version"),
             ),
         )
 
-    return _let(data, with_edge)
+    def size_at(raw: Column, start: Column) -> Column:
+        return _unsigned(_slice(raw, start, 2), "int")
+
+    return _let(
+        data,
+        lambda raw: _let(
+            size_at(raw, F.lit(1)),
+            lambda edge: _let(
+                size_at(raw, edge + 3),
+                lambda device: _let(
+                    size_at(raw, edge + device + 13),
+                    lambda schema: fields(raw, edge, device, schema),
+                ),
+            ),
+        ),
+    )
