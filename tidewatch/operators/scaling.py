@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.expressions import all_finite, is_finite, require_columns
+from tidewatch.functions.expressions import all_finite, require_columns
 from tidewatch.operators.ordering import bounded_table
 
 
@@ -173,11 +173,3 @@ def class_weights(counts: DataFrame, n: str) -> DataFrame:
     return counts.withColumn(
         "weight", F.when((least < 0) | (total <= 0), bad.cast("double")).otherwise(weight)
     )
-
-
-def is_scalable(features: Sequence[str]) -> Column:
-    """Rows a scaler accepts."""
-    condition = F.lit(True)
-    for name in features:
-        condition = condition & is_finite(name)
-    return condition

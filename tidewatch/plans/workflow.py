@@ -181,4 +181,3 @@ def compare_federated(
     )
     macro = written.where("metric = 'macro_f1' AND class IS NULL")
     return bracket(macro, ["config"], "value")
-

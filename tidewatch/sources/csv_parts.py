@@ -6,12 +6,13 @@ import re
 import warnings
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.expressions import label_from_file_name, part_number
 from tidewatch.operators.ordering import running, running_count
+from tidewatch.operators.sampling import class_counts, trim_to_cap
 
 
 def discover_parts(spark: SparkSession, root: str) -> list[str]:
@@ -104,8 +105,6 @@ def surviving_parts(counts: DataFrame, per_class_cap: int) -> DataFrame:
 
     ``counts`` has (label, part_number, source_file, n_rows), one row per part.
     """
-    from pyspark.sql import Window
-
     if per_class_cap <= 0:
         raise ValueError(f"per_class_cap must be positive, got {per_class_cap}")
     earlier = (
@@ -127,8 +126,6 @@ def capped_subsample(
     One counting pass over the parts picks those the cap reaches; only these are read again. The
     overshoot of the last part is trimmed by seeded draw, keeping row order.
     """
-    from tidewatch.operators.sampling import class_counts, trim_to_cap
-
     if target <= 0:
         raise ValueError(f"target must be positive, got {target}")
     parts = discover_parts(spark, root)
