@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import line_dedup, mixing, topk
+from tidewatch.llm import bpe, line_dedup, mixing, topk
 from tidewatch.llm import quality as quality_model
 from tidewatch.llm import toxicity as toxicity_model
 from tidewatch.llm.common import table
@@ -14,6 +14,17 @@ def op3_quality(spark, folder):
     return quality_model.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_bpe(spark, folder):
+    import public_tokenizers
+
+    coded = bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", "n_tokens",
+        F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op5_top_k(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -38,16 +49,16 @@ def op10_line_dedup(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_quality, op5_top_k, op6_toxicity, op9_mix_sources, op10_line_dedup)
+    for f in (op3_quality, op4_bpe, op5_top_k, op6_toxicity, op9_mix_sources, op10_line_dedup)
 }
 
 ORACLES = {
     "op5_top_k": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
