@@ -27,7 +27,7 @@ from tidewatch.session import cut_lineage
 #: The weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A size held by more documents than this is dealt into cells of about so many.
-CELL = 2048
+CELL = 256
 CLOSE_STEPS = 3
 
 
