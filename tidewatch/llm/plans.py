@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, jaccard, line_dedup, mixing, topk
+from tidewatch.llm import bpe, jaccard, line_dedup, mixing, repeats, topk
 from tidewatch.llm import quality as quality_model
 from tidewatch.llm import toxicity as toxicity_model
 from tidewatch.llm.common import table
@@ -33,6 +33,16 @@ def op6_toxicity(spark, folder):
     return toxicity_model.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_suffix_dedup(spark, folder):
+    kept = repeats.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return kept.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"),
+    )
+
+
 def op8_jaccard_join(spark, folder):
     groups = jaccard.jaccard_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id")
@@ -54,7 +64,7 @@ def op10_line_dedup(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_quality, op4_bpe, op5_top_k, op6_toxicity, op8_jaccard_join, op9_mix_sources, op10_line_dedup)
+    for f in (op3_quality, op4_bpe, op5_top_k, op6_toxicity, op7_suffix_dedup, op8_jaccard_join, op9_mix_sources, op10_line_dedup)
 }
 
 ORACLES = {
