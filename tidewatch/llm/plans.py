@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, jaccard, line_dedup, mixing, near_vectors, repeats, topk
+from tidewatch.llm import bpe, chat, jaccard, line_dedup, mixing, near_vectors, repeats, topk
 from tidewatch.llm import quality as quality_model
 from tidewatch.llm import toxicity as toxicity_model
 from tidewatch.llm.common import table
@@ -14,6 +14,10 @@ def op1_near_vectors(spark, folder):
     return near_vectors.near_groups(table(spark, folder, "embeddings"))
 
 
+def op2_chat_format(spark, folder):
+    return chat.chats(table(spark, folder, "conversations"))
+
+
 def op3_quality(spark, folder):
     return quality_model.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -68,7 +72,7 @@ def op10_line_dedup(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_vectors, op3_quality, op4_bpe, op5_top_k, op6_toxicity, op7_suffix_dedup, op8_jaccard_join, op9_mix_sources, op10_line_dedup)
+    for f in (op1_near_vectors, op2_chat_format, op3_quality, op4_bpe, op5_top_k, op6_toxicity, op7_suffix_dedup, op8_jaccard_join, op9_mix_sources, op10_line_dedup)
 }
 
 ORACLES = {
