@@ -15,8 +15,10 @@ tokens never open a posting list alone, and no list of pairs grows with the squa
 Components need not all pairs of a posting list. First each set is verified against the set it
 shares most lists with, of the least ones of its lists, which joins large groups of near copies by
 as many checks as they have members. Then every pair that still shares a list across two
-components, and whose sizes allow the link, is verified. Verification counts the common tokens
-of both whole sets.
+components, and whose sizes allow the link, is verified. Verification first compares parity bitmaps
+(a bit for each hash bucket: is the number of its tokens odd?): sets differ in at least as many
+tokens as their bitmaps in bits, so pairs too far apart go without their sets being moved. The
+others are decided by counting the common tokens of both whole sets.
 
 Defined results: texts that are null or without words have size 0 and link with nothing. With fewer
 than five words the whole sequence is one token. Rows with the same id are one node. Rows without
@@ -55,8 +57,24 @@ def prefix_length(n: int, level: int) -> int:
     return min(n, n - needed(n) + (1 << level) + 1)
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """A parity bitmap of 32 bits for each bucket of the set's level, 64 at least."""
+    size = max(64, 32 << level(len(tokens)))
+    counts = np.bincount((mix(tokens.view(np.uint64)) % np.uint64(size)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def too_far(x: bytes, n: int, y: bytes, m: int) -> bool:
+    """If the bitmaps alone show that two sets differ in more tokens than a link allows."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    # Sizes are powers of two: a longer bitmap folds onto a shorter one.
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
+    return 9 * int(np.bitwise_count(a ^ b).sum()) > n + m
+
+
 def _sets(rows: dict) -> dict:
-    out = {"doc_id": rows["doc_id"], "text_key": rows["text_key"], "n": [], "s1": [], "s2": [], "prefix": []}
+    out = {"doc_id": rows["doc_id"], "text_key": rows["text_key"], "n": [], "s1": [], "s2": [], "bits": [], "prefix": []}
     for text in rows["text"]:
         tokens = shingle_hashes(text)
         n = len(tokens)
@@ -64,14 +82,16 @@ def _sets(rows: dict) -> dict:
         out["n"].append(n)
         out["s1"].append(int(wide.sum(dtype=np.uint64).view(np.int64)))
         out["s2"].append(int(mix(wide).sum(dtype=np.uint64).view(np.int64)))
+        out["bits"].append(parity_bits(tokens))
         out["prefix"].append(tokens[: prefix_length(n, level(n))])
     return out
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n, s1, s2, prefix): size, two hashes of the set, its prefix by hash."""
+    """(doc_id, text_key, n, s1, s2, bits, prefix): size, two hashes of the set, its parity bitmap
+    and its prefix by hash."""
     return map_batches(
-        keyed(docs), _sets, "doc_id long, text_key long, n int, s1 long, s2 long, prefix array<long>"
+        keyed(docs), _sets, "doc_id long, text_key long, n int, s1 long, s2 long, bits binary, prefix array<long>"
     )
 
 
@@ -108,10 +128,15 @@ def _combinations(rows: dict) -> dict:
     return out
 
 
-def signatures(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, n, signature) of every set, where some other set has the same signature."""
     spark = docs.sparkSession
-    tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
+    tokens = (
+        sets.alias("s")
+        .join(reps.select(F.col("rep").alias("doc_id"), "text_key").alias("r"), same_document("s", "r"), "left_semi")
+        .dropDuplicates(["doc_id", "text_key"])
+        .select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("token"))
+    )
     shared = cut_lineage(
         spark, tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-tokens"
     )
@@ -147,10 +172,28 @@ def _verify(rows: dict) -> dict:
     return out
 
 
-def verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+def _possible(rows: dict) -> dict:
+    stay = [
+        not too_far(x, n, y, m)
+        for x, n, y, m in zip(rows["x"], rows["n"], rows["y"], rows["m"], strict=True)
+    ]
+    return {c: [v for v, s in zip(rows[c], stay, strict=True) if s] for c in ("a", "b")}
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are similar enough."""
+    spark = docs.sparkSession
+    bits = (
+        pairs.join(reps.select(F.col("rep").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m")), "b")
+        .join(reps.select(F.col("rep").alias("a"), F.col("bits").alias("x"), "n"), "a")
+        .select("a", "b", "x", "n", "y", "m")
+    )
+    near = cut_lineage(spark, map_batches(bits, _possible, "a long, b long"), "near-pairs")
+    named = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
+    named = cut_lineage(spark, reps.join(named, "rep").select("rep", "text_key"), "near-sets")
+    tokens = cut_lineage(spark, tokens_of(docs, named), "near-tokens")
     both = (
-        pairs.join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
+        near.join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
         .join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a")
         .select("a", "b", "x", "y")
     )
@@ -177,22 +220,18 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     reps = (
         sets.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy(*equal)
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("prefix").alias("prefix"))
-        .select(*equal, F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key"), "prefix")
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("bits").alias("bits"))
+        .select(*equal, F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key"), "bits")
     )
     reps = cut_lineage(spark, reps, "distinct-sets")
-    listed = signatures(docs, reps)
+    listed = signatures(docs, sets, reps)
     heads = listed.groupBy("signature").agg(F.min("rep").alias("head"), F.count("*").alias("sets")).where("sets > 1")
     heads = cut_lineage(spark, heads.select("signature", "head"), "posting-heads")
     listed = cut_lineage(spark, listed.join(heads, "signature"), "postings")
-    candidates = listed.select("rep").distinct()
-    tokens = cut_lineage(
-        spark, tokens_of(docs, reps.join(candidates, "rep").select("rep", "text_key")), "candidate-tokens"
-    )
     votes = listed.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("votes"))
     first = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("head")).alias("head"))).alias("best"))
     first = first.select(F.col("rep").alias("a"), (-F.col("best.head")).alias("b"))
-    links = cut_lineage(spark, verified(first, tokens), "first-links")
+    links = cut_lineage(spark, verified(first, reps, docs), "first-links")
     grouped = cut_lineage(spark, connected_components(links), "components")
     placed = listed.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select(
         "signature", "rep", "n", F.coalesce("component", "rep").alias("component")
@@ -213,7 +252,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         .distinct()
     )
     rest = cut_lineage(spark, rest, "open-pairs")
-    more = cut_lineage(spark, verified(rest, tokens), "more-links")
+    more = cut_lineage(spark, verified(rest, reps, docs), "more-links")
     grouped = cut_lineage(spark, connected_components(links.unionByName(more)), "components")
     named = reps.select(*equal, "rep").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
     named = cut_lineage(spark, named.select(*equal, F.coalesce("component", "rep").alias("component")), "named-sets")
