@@ -40,8 +40,8 @@ from tidewatch.llm.common import to_arrow
 CHUNK_BITS = 9
 WINDOW = 32
 #: Words, runs and chunks that a worker holds in each of two generations.
-WORDS, RUNS, CHUNKS = 220_000, 150_000, 6_000
-BATCH_BYTES = 4 << 20
+WORDS, RUNS, CHUNKS = 80_000, 60_000, 3_000
+BATCH_BYTES = 2 << 20
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True

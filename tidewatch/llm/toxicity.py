@@ -30,7 +30,7 @@ GRAMS = (3, 4, 5)
 BITS = 20
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows of each class that the fit may see.
-PER_CLASS = 4000
+PER_CLASS = 3000
 #: A log-count ratio counts if it is so many standard errors from 0.
 NOISE = 3.5
 
@@ -105,7 +105,11 @@ def logistic(x_rows, x_values, features, y, n_features, rounds=300, ridge=1e-3):
 
 def fit_grams(texts: list[str | None], y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets with their weights, and the intercept; ``share`` is the share of 1 to expect."""
-    rows, buckets = documents_with(lowered(texts), None)
+    parts = []
+    for at in range(0, len(texts), 256):
+        owners, found = documents_with(lowered(texts[at : at + 256]), None)
+        parts.append(((owners + at).astype(np.int32), found.astype(np.int32)))
+    rows, buckets = (np.concatenate(x) for x in zip(*parts, strict=True))
     size = 1 << BITS
     with_1 = np.bincount(buckets[y[rows] == 1], minlength=size) + 1.0
     with_0 = np.bincount(buckets[y[rows] == 0], minlength=size) + 1.0
