@@ -105,22 +105,24 @@ def logistic(x_rows, x_values, features, y, n_features, rounds=300, ridge=1e-3):
 
 def fit_grams(texts: list[str | None], y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets with their weights, and the intercept; ``share`` is the share of 1 to expect."""
-    parts = []
-    for at in range(0, len(texts), 256):
-        owners, found = documents_with(lowered(texts[at : at + 256]), None)
-        parts.append(((owners + at).astype(np.int32), found.astype(np.int32)))
-    rows, buckets = (np.concatenate(x) for x in zip(*parts, strict=True))
     size = 1 << BITS
-    with_1 = np.bincount(buckets[y[rows] == 1], minlength=size) + 1.0
-    with_0 = np.bincount(buckets[y[rows] == 0], minlength=size) + 1.0
+    # Once over the texts to count, once more for the buckets that matter: few, unlike all pairs.
+    slices = [slice(at, at + 256) for at in range(0, len(texts), 256)]
+    with_1, with_0 = np.ones(size), np.ones(size)
+    for part in slices:
+        rows, buckets = documents_with(lowered(texts[part]), None)
+        toxic = y[part][rows] == 1
+        with_1 += np.bincount(buckets[toxic], minlength=size)
+        with_0 += np.bincount(buckets[~toxic], minlength=size)
     n_1, n_0 = (y == 1).sum() + 2.0, (y == 0).sum() + 2.0
     ratio = np.log(with_1 / n_1) - np.log(with_0 / n_0)
     error = np.sqrt(1 / with_1 - 1 / n_1 + 1 / with_0 - 1 / n_0)
     chosen = np.flatnonzero(np.abs(ratio) > NOISE * error)
     column = np.full(size, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
-    kept = column[buckets] >= 0
-    rows, columns = rows[kept], column[buckets[kept]]
+    found = [documents_with(lowered(texts[part]), column >= 0) for part in slices]
+    rows = np.concatenate([r + part.start for part, (r, _) in zip(slices, found, strict=True)])
+    columns = column[np.concatenate([b for _, b in found])]
     scale = ratio[chosen]
     w, b = logistic(rows, scale[columns], columns, y.astype(float), len(chosen))
     expected = np.log(share / (1 - share)) - np.log(max(y.mean(), 1e-9) / max(1 - y.mean(), 1e-9))
