@@ -126,11 +126,11 @@ def average_precision(
     """Sum over distinct scores, descending, of recall gained times precision.
 
     Equal scores form one threshold and are merged before the shuffle. NaN when only one class
-    is present.
+    is present. Rows without a score or a truth are not ranked and do not count.
     """
     descending = df.select(
         (-F.col(score).cast("double")).alias("__key"), F.col(truth).cast("long").alias("__t")
-    )
+    ).dropna()
     chunk = value_chunk(descending, "__key", rows_per_chunk)
     thresholds = descending.groupBy("__key").agg(
         F.sum("__t").alias("__hits"), F.count(F.lit(1)).alias("__n")

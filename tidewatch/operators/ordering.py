@@ -212,7 +212,7 @@ def draw_cutoffs(
     )
     inside = Window.partitionBy(*keys, "__bucket", "__slot").orderBy("__draw")
     found = (
-        drawn.join(wanted, [*keys, "__bucket"])
+        null_safe_join(drawn, wanted, [*keys, "__bucket"])
         .withColumn("__at", F.row_number().over(inside) + F.col("__upto") - F.col("__n"))
         .where(F.col("__at") == F.greatest(F.col("__rank"), F.lit(1)))
         .select(
@@ -229,6 +229,15 @@ def draw_cutoffs(
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"):
+    """Join on ``keys``, where null meets null."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = F.lit(True)
+    for key in keys:
+        same = same & left[key].eqNullSafe(renamed[f"__right_{key}"])
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def value_chunk(
     df: DataFrame, value: str, rows_per_chunk: int = 1 << CHUNK_BITS
 ) -> Column:
@@ -265,9 +274,10 @@ def at_ranks(
     """Exact order statistics: per key, the values at the 0-based ranks ``ranks[name](n)``.
 
     Equal values are counted before they are shuffled, so a value held by a third of the rows
-    travels as one row per task.
+    travels as one row per task. Null values have no rank and do not count.
     """
     keys = list(keys)
+    df = df.where(F.col(value).isNotNull())
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     placed = running(
         counted,

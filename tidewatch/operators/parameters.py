@@ -63,6 +63,8 @@ def unweighted_average(parameters: DataFrame) -> DataFrame:
 
 
 def _combine(weighted: DataFrame, n_clients: Column) -> DataFrame:
+    # Averaged in doubles, then back in the type that came in.
+    kind = weighted.schema["value"].dataType
     value = F.col("value").cast("double")
     total = F.sum(value * F.col("__w"))
     if "is_float" in weighted.columns:
@@ -74,7 +76,7 @@ def _combine(weighted: DataFrame, n_clients: Column) -> DataFrame:
         result.alias("value"), F.count(F.lit(1)).alias("__clients"), *kept
     )
     flags = ["is_float"] if kept else []
-    return merged.select("name", "pos", _checked(merged, n_clients).alias("value"), *flags)
+    return merged.select("name", "pos", _checked(merged, n_clients).cast(kind).alias("value"), *flags)
 
 
 def alignment_errors(parameters: DataFrame) -> DataFrame:

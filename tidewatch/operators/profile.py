@@ -124,13 +124,19 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(
             F.lit(a).alias("a"),
             F.lit(b).alias("b"),
-            F.coalesce(
-                F.try_divide(
-                    F.covar_pop(_double(a), _double(b)),
-                    F.stddev_pop(_double(a)) * F.stddev_pop(_double(b)),
+            # A constant is known by its extremes; its merged moments leave noise to divide by.
+            F.when(
+                (F.min(_double(a)) < F.max(_double(a))) & (F.min(_double(b)) < F.max(_double(b))),
+                F.coalesce(
+                    F.try_divide(
+                        F.covar_pop(_double(a), _double(b)),
+                        F.stddev_pop(_double(a)) * F.stddev_pop(_double(b)),
+                    ),
+                    F.lit(0.0),
                 ),
-                F.lit(0.0),
-            ).alias("r"),
+            )
+            .otherwise(F.lit(0.0))
+            .alias("r"),
         )
         for a, b in pairs
     ]

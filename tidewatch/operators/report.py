@@ -109,11 +109,13 @@ def ablation_verdict(metrics: DataFrame, keys: Sequence[str], value: str, short:
 
 
 def run_comparison(metrics: DataFrame, reference_run: str, value: str) -> DataFrame:
-    """Per (run, config, model, client): the mean over seeds, the range over clients, and whether
-    every seed equals the reference run's."""
-    by_client = metrics.groupBy("run", "config", "model", "client").agg(
-        F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most")
+    """Per (run, config, model, client): the mean over seeds, the least and most of these means
+    over the run's clients, and whether every seed equals the reference run's."""
+    by_client = metrics.groupBy("run", "config", "model", "client").agg(F.avg(value).alias("mean"))
+    spread = by_client.groupBy("run", "config", "model").agg(
+        F.min("mean").alias("least"), F.max("mean").alias("most")
     )
+    by_client = by_client.join(spread, ["run", "config", "model"])
     reference = metrics.where(F.col("run") == reference_run).select(
         "config", "model", "client", "seed", F.col(value).alias("__reference")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.draws import draw
-from tidewatch.operators.ordering import draw_cutoffs
+from tidewatch.operators.ordering import draw_cutoffs, null_safe_join
 
 
 def pool(*frames: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _keep_smallest(df: DataFrame, keys: list[str], seed: int, row_id: str, cap:
     order = draw(seed, row_id)
     cutoffs = draw_cutoffs(df, keys, order, lambda n: F.array(F.least(n, F.lit(cap))))
     if keys:
-        joined = df.join(cutoffs, keys)
+        joined = null_safe_join(df, cutoffs, keys)
         return joined.where(order <= F.col("cutoffs")[0]).select(*df.columns)
     # A sample of the whole table has one cutoff, a single value.
     found = cutoffs.first()

@@ -65,10 +65,12 @@ def client_stats(df: DataFrame, client: str, features: Sequence[str]) -> DataFra
 def combine_stats(parts: DataFrame) -> DataFrame:
     """Pool client statistics without their rows: means first, then squared deviations.
 
-    Clients without rows are skipped. A feature that some client does not report fails the job.
+    Clients without rows are skipped; when none has any, that is an error. A feature that some client does not report fails the job.
     A feature that is one constant for all clients stays exactly that.
     """
     filled = parts.where(F.col("count") > 0)
+    if filled.isEmpty():
+        raise ValueError("none of the clients has rows to combine")
     weighted = filled.groupBy("feature").agg(
         F.sum("count").alias("n"),
         F.count(F.lit(1)).alias("reporting"),

@@ -16,6 +16,7 @@ from tidewatch.operators.ordering import (
     bounded_table,
     by_position,
     draw_cutoffs,
+    null_safe_join,
     running_count,
     sliding,
     with_halo,
@@ -111,7 +112,7 @@ def pooled_blocks(
             ).alias("__blocks_before"),
         )
     )
-    return ranked.join(offsets, label).select(
+    return null_safe_join(ranked, offsets, [label]).select(
         *df.columns,
         (F.col("__rows_before") + F.col("__rank")).alias("pos"),
         (F.col("__blocks_before") + F.floor(F.col("__rank") / block_size)).alias("block_id"),
@@ -159,11 +160,22 @@ def _block_cutoffs(blocks: DataFrame, label: str, seed: int, ranks) -> DataFrame
         kept.unpersist()
 
 
+def _with_cutoffs(df: DataFrame, cutoffs: DataFrame, label: str) -> DataFrame:
+    """Rows with their class's cutoffs; a row of a class without any, or of none, fails the job."""
+    stray = F.raise_error(
+        F.concat(F.lit("no cutoffs for the label "), F.coalesce(F.col(label).cast("string"), F.lit("null")))
+    )
+    known = F.col(label).isNotNull() & F.col("cutoffs").isNotNull()
+    return df.join(cutoffs, label, "left").withColumn(
+        "cutoffs", F.when(known, F.col("cutoffs")).otherwise(stray.cast("array<string>"))
+    )
+
+
 def assign_side(df: DataFrame, cutoffs: DataFrame, label: str, seed: int) -> DataFrame:
     """Add ``side`` ('test' or 'train') to blocks or to rows that carry a block id."""
     chosen = draw(seed, label, "block_id") <= F.col("cutoffs")[0]
     return (
-        df.join(cutoffs, label)
+        _with_cutoffs(df, cutoffs, label)
         .withColumn("side", F.when(chosen, F.lit("test")).otherwise(F.lit("train")))
         .select(*df.columns, "side")
     )
@@ -256,7 +268,7 @@ def assign_clients(df: DataFrame, cutoffs: DataFrame, label: str, seed: int) ->
     """Add ``client_id`` to blocks or to rows: how many cuts the block's draw lies beyond."""
     order = draw(seed, label, "block_id")
     client = F.size(F.filter("cutoffs", lambda cut: order > cut))
-    return df.join(cutoffs, label).withColumn("client_id", client).select(
+    return _with_cutoffs(df, cutoffs, label).withColumn("client_id", client).select(
         *df.columns, "client_id"
     )
 

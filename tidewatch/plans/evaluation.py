@@ -340,11 +340,13 @@ SELECT a.config, round(a.m, 6) AS short_mean, round(b.m, 6) AS long_mean,
        b.m - a.m > 2 * greatest(a.s, b.s) AS earned
 FROM sides a JOIN sides b ON a.config = b.config AND a.w = 1 AND b.w = 16"""),
     "run_comparison": C.sql(_RUNS, query="""
-SELECT r.run, r.config, r.model, r.client, round(avg(r.macro_f1), 6) AS mean,
-       round(min(r.macro_f1), 6) AS least, round(max(r.macro_f1), 6) AS most,
-       bool_and(coalesce(r.macro_f1 = a.macro_f1, false)) AS equals_reference
-FROM runs r LEFT JOIN runs a ON a.run = 'A' AND a.config = r.config AND a.model = r.model
-  AND a.client = r.client AND a.seed = r.seed GROUP BY ALL"""),
+SELECT run, config, model, client, round(m, 6) AS mean,
+       round(min(m) OVER (PARTITION BY run, config, model), 6) AS least,
+       round(max(m) OVER (PARTITION BY run, config, model), 6) AS most, equals_reference
+FROM (SELECT r.run, r.config, r.model, r.client, avg(r.macro_f1) AS m,
+             bool_and(coalesce(r.macro_f1 = a.macro_f1, false)) AS equals_reference
+      FROM runs r LEFT JOIN runs a ON a.run = 'A' AND a.config = r.config
+        AND a.model = r.model AND a.client = r.client AND a.seed = r.seed GROUP BY ALL)"""),
     "nearest_rank_pct": f"""
 SELECT o_orderpriority, any_value(n) AS n, {_nearest(50)}, {_nearest(95)}, {_nearest(99)}
 FROM (SELECT o_orderpriority, o_totalprice,

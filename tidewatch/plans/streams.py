@@ -34,7 +34,7 @@ def _batch(spark, folder):
 
 def _stream(spark, folder):
     schema = table(spark, folder, "events").schema
-    raw = jobs.file_stream(spark, folder, schema, "events.parquet")
+    raw = jobs.table_stream(spark, f"{folder}/events.parquet", schema)
     return _messages(raw.select(
         "event_id", F.col("user_id").alias("source"), F.col("event_type").alias("label"),
         "value", F.get_json_object("props", "$.k").cast("int").alias("k"),

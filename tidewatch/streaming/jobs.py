@@ -25,6 +25,20 @@ def file_stream(
     )
 
 
+def table_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """A parquet table as a stream, be it a folder of part files or a single file.
+
+    A table that is not there fails at once, rather than giving a stream without rows.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        raise FileNotFoundError(path)
+    if files.getFileStatus(place).isDirectory():
+        return file_stream(spark, path, schema, "*.parquet", files_per_batch)
+    return file_stream(spark, str(place.getParent()), schema, place.getName(), files_per_batch)
+
+
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """Process all available input into a parquet table below ``folder`` and read it back.
 
