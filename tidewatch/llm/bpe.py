@@ -6,7 +6,7 @@ over range partitions and orders them there, so that texts with common chunks me
 next to each other, while a large group of copies still spreads over many ranges (the id is part
 of the key). A task encodes each chunk it has not seen once and reuses it in all other texts. A new
 chunk is in turn made of runs between white space, and a plain run of a word and marks, the finest
-chunks; the tokenizer gets only those not seen yet. A worker keeps a bounded number of each.
+chunks; the tokenizer gets only those not seen yet. A task keeps a bounded number of each.
 
 A cut may fall inside a word, so the joins are repaired: from the cut, the re-encoded stretch
 widens to the nearest white space on either side. There both sides agree exactly with the encoding
@@ -24,8 +24,6 @@ import gc
 import json
 import os
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +37,8 @@ from tidewatch.llm.common import to_arrow
 #: Bytes of text, on average, in a chunk: 2^9.
 CHUNK_BITS = 9
 WINDOW = 32
-#: Words, runs and chunks that a worker holds in each of two generations.
-WORDS, RUNS, CHUNKS = 80_000, 60_000, 3_000
+#: Words, runs and chunks that a task holds in each of two generations.
+WORDS, RUNS, CHUNKS = 60_000, 50_000, 2_000
 BATCH_BYTES = 2 << 20
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _WHITE = np.zeros(256, bool)
@@ -264,16 +262,6 @@ def open_chunk(chunk: bytes) -> tuple[bytes, list[bytes] | None, bytes]:
     return chunk[:first], chunk[first : last + 1].split(), chunk[last + 1 :]
 
 
-def worker_coder(path: str) -> ChunkCoder:
-    """The coder of this worker process, which keeps what it knows from task to task."""
-    kept = sys.modules.setdefault("_tidewatch_worker", types.ModuleType("_tidewatch_worker"))
-    coders = kept.__dict__.setdefault("coders", {})
-    if path not in coders:
-        coders.clear()
-        coders[path] = ChunkCoder(path)
-    return coders[path]
-
-
 def encode(docs: DataFrame, path: str, *columns: str) -> DataFrame:
     """Each row's ``columns`` (default: doc_id) with ``n_tokens``, ``ids`` (decimal, joined by a
     space) and ``decoded``. ``path`` names the tokenizer's file on every machine."""
@@ -299,7 +287,7 @@ def encode(docs: DataFrame, path: str, *columns: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            coder = coder or worker_coder(path)
+            coder = coder or ChunkCoder(path)
             texts = batch["__text"].to_pylist()
             rest = batch.drop_columns(["__text"])
             for begin, end in stretches(texts):
