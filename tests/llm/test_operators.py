@@ -353,3 +353,24 @@ def test_all_queries_are_registered():
     import __spark_entry__ as entry
 
     assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {n.split("_")[0] for n in entry.queries()}
+
+
+def test_toxicity_fit_does_not_depend_on_the_slices(monkeypatch):
+    texts = [f"clean note {i} on weather" if i % 3 else f"vile insult {i} at you" for i in range(300)] + ["", None]
+    y = np.array([0 if i % 3 else 1 for i in range(300)] + [0, 0])
+    whole = toxicity.fit_grams(texts, y, 1 / 3)
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    monkeypatch.setattr(toxicity, "SLICE_CHARS", 90)
+    sliced = toxicity.fit_grams(texts, y, 1 / 3)
+    assert (whole[0] == sliced[0]).all()
+    assert np.allclose(whole[1], sliced[1], atol=1e-6) and abs(whole[2] - sliced[2]) < 1e-6
+
+
+def test_toxicity_grams_of_a_very_long_text():
+    text = b" " + b"".join(b"%d " % i for i in range(700_000)) + b" "
+    rows, buckets = toxicity.documents_with([text], None)
+    assert len(np.unique(buckets)) == len(buckets) and not rows.any()
+    expected = set()
+    for n, found in toxicity.gram_buckets(np.frombuffer(text, np.uint8)):
+        expected |= set(np.unique(found).tolist())
+    assert set(buckets.tolist()) == expected

@@ -31,6 +31,8 @@ BITS = 20
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows of each class that the fit may see.
 PER_CLASS = 3000
+#: Texts and characters whose n-grams are held at once; a longer text is a slice of its own.
+SLICE, SLICE_CHARS = 256, 1 << 20
 #: A log-count ratio counts if it is so many standard errors from 0.
 NOISE = 3.5
 
@@ -53,7 +55,7 @@ def gram_buckets(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def documents_with(texts: list[bytes], wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, bucket) pairs, of the buckets marked in ``wanted`` if given."""
-    found = [np.zeros(0, np.int64)]
+    found, waiting = [np.zeros(0, np.int64)], 0
     for data, starts, owners in packs(texts, max(GRAMS) - 1):
         # Piece of each byte's place; an n-gram that holds the zero byte after a piece is none.
         ends = np.append(starts[1:], len(data)) - 1
@@ -66,40 +68,65 @@ def documents_with(texts: list[bytes], wanted: np.ndarray | None) -> tuple[np.nd
             inside = at + n <= ends[piece]
             pairs = (owners[piece[inside]] << BITS) | buckets[at[inside]].astype(np.int64)
             found.append(np.unique(pairs))
+            waiting += len(found[-1])
+        # The pieces of a very long text repeat its pairs.
+        if waiting > 1 << 22:
+            found, waiting = [np.unique(np.concatenate(found))], 0
     pairs = np.unique(np.concatenate(found))
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def logistic(x_rows, x_values, features, y, n_features, rounds=300, ridge=1e-3):
+def slices_of(texts: list[str | None]) -> list[slice]:
+    """Neighbouring texts, at most ``SLICE`` of them and about ``SLICE_CHARS`` characters together."""
+    out, begin, size = [], 0, 0
+    for i, text in enumerate(texts):
+        if i > begin and (i - begin == SLICE or size + len(text or "") > SLICE_CHARS):
+            out.append(slice(begin, i))
+            begin, size = i, 0
+        size += len(text or "")
+    return [*out, slice(begin, len(texts))] if len(texts) else out
+
+
+def logistic(blocks: list[tuple[np.ndarray, np.ndarray]], parts: list[slice], scale: np.ndarray, y: np.ndarray,
+             rounds=300, ridge=1e-3):
     """Weights and intercept of a logistic regression, by accelerated gradient steps.
 
-    The matrix comes as coordinates: row, column and value of each entry.
+    A block holds (row within its part, column) of each entry; the entry's value is the column's scale.
     """
-    n = len(y)
-    squares = np.bincount(x_rows, x_values**2, n)
-    step = 1.0 / (0.25 * (squares.max(initial=0.0) + 1.0) + ridge)
+    n, n_features = len(y), len(scale)
+
+    def by_row(of_column):
+        each = [np.bincount(r, of_column[c], p.stop - p.start) for p, (r, c) in zip(parts, blocks, strict=True)]
+        return np.concatenate(each) if each else np.zeros(0)
+
+    def by_column(of_row):
+        g = np.zeros(n_features)
+        for p, (r, c) in zip(parts, blocks, strict=True):
+            g += np.bincount(c, of_row[p][r], n_features)
+        return g * scale
+
     # The largest row norm bounds the curvature far too high; grow the step while the loss falls.
-    w, b = np.zeros(n_features), 0.0
-    m_w, m_b = w.copy(), b
+    step = 1.0 / (0.25 * (by_row(scale**2).max(initial=0.0) + 1.0) + ridge)
+    w, b, z = np.zeros(n_features), 0.0, np.zeros(n)
+    m_w, m_b, m_z = w, b, z
 
-    def loss(w, b):
-        z = np.bincount(x_rows, x_values * w[features], n) + b
-        return np.mean(np.logaddexp(0, z) - y * z) + ridge / 2 * w @ w, z
+    def loss(w, z):
+        return np.mean(np.logaddexp(0, z) - y * z) + ridge / 2 * w @ w
 
-    best, _ = loss(w, b)
+    best = loss(w, z)
     for t in range(1, rounds + 1):
-        _, z = loss(m_w, m_b)
-        off = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        g_w = np.bincount(features, x_values * off[x_rows], n_features) + ridge * m_w
-        g_b = off.sum()
-        new_w, new_b = m_w - step * g_w, m_b - step * g_b
-        value, _ = loss(new_w, new_b)
+        off = (1 / (1 + np.exp(-np.clip(m_z, -40, 40))) - y) / n
+        new_w = m_w - step * (by_column(off) + ridge * m_w)
+        new_b = m_b - step * off.sum()
+        new_z = by_row(new_w * scale) + new_b
+        value = loss(new_w, new_z)
         if value > best:
-            step, m_w, m_b = step / 2, w, b
+            step, m_w, m_b, m_z = step / 2, w, b, z
             continue
+        # Margins are linear in the weights, so those of the point ahead need no pass of their own.
         momentum = (t - 1) / (t + 2)
-        m_w, m_b = new_w + momentum * (new_w - w), new_b + momentum * (new_b - b)
-        w, b, best, step = new_w, new_b, value, step * 1.1
+        m_w, m_b, m_z = (new + momentum * (new - old) for new, old in ((new_w, w), (new_b, b), (new_z, z)))
+        w, b, z, best, step = new_w, new_b, new_z, value, step * 1.1
     return w, b
 
 
@@ -107,9 +134,9 @@ def fit_grams(texts: list[str | None], y: np.ndarray, share: float) -> tuple[np.
     """Buckets with their weights, and the intercept; ``share`` is the share of 1 to expect."""
     size = 1 << BITS
     # Once over the texts to count, once more for the buckets that matter: few, unlike all pairs.
-    slices = [slice(at, at + 256) for at in range(0, len(texts), 256)]
+    parts = slices_of(texts)
     with_1, with_0 = np.ones(size), np.ones(size)
-    for part in slices:
+    for part in parts:
         rows, buckets = documents_with(lowered(texts[part]), None)
         toxic = y[part][rows] == 1
         with_1 += np.bincount(buckets[toxic], minlength=size)
@@ -120,11 +147,12 @@ def fit_grams(texts: list[str | None], y: np.ndarray, share: float) -> tuple[np.
     chosen = np.flatnonzero(np.abs(ratio) > NOISE * error)
     column = np.full(size, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
-    found = [documents_with(lowered(texts[part]), column >= 0) for part in slices]
-    rows = np.concatenate([r + part.start for part, (r, _) in zip(slices, found, strict=True)])
-    columns = column[np.concatenate([b for _, b in found])]
+    blocks = []
+    for part in parts:
+        rows, buckets = documents_with(lowered(texts[part]), column >= 0)
+        blocks.append((rows.astype(np.uint8), column[buckets]))
     scale = ratio[chosen]
-    w, b = logistic(rows, scale[columns], columns, y.astype(float), len(chosen))
+    w, b = logistic(blocks, parts, scale, y.astype(float))
     expected = np.log(share / (1 - share)) - np.log(max(y.mean(), 1e-9) / max(1 - y.mean(), 1e-9))
     return chosen, w * scale, float(b + expected)
 
@@ -180,9 +208,12 @@ def score_toxicity(docs: DataFrame, model, *columns: str, threshold: float = 0.5
         table[buckets] = weights
         wanted = np.zeros(size, bool)
         wanted[buckets] = True
-        texts = lowered(rows.pop("__text"))
-        owners, found = documents_with(texts, wanted)
-        z = np.clip(np.bincount(owners, table[found], len(texts)) + intercept, -40, 40)
+        texts = rows.pop("__text")
+        z = np.zeros(len(texts))
+        for part in slices_of(texts):
+            owners, found = documents_with(lowered(texts[part]), wanted)
+            z[part] = np.bincount(owners, table[found], part.stop - part.start)
+        z = np.clip(z + intercept, -40, 40)
         p = 1 / (1 + np.exp(-z))
         return rows | {"__score": p.tolist(), "__predicted": (p >= threshold).astype(int).tolist()}
 
