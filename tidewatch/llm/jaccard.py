@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import keyed, map_batches, same_document
+from tidewatch.llm.common import keyed, map_batches
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.shingles import mix, shingle_hashes
 from tidewatch.session import cut_lineage
@@ -100,10 +100,13 @@ def _all_tokens(rows: dict) -> dict:
 
 
 def tokens_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, tokens) of the documents (rep, text_key) in ``reps``."""
-    wanted = reps.select(F.col("rep").alias("doc_id"), "text_key")
-    own = keyed(docs).alias("d").join(wanted.alias("w"), same_document("d", "w")).select("d.doc_id", "d.text")
-    return map_batches(own, _all_tokens, "rep long, tokens array<long>").dropDuplicates(["rep"])
+    """(rep, tokens) of the documents (rep, text_key) in ``reps``, one row a rep.
+
+    Texts are made unique where the join has put them, so that token arrays are not shuffled for it.
+    """
+    wanted = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.min("text_key").alias("text_key"))
+    own = keyed(docs).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    return map_batches(own.select("doc_id", "text"), _all_tokens, "rep long, tokens array<long>")
 
 
 def _combinations(rows: dict) -> dict:
@@ -132,8 +135,8 @@ def signatures(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, n, signature) of every set, where some other set has the same signature."""
     spark = docs.sparkSession
     tokens = (
-        sets.alias("s")
-        .join(reps.select(F.col("rep").alias("doc_id"), "text_key").alias("r"), same_document("s", "r"), "left_semi")
+        sets.select("doc_id", "text_key", "n", "prefix")
+        .join(reps.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi")
         .dropDuplicates(["doc_id", "text_key"])
         .select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("token"))
     )
@@ -145,19 +148,21 @@ def signatures(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     )
     # Only sets with a frequent token in their prefix get another prefix when those come last.
     moved = hits.where("often").select("rep").distinct()
-    moved = cut_lineage(spark, reps.join(moved, "rep").select("rep", "text_key", "n"), "moved-sets")
-    often = shared.where(F.col("sets") > FREQUENT).select("token", F.lit(True).alias("often"))
-    whole = tokens_of(docs, moved).select("rep", F.explode("tokens").alias("token"))
-    parted = (
-        whole.join(often, "token", "left")
+    moved = cut_lineage(spark, reps.join(moved, "rep").select("rep", "text_key"), "moved-sets")
+    often = shared.where(F.col("sets") > FREQUENT).select("token")
+    whole = cut_lineage(spark, tokens_of(docs, moved), "moved-tokens")
+    # Only frequent tokens travel back to their sets; what is not among them is rare.
+    common = (
+        whole.select("rep", F.explode("tokens").alias("token"))
+        .join(often, "token")
         .groupBy("rep")
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("often").isNull(), F.col("token")))).alias("rare"),
-            F.array_sort(F.collect_list(F.when(F.col("often"), F.col("token")))).alias("frequent"),
-        )
-        .join(moved.select("rep", "n"), "rep")
+        .agg(F.array_sort(F.collect_list("token")).alias("frequent"))
+    )
+    frequent = F.coalesce("frequent", F.array().cast("array<bigint>"))
+    parted = whole.join(common, "rep", "left").select(
+        "rep", F.size("tokens").alias("n"), F.array_except("tokens", frequent).alias("rare"), frequent.alias("frequent")
     )
-    combined = map_batches(parted.select("rep", "n", "rare", "frequent"), _combinations, "rep long, n int, signature long")
+    combined = map_batches(parted, _combinations, "rep long, n int, signature long")
     single = hits.join(moved.select("rep"), "rep", "left_anti").select("rep", "n", F.col("token").alias("signature"))
     return cut_lineage(spark, single.unionByName(combined), "signatures")
 
