@@ -235,6 +235,20 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
     assert N.near_groups(df.limit(0)).count() == 0
 
 
+def test_near_vectors_lose_no_link_among_many_almost_near(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHARD", 1200)
+    rng = np.random.default_rng(7)
+    own = lambda n: N.unit(rng.normal(size=(n, 64)))
+    base = N.unit(0.85**0.5 * own(2)[np.arange(2000) % 2] + 0.15**0.5 * own(2000))
+    off = own(100)
+    off -= (off * base[:100]).sum(axis=1, keepdims=True) * base[:100]
+    points = np.concatenate((base, 0.905 * base[:100] + (1 - 0.905**2) ** 0.5 * N.unit(off)))
+    near = N.unit(points) @ N.unit(points).T >= 0.9
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(points)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in N.near_groups(df).collect()}
+    assert got == dict(enumerate((near.sum(axis=1) - 1).tolist()))
+
+
 def test_graph_finds_what_brute_force_finds():
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(60, 16))
