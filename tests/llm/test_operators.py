@@ -175,6 +175,34 @@ def test_repeated_bytes_go(docs, empty, rows, classes, monkeypatch):
         assert r["n_bytes"] == len(r["kept"]) + sum(x["end"] - x["start"] for x in r["removed"])
 
 
+def test_the_edge_of_a_common_passage_fills_no_shard(spark, monkeypatch):
+    heights = []
+
+    def seen(spark, df, purpose, cut=repeats.cut_lineage):
+        out = cut(spark, df, purpose)
+        if purpose == "shard-strings":
+            heights.append(out.groupBy("shard").count().agg(F.max("count")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(repeats, "CLASSES", 8)
+    monkeypatch.setattr(repeats, "cut_lineage", seen)
+    rng = np.random.default_rng(3)
+    own = lambda: bytes(rng.integers(97, 123, 150, np.uint8)).decode()
+    passage = own() + own()
+    made = [(i, own() + passage + own(), "en", "s", 1, 1, 0.0) for i in range(60)]
+    got = repeats.remove_repeats(spark.createDataFrame(made, DOCS).repartition(3)).collect()
+    for r in got:
+        text = made[r["doc_id"]][1].encode()
+        # A byte next to the passage may be the same in an earlier document.
+        before = {made[i][1].encode() for i in range(r["doc_id"])}
+        gone = np.zeros(len(text), bool)
+        for s in range(len(text) - 99):
+            if any(text[s : s + 100] in other for other in before):
+                gone[s : s + 100] = True
+        assert bytes(r["kept"]) == bytes(np.frombuffer(text, np.uint8)[~gone])
+    assert len(got) == 60 and max(heights) <= 8
+
+
 def test_mix_meets_its_targets(spark, docs, empty):
     many = spark.range(4000).select(
         F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), (F.xxhash64("id") % 40 + 41).cast("int")), " ").alias("text"),
