@@ -120,6 +120,25 @@ def test_frequent_tokens_link_through_combinations(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_tokens_of_refilled_prefixes_open_no_long_list(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    lists = []
+
+    def seen(docs, sets, reps, own=jaccard.signatures):
+        out = own(docs, sets, reps)
+        lists.append(out.groupBy("signature").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(jaccard, "signatures", seen)
+    # Half of each set is its own, more than a prefix: all signatures are of one token.
+    passage = " ".join(f"p{i}" for i in range(300))
+    made = [(i, f"{passage} " + " ".join(f"w{i}x{j}" for j in range(300)), "en", "s", 1, 1, 0.0) for i in range(30)]
+    made.append((30, made[0][1] + " end", "en", "s", 1, 1, 0.0))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(spark.createDataFrame(made, DOCS)).collect()}
+    assert got == {i: i % 30 for i in range(31)}
+    assert lists[0] <= 8
+
+
 def test_prefixes_share_a_signature_whenever_sets_link():
     rng = np.random.default_rng(8)
     for n in (4, 5, 17, 40, 90, 400):

@@ -10,7 +10,8 @@ come last. The prefix is extended so that l = b + 1, and a set is indexed by
 
 if no rare token is shared, b + 1 frequent ones are, and two of them share a bucket. The number of
 buckets follows the smaller of two set sizes, so a set is indexed for one or two numbers. Frequent
-tokens never open a posting list alone, and no list of pairs grows with the square of a prefix.
+tokens never open a posting list alone: sets whose prefix is filled up again are counted whole, until
+no token of a list is held by more than ``FREQUENT`` sets. And no list of pairs grows with the square of a prefix.
 
 Components need not all pairs of a posting list. First each set is verified against the set it
 shares most lists with, of the least ones of its lists, which joins large groups of near copies by
@@ -39,7 +40,7 @@ from tidewatch.llm.components import connected_components
 from tidewatch.llm.shingles import mix, shingle_hashes
 from tidewatch.session import cut_lineage
 
-#: A token that the prefixes of more sets hold is of the frequent class.
+#: A token that more sets hold, in prefixes or anywhere in a set that is refilled, is of the frequent class.
 FREQUENT = 64
 
 
@@ -143,14 +144,25 @@ def signatures(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     shared = cut_lineage(
         spark, tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-tokens"
     )
-    hits = cut_lineage(
-        spark, tokens.join(shared, "token").select("rep", "n", "token", (F.col("sets") > FREQUENT).alias("often")), "token-hits"
-    )
-    # Only sets with a frequent token in their prefix get another prefix when those come last.
-    moved = hits.where("often").select("rep").distinct()
-    moved = cut_lineage(spark, reps.join(moved, "rep").select("rep", "text_key"), "moved-sets")
-    often = shared.where(F.col("sets") > FREQUENT).select("token")
-    whole = cut_lineage(spark, tokens_of(docs, moved), "moved-tokens")
+    hits = cut_lineage(spark, tokens.join(shared, "token").select("rep", "n", "token"), "token-hits")
+    often = fresh = shared.where(F.col("sets") > FREQUENT).select("token")
+    moved, whole = reps.select("rep", "text_key").limit(0), None
+    # Only sets with a frequent token in their prefix get another prefix when those come last. It is
+    # filled with tokens further on, so all tokens of these sets count, until none becomes frequent.
+    while True:
+        found = hits.join(fresh, "token").select("rep").distinct().join(moved, "rep", "left_anti")
+        added = cut_lineage(spark, reps.join(found, "rep").select("rep", "text_key"), "moved-sets")
+        tokens_added = cut_lineage(spark, tokens_of(docs, added), "moved-tokens")
+        moved = moved.unionByName(added)
+        whole = tokens_added if whole is None else whole.unionByName(tokens_added)
+        listed = whole.select(F.explode("tokens").alias("token")).unionByName(
+            hits.join(moved, "rep", "left_anti").select("token")
+        )
+        counted = listed.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > FREQUENT)
+        fresh = cut_lineage(spark, counted.select("token").join(often, "token", "left_anti"), "frequent-tokens")
+        if fresh.isEmpty():
+            break
+        often = often.unionByName(fresh)
     # Only frequent tokens travel back to their sets; what is not among them is rare.
     common = (
         whole.select("rep", F.explode("tokens").alias("token"))
