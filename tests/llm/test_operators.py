@@ -350,6 +350,10 @@ def test_classifiers_on_rows_they_never_saw(spark, empty, column):
     assert run(docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_draws_four_thousand_rows_a_class():
+    assert toxicity.fit_toxicity.__defaults__[1] == toxicity.PER_CLASS == 4000
+
+
 def test_roles_come_back_without_their_markers(spark):
     rows = []
     for c in range(120):

@@ -30,7 +30,7 @@ GRAMS = (3, 4, 5)
 BITS = 20
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows of each class that the fit may see.
-PER_CLASS = 3000
+PER_CLASS = 4000
 #: Texts and characters whose n-grams are held at once; a longer text is a slice of its own.
 SLICE, SLICE_CHARS = 256, 1 << 20
 #: A log-count ratio counts if it is so many standard errors from 0.
