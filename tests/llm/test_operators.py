@@ -417,7 +417,7 @@ def test_pipeline_stages_keep_their_promises(spark, tmp_path, docs, rows):
 def test_all_queries_are_registered():
     import __spark_entry__ as entry
 
-    assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {n.split("_")[0] for n in entry.queries()}
+    assert {"pipeline", *(f"op{n}" for n in range(1, 14))} <= {n.split("_")[0] for n in entry.queries()}
 
 
 def test_toxicity_fit_does_not_depend_on_the_slices(monkeypatch):

@@ -1,10 +1,10 @@
-"""The ten queries ``opN_<name>``, and the SQL of those that SQL can say."""
+"""The queries ``opN_<name>``, and the SQL of those that SQL can say."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, jaccard, line_dedup, mixing, near_vectors, repeats, topk
+from tidewatch.llm import bpe, chat, codes, jaccard, langid, line_dedup, merkle, mixing, near_vectors, repeats, topk
 from tidewatch.llm import quality as quality_model
 from tidewatch.llm import toxicity as toxicity_model
 from tidewatch.llm.common import table
@@ -70,11 +70,121 @@ def op10_line_dedup(spark, folder):
     )
 
 
+def op11_language_id(spark, folder):
+    return langid.language_id(table(spark, folder, "documents"))
+
+
+def op12_merkle_manifest(spark, folder):
+    return merkle.audited(table(spark, folder, "documents"))
+
+
+def op13_vector_codes(spark, folder):
+    return codes.compressed(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_vectors, op2_chat_format, op3_quality, op4_bpe, op5_top_k, op6_toxicity, op7_suffix_dedup, op8_jaccard_join, op9_mix_sources, op10_line_dedup)
+    for f in (
+        op1_near_vectors, op2_chat_format, op3_quality, op4_bpe, op5_top_k, op6_toxicity, op7_suffix_dedup,
+        op8_jaccard_join, op9_mix_sources, op10_line_dedup, op11_language_id, op12_merkle_manifest, op13_vector_codes,
+    )
 }
 
+
+def vector_codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """One pair of steps for each round: nearest entries, then their averages."""
+    steps = ["""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (
+  SELECT vec_id, label, (i - 1) // (len(e) // 8) AS p, (i - 1) % (len(e) // 8) AS j, v
+  FROM (SELECT vec_id, label, e, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM kept)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept ORDER BY vec_id LIMIT 16),
+book0 AS (SELECT p, k, j, v FROM x JOIN first USING (vec_id))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS (
+  SELECT vec_id, p, min(k) AS k, min(d) AS d
+  FROM (SELECT *, min(d) OVER (PARTITION BY vec_id, p) AS least
+        FROM (SELECT vec_id, p, k, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN book{r} c USING (p, j) GROUP BY ALL))
+  WHERE d = least GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""
+mean{r} AS (
+  SELECT p, k, j, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS v
+  FROM x JOIN near{r} USING (vec_id, p) GROUP BY p, k, j),
+book{r + 1} AS (SELECT p, k, j, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN mean{r} m USING (p, k, j))""")
+    coded = f"""
+coded AS (
+  SELECT vec_id, string_agg('0' || substr('0123456789abcdef', CAST(k AS INTEGER) + 1, 1), '' ORDER BY p) AS code,
+         CAST(sum(d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec_id),
+named AS (SELECT kept.label, coded.* FROM coded JOIN kept USING (vec_id))"""
+    return ",".join([*steps, coded]) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, k, j)) FROM book{rounds}) AS codebooks_sha256
+FROM named"""
+
+
+def merkle_sql() -> str:
+    """Both trees level by level, then each leaf with its steps to the root."""
+
+    def leaf(text: str = "text") -> str:
+        parts = []
+        for c in ("doc_id", "source", "lang", "n_chars", text):
+            value = f"CAST({c} AS VARCHAR)"
+            parts.append(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({value})) || ':' || {value} END")
+        return f"sha256({' || '.join(parts)})"
+
+    def levels(name: str, key: str, below: str) -> str:
+        return f"""
+{name} AS (
+  SELECT {key}, 0 AS level, number, n, digest FROM {below}
+  UNION ALL
+  SELECT {key}, level + 1, number // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY number))
+  FROM {name} WHERE n > 1 GROUP BY {key}, level, number // 3),
+{name}_steps AS (
+  SELECT a.{key}, a.level, a.number,
+         coalesce(string_agg(b.digest, '' ORDER BY b.number) FILTER (WHERE b.number < a.number), '') AS low,
+         coalesce(string_agg(b.digest, '' ORDER BY b.number) FILTER (WHERE b.number > a.number), '') AS high
+  FROM {name} a JOIN {name} b ON a.{key} IS NOT DISTINCT FROM b.{key} AND a.level = b.level AND a.number // 3 = b.number // 3
+  WHERE a.n > 1 GROUP BY a.{key}, a.level, a.number)"""
+
+    crc = """list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS BIGINT)) ELSE v // 2 END))"""
+    return f"""
+WITH RECURSIVE changed AS (
+  SELECT *, CASE WHEN xor({crc}, CAST(4294967295 AS BIGINT)) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, {leaf()} AS digest, {leaf("changed")} AS tampered,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS number, count(*) OVER (PARTITION BY source) AS n
+  FROM changed),{levels("nodes", "source", "leaves")},
+subroots AS (
+  SELECT 0 AS top, source, digest, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS number, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),{levels("tops", "top", "subroots")},
+steps AS (
+  SELECT l.doc_id, 0 AS tree, s.level, s.low, s.high
+  FROM leaves l JOIN nodes_steps s ON l.source IS NOT DISTINCT FROM s.source AND l.number // CAST(pow(3, s.level) AS BIGINT) = s.number
+  UNION ALL
+  SELECT l.doc_id, 1, s.level, s.low, s.high
+  FROM leaves l JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source
+  JOIN tops_steps s ON r.number // CAST(pow(3, s.level) AS BIGINT) = s.number),
+proofs AS (
+  SELECT doc_id, string_agg(low || high, '' ORDER BY tree, level) AS proof,
+         list(low || '|' || high ORDER BY tree, level) AS path FROM steps GROUP BY doc_id),
+ends AS (
+  SELECT l.doc_id, l.digest AS leaf, r.digest AS subroot, (SELECT digest FROM tops WHERE n = 1) AS root,
+         sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce(list_concat([tampered], coalesce(path, [])),
+           lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2))) AS folded_root
+  FROM leaves l JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source LEFT JOIN proofs p ON l.doc_id = p.doc_id)
+SELECT *, folded_root = root AS verified FROM ends"""
+
+
 ORACLES = {
     "op5_top_k": """
 WITH v AS (
@@ -103,4 +213,6 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE g.key IS NULL), ''))
          AS kept_sha256
 FROM lines LEFT JOIN gone g USING (key) GROUP BY doc_id""",
+    "op12_merkle_manifest": merkle_sql(),
+    "op13_vector_codes": vector_codes_sql(),
 }
