@@ -6,8 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from tidewatch.session import cut_lineage
 
 #: A word, as the contracts of the queries have it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,12 +47,23 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
 
 
-def labelled_sample(labels: DataFrame, column: str, per_class: int, folds: int, held_out: int):
-    """At most about ``per_class`` rows of each class outside the held-out fold, and the counts.
+#: Bytes of text of each class that a fit may see, about.
+CLASS_BYTES = 64 << 20
+
+
+def drawn(rows: DataFrame, share: Column | float, seed: int) -> DataFrame:
+    """Those of ``rows`` (doc_id, text_key) that a hash of both draws; the same in every run."""
+    hashed = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1).cast("long")), F.col("text_key"))
+    return rows.where(F.pmod(hashed, F.lit(1 << 40)) / float(1 << 40) < share)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, folds: int, held_out: int,
+                    class_bytes: int = CLASS_BYTES):
+    """Labelled documents outside the held-out fold: about ``per_class`` and ``class_bytes`` of each class.
 
-    Returns (doc_id, label) of the sample, and {label: number of rows before sampling}. A row is
-    taken by the hash of its id, so the same rows come back in every run. An id labelled twice
-    counts as 1 if any of its labels is 1; rows without id or label are left out.
+    Returns (doc_id, text_key, label) of the sample, and {label: number of documents before
+    sampling}. Rows with equal id and text are one document. An id labelled twice counts as 1 if any
+    of its labels is 1; rows without id or label are left out.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
@@ -57,12 +72,65 @@ def labelled_sample(labels: DataFrame, column: str, per_class: int, folds: int,
         .agg(F.max("label").alias("label"))
         .where(fold("doc_id", folds) != held_out)
     )
-    counts = {row["label"]: row["n"] for row in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-    wanted = F.lit(False)
-    for label, n in counts.items():
-        wanted = wanted | ((F.col("label") == label) & (draw < per_class / n))
-    return known.where(wanted), counts
+    sized = keyed(docs).select("doc_id", "text_key", F.octet_length("text").cast("long").alias("bytes"))
+    found = cut_lineage(docs.sparkSession, sized.join(known, "doc_id").distinct(), "labelled-documents")
+    # Two rows at most.
+    totals = found.groupBy("label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()
+    share = F.lit(0.0)
+    for row in totals:
+        rate = min(per_class / row["n"], class_bytes / max(row["bytes"], 1))
+        share = F.when(F.col("label") == row["label"], F.lit(rate)).otherwise(share)
+    sample = drawn(found, share, 17).select("doc_id", "text_key", "label")
+    return sample, {row["label"]: row["n"] for row in totals}
+
+
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``sample`` (doc_id, text_key, ...) with each document's ``text``; a sample has a bounded size."""
+    picked = keyed(docs).alias("d").join(F.broadcast(sample).alias("s"), same_document("d", "s"))
+    named = [F.col(f"s.{c}") for c in sample.columns]
+    return picked.select(*named, "d.text").dropDuplicates(["doc_id", "text_key"])
+
+
+#: Rows and bytes of text that become Python objects at once.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+
+
+def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of ``batch``, few enough for their texts to be held; a longer text is alone."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    begin, size = 0, 0
+    for i, own in enumerate(sizes.tolist()):
+        if i > begin and (i - begin == SLICE_ROWS or size + own > SLICE_BYTES):
+            yield batch.slice(begin, i - begin)
+            begin, size = i, 0
+        size += own
+    if batch.num_rows:
+        yield batch.slice(begin)
+
+
+def with_scores(docs: DataFrame, columns: tuple[str, ...], score: Callable[[list], dict[str, list]], added: str) -> DataFrame:
+    """Each row's ``columns``, and the columns ``added`` (DDL) that ``score`` finds from texts.
+
+    The row's own columns stay Arrow arrays; only the texts of a few rows become Python objects.
+    """
+    spark = docs.sparkSession
+    own = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)], F.col("text").alias("__text"))
+    kept = own.drop("__text")
+    new = StructType.fromDDL(added).fields
+    out = StructType([*kept.schema.fields, *[StructField(f"__{f.name}", f.dataType) for f in new]])
+    arrow = to_arrow(spark, out)
+    # A text that is among the columns comes once.
+    text = f"__{columns.index('text')}" if "text" in columns else "__text"
+    own = own if text == "__text" else kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, text):
+                found = score(part[text].to_pylist())
+                arrays = [part[f.name] if f.name in part.schema.names else pa.array(found[f.name[2:]], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
+
+    return own.mapInArrow(run, out).toDF(*columns, *[f.name for f in new])
 
 
 def map_batches(df: DataFrame, rows: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -79,11 +147,10 @@ def map_batches(df: DataFrame, rows: Callable[[dict], dict], schema: str) -> Dat
     return df.mapInArrow(run, schema)
 
 
-def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
+def to_arrow(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def packs(texts: list[bytes], overlap: int, limit: int = 1 << 20) -> Iterator[tuple]:

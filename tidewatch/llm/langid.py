@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fold
+from tidewatch.llm.common import fold, text_slices, with_scores
 
 LONGEST = 3
 BITS, LEAST_BITS = 16, 8
@@ -164,9 +164,7 @@ def fit_languages(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
-            # Arrow batches are bounded by rows; a few texts at a time become Python strings.
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in text_slices(batch, "text"):
                 own = np.array([place[lang] for lang in part["lang"].to_pylist()])
                 for bucket, number in text_grams(part["text"].to_pylist(), bits):
                     spoken = own[number]
@@ -208,41 +206,23 @@ def posterior(texts: list[str | None], model: np.ndarray) -> np.ndarray:
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *columns: str) -> DataFrame:
     """Each row's ``columns`` with ``lang_pred`` and ``score``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     languages, logs = model
     # At most MODEL_BYTES, see ``bits_for``.
     shared = docs.sparkSession.sparkContext.broadcast(logs)
-    own = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)], F.col("text").alias("__text"))
-    out = own.drop("__text").withColumns({"__lang": F.lit(UNKNOWN), "__score": F.lit(0.0)}).schema
-    kept = to_arrow_schema(out)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part["__text"].to_pylist()
-                named, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                if languages:
-                    sums = posterior(texts, shared.value)
-                    best = sums.argmax(axis=1)
-                    away = (sums - sums[np.arange(len(texts)), best][:, None]) / UNIT
-                    sure = 1 / np.exp(away).sum(axis=1)
-                    for i, text in enumerate(texts):
-                        if has_letter(text):
-                            named[i] = languages[best[i]]
-                        else:
-                            sure[i] = 0.0
-                arrays = [part.column(i) for i in range(len(columns))]
-                arrays = [a.cast(f.type) for a, f in zip(arrays, kept, strict=False)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(named), pa.array(sure)], schema=kept)
-
-    found = own.mapInArrow(score, out)
-    return found.select(
-        *[F.col(f"__{i}").alias(c) for i, c in enumerate(columns)],
-        F.col("__lang").alias("lang_pred"),
-        F.col("__score").alias("score"),
-    )
+    def score(texts: list) -> dict:
+        named, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if languages:
+            sums = posterior(texts, shared.value)
+            best = sums.argmax(axis=1)
+            away = (sums - sums[np.arange(len(texts)), best][:, None]) / UNIT
+            posteriors = 1 / np.exp(away).sum(axis=1)
+            for i, text in enumerate(texts):
+                if has_letter(text):
+                    named[i], sure[i] = languages[best[i]], posteriors[i]
+        return {"lang_pred": named, "score": sure}
+
+    return with_scores(docs, columns, score, "lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

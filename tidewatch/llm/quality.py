@@ -28,7 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fold, labelled_sample, map_batches
+from tidewatch.llm.common import CLASS_BYTES, drawn, fold, keyed, labelled_sample, map_batches, sampled_texts, with_scores
+from tidewatch.session import cut_lineage
 
 FOLDS, HELD_OUT = 4, 2
 PER_CLASS = 6000
@@ -169,18 +170,20 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 def fit_quality(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class: int = PER_CLASS,
                 folds: int = FOLDS, held_out: int = HELD_OUT):
     """(bin edges, weights), or None without positives."""
-    sample, counts = labelled_sample(labels, column, per_class, folds, held_out)
+    sample, counts = labelled_sample(docs, labels, column, per_class, folds, held_out)
     if not counts.get(1):
         return None
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    train = own.where(fold("doc_id", folds) != held_out)
-    n = train.count()
-    draw = F.pmod(F.xxhash64(F.lit(23), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-    # At most about per_class ids.
-    positives = own.join(F.broadcast(sample.where("label = 1").select("doc_id")), "doc_id")
-    picked = train.where(draw < 2 * per_class / max(n, 1)).select("text", F.lit(False).alias("trusted"))
-    picked = picked.unionByName(positives.select("text", F.lit(True).alias("trusted")))
-    rows = map_batches(picked, _describe, "trusted boolean, x array<double>").toPandas()
+    spark = docs.sparkSession
+    sized = keyed(docs).where(fold("doc_id", folds) != held_out)
+    sized = sized.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("bytes")).distinct()
+    sized = cut_lineage(spark, sized, "unlabelled-documents")
+    total = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    rate = 2 * min(per_class / max(total["n"], 1), CLASS_BYTES / max(total["bytes"], 1))
+    unlabelled = drawn(sized, rate, 23).select("doc_id", "text_key", F.lit(False).alias("trusted"))
+    positives = sample.where("label = 1").select("doc_id", "text_key", F.lit(True).alias("trusted"))
+    picked = sampled_texts(docs, positives).unionByName(sampled_texts(docs, unlabelled))
+    # At most about three times per_class rows of 13 numbers.
+    rows = map_batches(picked.select("trusted", "text"), _describe, "trusted boolean, x array<double>").toPandas()
     x = np.array(rows["x"].tolist()).reshape(-1, SHAPES)
     order = np.lexsort(x.T)
     x, trusted = x[order], rows["trusted"].to_numpy()[order]
@@ -188,8 +191,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, column: str = "quality", per
         return None
     edges = quantile_edges(x[~trusted])
     columns = binned(x, edges)
-    total = sum(counts.values())
-    prior = counts[1] / total if len(counts) == 2 else estimated_prior(columns[trusted], columns[~trusted])
+    prior = estimated_prior(columns[trusted], columns[~trusted])
     return edges, fit_pu(columns[trusted], columns[~trusted], prior)
 
 
@@ -201,21 +203,18 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     """(doc_id, held_out, score, predicted) of every document."""
     model = fit_quality(docs, labels)
 
-    def score(rows: dict) -> dict:
-        n = len(rows["doc_id"])
-        p = np.zeros(n)
-        if model is not None and n:
+    def score(texts: list) -> dict:
+        p = np.zeros(len(texts))
+        if model is not None:
             edges, w = model
-            columns = binned(np.array([shapes(t) for t in rows["text"]]), edges)
+            columns = binned(np.array([shapes(t) for t in texts]), edges)
             p = 1 / (1 + np.exp(-np.clip(w[columns].sum(axis=1) + w[-1], -40, 40)))
-        return {
-            "doc_id": rows["doc_id"],
-            "score": p.tolist(),
-            "predicted": (p >= threshold).astype(int).tolist(),
-        }
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = map_batches(own, score, "doc_id long, score double, predicted int")
+        return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
+
+    scored = with_scores(docs, ("doc_id",), score, "score double, predicted int")
     return scored.select(
-        "doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted"
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
+        "score",
+        "predicted",
     )

@@ -6,8 +6,9 @@ of toxic and of other documents holding a bucket gives its log-count ratio r; bu
 is no more than noise get 0. A logistic regression on the r-scaled features is fitted, and its
 weights times r, a table of fixed size, score every whole text in one pass without a shuffle.
 
-The fit sees at most about ``per_class`` labelled rows of each class (a documented bound), chosen
-by hash from all labelled rows outside the held-out fold; its intercept is moved to the shares of
+The fit sees about ``per_class`` labelled documents and ``CLASS_BYTES`` of text of each class at most
+(documented bounds), chosen by hash of id and text from all labelled documents outside the held-out
+fold, however many rows repeat them; its intercept is moved to the shares of
 the classes among all of them. It runs in one task over that bounded sample.
 
 Defined results: null and empty texts have no features but the padding's and get the score that
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fold, labelled_sample, map_batches, packs
+from tidewatch.llm.common import fold, labelled_sample, packs, sampled_texts, with_scores
 
 GRAMS = (3, 4, 5)
 BITS = 20
@@ -160,14 +161,14 @@ def fit_grams(texts: list[str | None], y: np.ndarray, share: float) -> tuple[np.
 def fit_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = PER_CLASS,
                  folds: int = FOLDS, held_out: int = HELD_OUT):
     """(buckets, weights, intercept), at most 2^20 of them."""
-    sample, counts = labelled_sample(labels, column, per_class, folds, held_out)
+    sample, counts = labelled_sample(docs, labels, column, per_class, folds, held_out)
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
     nothing = np.zeros(0, np.int64), np.zeros(0)
     if share in (0.0, 1.0):
         return *nothing, (40.0 if share else -40.0)
-    # At most two times per_class ids.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    # At most about two times per_class documents.
+    rows = sampled_texts(docs, sample)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, y = [], []
@@ -202,29 +203,21 @@ def score_toxicity(docs: DataFrame, model, *columns: str, threshold: float = 0.5
     size = 1 << BITS
     shared = docs.sparkSession.sparkContext.broadcast((buckets, weights.astype(np.float64)))
 
-    def score(rows: dict) -> dict:
+    def score(texts: list) -> dict:
         buckets, weights = shared.value
         table = np.zeros(size)
         table[buckets] = weights
         wanted = np.zeros(size, bool)
         wanted[buckets] = True
-        texts = rows.pop("__text")
         z = np.zeros(len(texts))
         for part in slices_of(texts):
             owners, found = documents_with(lowered(texts[part]), wanted)
             z[part] = np.bincount(owners, table[found], part.stop - part.start)
         z = np.clip(z + intercept, -40, 40)
         p = 1 / (1 + np.exp(-z))
-        return rows | {"__score": p.tolist(), "__predicted": (p >= threshold).astype(int).tolist()}
+        return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
 
-    own = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)], F.col("text").alias("__text"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "__text")
-    scored = map_batches(own, score, f"{kinds}, __score double, __predicted int")
-    return scored.select(
-        *[F.col(f"__{i}").alias(c) for i, c in enumerate(columns)],
-        F.col("__score").alias("score"),
-        F.col("__predicted").alias("predicted"),
-    )
+    return with_scores(docs, columns, score, "score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
