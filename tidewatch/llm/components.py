@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, release
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -22,8 +22,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = cut_lineage(spark, edges, "links")
     before = None
     while True:
-        edges = _star(spark, edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), True)
-        edges = _star(spark, edges, False)
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        starred = _star(spark, both, True)
+        release(edges)
+        edges = _star(spark, starred, False)
+        release(starred)
         # Two numbers for the whole table.
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
@@ -48,4 +51,6 @@ def _star(spark, edges: DataFrame, large: bool) -> DataFrame:
             least.select("a", F.col("least").alias("b"))
         )
     moved = moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return cut_lineage(spark, moved.distinct(), "links")
+    out = cut_lineage(spark, moved.distinct(), "links")
+    release(least)
+    return out

@@ -10,8 +10,8 @@ come last. The prefix is extended so that l = b + 1, and a set is indexed by
 
 if no rare token is shared, b + 1 frequent ones are, and two of them share a bucket. The number of
 buckets follows the smaller of two set sizes, so a set is indexed for one or two numbers. Frequent
-tokens never open a posting list alone: sets whose prefix is filled up again are counted whole, until
-no token of a list is held by more than ``FREQUENT`` sets. And no list of pairs grows with the square of a prefix.
+tokens never open a posting list alone: what refills a prefix is counted like what was in it, until
+no token of a list is held by more than about ``FREQUENT`` sets. And no list of pairs grows with the square of a prefix.
 
 Components need not all pairs of a posting list. First each set is verified against the set it
 shares most lists with, of the least ones of its lists, which joins large groups of near copies by
@@ -21,9 +21,12 @@ components, and whose sizes allow the link, is verified. Verification first comp
 tokens as their bitmaps in bits, so pairs too far apart go without their sets being moved. The
 others are decided by counting the common tokens of both whole sets.
 
+Distinct sets are the nodes. An id whose rows have several texts links their sets, and a component
+is named by the smallest id of any of its sets.
+
 Defined results: texts that are null or without words have size 0 and link with nothing. With fewer
-than five words the whole sequence is one token. Rows with the same id are one node. Rows without
-id link with nothing and have no component. Extra columns are ignored.
+than five words the whole sequence is one token. Rows without id link with nothing and have no
+component. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +41,10 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import keyed, map_batches
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.shingles import mix, shingle_hashes
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, release
 
-#: A token that more sets hold, in prefixes or anywhere in a set that is refilled, is of the frequent class.
+#: A token that more sets hold in their prefixes is of the frequent class. A token that one set alone held
+#: before others took it may be counted one short.
 FREQUENT = 64
 
 
@@ -97,86 +101,125 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
 
 def _all_tokens(rows: dict) -> dict:
-    return {"rep": rows["doc_id"], "tokens": [shingle_hashes(t) for t in rows["text"]]}
+    return {"rep": rows["rep"], "tokens": [shingle_hashes(t) for t in rows["text"]]}
 
 
 def tokens_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, tokens) of the documents (rep, text_key) in ``reps``, one row a rep.
+    """(rep, tokens) of the sets ``reps``, each read from its document (doc_id, text_key).
 
     Texts are made unique where the join has put them, so that token arrays are not shuffled for it.
     """
-    wanted = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.min("text_key").alias("text_key"))
+    wanted = reps.select("rep", "doc_id", "text_key")
     own = keyed(docs).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
-    return map_batches(own.select("doc_id", "text"), _all_tokens, "rep long, tokens array<long>")
+    return map_batches(own.select("rep", "text"), _all_tokens, "rep long, tokens array<long>")
+
+
+def pair_signatures(n: int, n_rare: int, frequent: np.ndarray) -> np.ndarray:
+    """The signatures of the pairs of frequent tokens that follow ``n_rare`` rare ones in a prefix."""
+    found = [np.zeros(0, np.int64)]
+    for one in range(level(needed(n)), level(n) + 1):
+        # Frequent tokens come after all rare ones.
+        left = max(0, prefix_length(n, one) - n_rare)
+        tokens = frequent[:left].view(np.uint64)
+        bucket = (mix(tokens) & np.uint64((1 << one) - 1)).astype(np.int64)
+        for b in np.unique(bucket):
+            held = tokens[bucket == b]
+            i, j = np.triu_indices(len(held), 1)
+            found.append(mix(mix(held[i] + np.uint64(one + 1)) + held[j]).view(np.int64))
+    return np.unique(np.concatenate(found))
 
 
 def _combinations(rows: dict) -> dict:
     out = {"rep": [], "n": [], "signature": []}
-    for rep, n, rare, frequent in zip(rows["rep"], rows["n"], rows["rare"], rows["frequent"], strict=True):
-        levels = range(level(needed(n)), level(n) + 1)
-        longest = prefix_length(n, level(n))
-        found = [np.array(rare[:longest], np.int64)]
-        for one in levels:
-            # Frequent tokens come after all rare ones.
-            left = max(0, prefix_length(n, one) - len(rare))
-            tokens = np.array(frequent[:left], np.int64).view(np.uint64)
-            bucket = (mix(tokens) & np.uint64((1 << one) - 1)).astype(np.int64)
-            for b in np.unique(bucket):
-                held = tokens[bucket == b]
-                i, j = np.triu_indices(len(held), 1)
-                found.append(mix(mix(held[i] + np.uint64(one + 1)) + held[j]).view(np.int64))
-        signatures = np.unique(np.concatenate(found))
+    for rep, n, n_rare, frequent in zip(rows["rep"], rows["n"], rows["n_rare"], rows["frequent"], strict=True):
+        signatures = pair_signatures(n, n_rare, np.array(frequent, np.int64))
         out["signature"] += signatures.tolist()
         out["rep"] += [rep] * len(signatures)
         out["n"] += [n] * len(signatures)
     return out
 
 
-def signatures(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, n, signature) of every set, where some other set has the same signature."""
+def settled_prefixes(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets whose prefix held a frequent token, with the prefix they end up with.
+
+    Returns (rep, n, rare, frequent): the rare tokens of the prefix by hash, and the frequent ones among
+    all tokens looked at; and the sets' ids (rep).
+
+    In a round, sets that lost tokens of their prefix to the frequent class take as many from further
+    on. Only these are counted anew, and tokens that now have more than ``FREQUENT`` sets leave all
+    prefixes they are in. It ends when no prefix lacks a token, or has no more to take.
+    """
     spark = docs.sparkSession
-    tokens = (
-        sets.select("doc_id", "text_key", "n", "prefix")
-        .join(reps.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi")
-        .dropDuplicates(["doc_id", "text_key"])
-        .select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("token"))
-    )
-    shared = cut_lineage(
-        spark, tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-tokens"
-    )
-    hits = cut_lineage(spark, tokens.join(shared, "token").select("rep", "n", "token"), "token-hits")
-    often = fresh = shared.where(F.col("sets") > FREQUENT).select("token")
-    moved, whole = reps.select("rep", "text_key").limit(0), None
-    # Only sets with a frequent token in their prefix get another prefix when those come last. It is
-    # filled with tokens further on, so all tokens of these sets count, until none becomes frequent.
+    base = reps.select("rep", F.explode("prefix").alias("token"))
+    counts = base.groupBy("token").agg(F.count("*").alias("sets"))
+    known = cut_lineage(spark, counts.where("sets > 1"), "shared-tokens")
+    often = fresh = cut_lineage(spark, known.where(F.col("sets") > FREQUENT).select("token"), "frequent-tokens")
+    written, looked_at, whole, state = [known, often], base, None, None
+    empty = F.array().cast("array<bigint>")
     while True:
-        found = hits.join(fresh, "token").select("rep").distinct().join(moved, "rep", "left_anti")
-        added = cut_lineage(spark, reps.join(found, "rep").select("rep", "text_key"), "moved-sets")
-        tokens_added = cut_lineage(spark, tokens_of(docs, added), "moved-tokens")
-        moved = moved.unionByName(added)
-        whole = tokens_added if whole is None else whole.unionByName(tokens_added)
-        listed = whole.select(F.explode("tokens").alias("token")).unionByName(
-            hits.join(moved, "rep", "left_anti").select("token")
-        )
-        counted = listed.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > FREQUENT)
-        fresh = cut_lineage(spark, counted.select("token").join(often, "token", "left_anti"), "frequent-tokens")
-        if fresh.isEmpty():
+        # What has become frequent, in all prefixes looked at so far.
+        lost = looked_at.join(fresh, "token").select("rep", "token")
+        if state is not None:
+            # Of the last round's tokens, also those known to be frequent before.
+            lost = lost.unionByName(taken.join(often, "token").select("rep", "token")).distinct()
+        lost = cut_lineage(spark, lost.groupBy("rep").agg(F.collect_list("token").alias("lost")), "lost-tokens")
+        old = state
+        if old is None:
+            rows = lost.join(reps, "rep").select(
+                "rep", "doc_id", "text_key", "n", F.size("prefix").alias("length"), F.size("prefix").alias("end"), F.col("lost").alias("frequent")
+            )
+        else:
+            first = lost.join(old, "rep", "left_anti").join(reps, "rep").select(
+                "rep", "doc_id", "text_key", "n", F.size("prefix").alias("length"), F.size("prefix").alias("end"), F.col("lost").alias("frequent")
+            )
+            grown = old.join(lost, "rep", "left").join(added.select("rep", F.size("tokens").alias("more")), "rep", "left")
+            rows = grown.select(
+                "rep", "doc_id", "text_key", "n", "length", (F.col("end") + F.coalesce("more", F.lit(0))).alias("end"),
+                F.concat("frequent", F.coalesce("lost", empty)).alias("frequent"),
+            ).unionByName(first)
+        state = cut_lineage(spark, rows, "prefix-states")
+        newcomers = state if old is None else state.join(old, "rep", "left_anti")
+        tokens = cut_lineage(spark, tokens_of(docs, newcomers), "moved-tokens")
+        written += [lost, state, tokens]
+        whole = tokens if whole is None else whole.unionByName(tokens)
+        missing = F.col("length") - F.col("end") + F.size("frequent")
+        lacking = state.select("rep", "end", F.least(missing, F.col("n") - F.col("end")).alias("missing")).where("missing > 0")
+        added = whole.join(lacking, "rep").select("rep", F.expr("slice(tokens, end + 1, missing)").alias("tokens"))
+        added = cut_lineage(spark, added, "added-tokens")
+        written.append(added)
+        if added.isEmpty():
             break
-        often = often.unionByName(fresh)
-    # Only frequent tokens travel back to their sets; what is not among them is rare.
-    common = (
-        whole.select("rep", F.explode("tokens").alias("token"))
-        .join(often, "token")
-        .groupBy("rep")
-        .agg(F.array_sort(F.collect_list("token")).alias("frequent"))
+        taken = added.select("rep", F.explode("tokens").alias("token"))
+        more = cut_lineage(spark, taken.groupBy("token").agg(F.count("*").alias("sets")), "added-counts")
+        both = known.join(more.select("token"), "token", "left_semi").unionByName(more)
+        total = both.groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") > FREQUENT).select("token")
+        fresh = cut_lineage(spark, total.join(often, "token", "left_anti"), "frequent-tokens")
+        known, often = known.unionByName(more), often.unionByName(fresh)
+        looked_at = looked_at.unionByName(taken)
+        written += [more, fresh]
+    settled = whole.join(state.select("rep", "n", "end", "length", "frequent"), "rep").select(
+        "rep", "n", F.expr("slice(array_except(slice(tokens, 1, end), frequent), 1, length)").alias("rare"),
+        F.array_sort(F.array_distinct("frequent")).alias("frequent"),
     )
-    frequent = F.coalesce("frequent", F.array().cast("array<bigint>"))
-    parted = whole.join(common, "rep", "left").select(
-        "rep", F.size("tokens").alias("n"), F.array_except("tokens", frequent).alias("rare"), frequent.alias("frequent")
-    )
-    combined = map_batches(parted, _combinations, "rep long, n int, signature long")
-    single = hits.join(moved.select("rep"), "rep", "left_anti").select("rep", "n", F.col("token").alias("signature"))
-    return cut_lineage(spark, single.unionByName(combined), "signatures")
+    settled = cut_lineage(spark, settled, "settled-prefixes")
+    release(*written)
+    return settled, settled.select("rep")
+
+
+def signatures(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, n, signature) of every set, where some other set has the same signature."""
+    spark = docs.sparkSession
+    settled, moved = settled_prefixes(docs, reps)
+    kept = reps.join(moved, "rep", "left_anti").select("rep", "n", F.explode("prefix").alias("signature"))
+    single = kept.unionByName(settled.select("rep", "n", F.explode("rare").alias("signature")))
+    shared = single.groupBy("signature").agg(F.count("*").alias("sets")).where("sets > 1").select("signature")
+    shared = cut_lineage(spark, shared, "shared-signatures")
+    # Only a set whose rare tokens do not fill a prefix has frequent ones in it.
+    short = settled.select("rep", "n", F.size("rare").alias("n_rare"), "frequent").where("size(frequent) > 1")
+    pairs = map_batches(short, _combinations, "rep long, n int, signature long")
+    found = cut_lineage(spark, single.join(shared, "signature").select("rep", "n", "signature").unionByName(pairs), "signatures")
+    release(settled, shared)
+    return found
 
 
 def _verify(rows: dict) -> dict:
@@ -207,7 +250,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     )
     near = cut_lineage(spark, map_batches(bits, _possible, "a long, b long"), "near-pairs")
     named = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
-    named = cut_lineage(spark, reps.join(named, "rep").select("rep", "text_key"), "near-sets")
+    named = cut_lineage(spark, reps.join(named, "rep").select("rep", "doc_id", "text_key"), "near-sets")
     tokens = cut_lineage(spark, tokens_of(docs, named), "near-tokens")
     both = (
         near.join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
@@ -226,38 +269,51 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 }
                 yield pa.RecordBatch.from_pydict(_verify(rows), schema=pa.schema({"a": pa.int64(), "b": pa.int64()}))
 
-    return both.mapInArrow(run, "a long, b long")
+    found = cut_lineage(spark, both.mapInArrow(run, "a long, b long"), "verified-pairs")
+    release(near, named, tokens)
+    return found
+
+
+def sets_of_one_id(slim: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of an id that has several."""
+    pairs = slim.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "rep")
+    several = pairs.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most")
+    return pairs.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) of each row of ``docs``."""
     spark = docs.sparkSession
-    sets = cut_lineage(spark, token_sets(docs), "token-sets")
-    equal = ["s1", "s2", "n"]
-    reps = (
-        sets.where("n > 0 AND doc_id IS NOT NULL")
-        .groupBy(*equal)
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("bits").alias("bits"))
-        .select(*equal, F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key"), "bits")
-    )
-    reps = cut_lineage(spark, reps, "distinct-sets")
-    listed = signatures(docs, sets, reps)
+    sets = token_sets(docs).withColumn("rep", F.xxhash64("s1", "s2", "n")).drop("s1", "s2")
+    sets = cut_lineage(spark, sets, "token-sets")
+    slim = cut_lineage(spark, sets.select("doc_id", "text_key", "n", "rep"), "named-sets")
+    # One document of each set; which one, small rows tell.
+    least = slim.where("n > 0 AND doc_id IS NOT NULL").groupBy("rep").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    least = least.select("rep", "least.doc_id", "least.text_key")
+    reps = sets.join(least, ["rep", "doc_id", "text_key"], "left_semi").dropDuplicates(["rep", "doc_id", "text_key"])
+    reps = cut_lineage(spark, reps.select("rep", "doc_id", "text_key", "bits", "n", "prefix"), "distinct-sets")
+    release(sets)
+    listed = signatures(docs, reps)
     heads = listed.groupBy("signature").agg(F.min("rep").alias("head"), F.count("*").alias("sets")).where("sets > 1")
     heads = cut_lineage(spark, heads.select("signature", "head"), "posting-heads")
-    listed = cut_lineage(spark, listed.join(heads, "signature"), "postings")
-    votes = listed.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("votes"))
+    shared = cut_lineage(spark, listed.join(heads, "signature"), "postings")
+    release(listed, heads)
+    votes = shared.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("votes"))
     first = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("head")).alias("head"))).alias("best"))
     first = first.select(F.col("rep").alias("a"), (-F.col("best.head")).alias("b"))
-    links = cut_lineage(spark, verified(first, reps, docs), "first-links")
+    links = verified(first, reps, docs)
+    links = links.unionByName(cut_lineage(spark, sets_of_one_id(slim), "links-of-ids"))
     grouped = cut_lineage(spark, connected_components(links), "components")
-    placed = listed.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select(
+    placed = shared.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select(
         "signature", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     placed = cut_lineage(spark, placed, "placed-postings")
+    release(shared, grouped)
     # Lists that lie in one component have nothing left to link.
     mixed = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = cut_lineage(spark, mixed.where("low < high").select("signature"), "open-postings")
     open_lists = cut_lineage(spark, placed.join(mixed, "signature"), "open-lists")
+    release(placed, mixed)
     rest = (
         open_lists.alias("x")
         .join(open_lists.alias("y"), "signature")
@@ -269,13 +325,19 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         .distinct()
     )
     rest = cut_lineage(spark, rest, "open-pairs")
-    more = cut_lineage(spark, verified(rest, reps, docs), "more-links")
+    release(open_lists)
+    more = verified(rest, reps, docs)
+    release(rest, reps)
     grouped = cut_lineage(spark, connected_components(links.unionByName(more)), "components")
-    named = reps.select(*equal, "rep").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-    named = cut_lineage(spark, named.select(*equal, F.coalesce("component", "rep").alias("component")), "named-sets")
-    slim = sets.select("doc_id", "text_key", *equal)
-    linked = slim.join(named, equal, "left").select(
+    # A set without links is its own component.
+    placed = slim.alias("s").join(grouped.withColumnRenamed("node", "rep").alias("g"), "rep", "left").select(
+        "doc_id", "text_key", "n", F.coalesce("component", "rep").alias("component")
+    )
+    placed = cut_lineage(spark, placed, "placed-sets")
+    least = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = cut_lineage(spark, least, "component-names")
+    none = F.col("n") == 0
+    return placed.join(least, "component", "left").select(
         "doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.when(none, F.col("doc_id")).otherwise(F.col("least"))).alias("component_id"),
     )
-    return linked
