@@ -10,6 +10,14 @@ whole transcript; a turn begins where they say so, its marker is dropped, and tu
     text
     <|end|>
 
+Blank lines between the lines of one turn stay as many as they are, those between turns go.
+
+A conversation of any length is read in parts of ``PART`` turns, and still decoded as one: each part
+tells the best score of its lines for each state before it and at its end, 36 numbers; these are
+chained over the parts of a conversation, which fixes the states at their seams, and each part is then
+decoded between its two. The pieces rendered for the parts, one after another, are the transcript's
+rendering; a turn that goes on in the next part is closed there.
+
 Defined results: a transcript that is null or has no line but blank ones has no turns and renders as
 the empty text. A marker of an unknown speaker is text. Repeated rows give equal rows. Extra columns
 are ignored. Rows of turns without conversation or place make no transcript, and rows whose role
@@ -21,10 +29,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import fold, map_batches
+from tidewatch.session import cut_lineage
 
 ROLES = ("system", "user", "assistant")
 SPEAKERS = {
@@ -32,7 +42,7 @@ SPEAKERS = {
     "user": 1, "human": 1, "q": 1, "question": 1, "customer": 1,
     "assistant": 2, "ai": 2, "a": 2, "answer": 2, "bot": 2,
 }
-#: Turns of a conversation that make one transcript; a longer one goes on in the next part.
+#: Turns of a conversation in one part.
 PART = 256
 STATES, KINDS = 2 * len(ROLES), (4, 2, 5, 4)
 _MARKER = re.compile(r"\s*(?:#+\s*|\[|\*\*|<\|?)?([A-Za-z]+)(?:\]|\*\*|\|?>)?\s*:\s?|\s*\[([A-Za-z]+)\]\s?").match
@@ -45,28 +55,28 @@ def speaker(line: str) -> tuple[int, int]:
     return (role + 1, found.end()) if role >= 0 else (0, 0)
 
 
-def observed(lines: list[str], blank_before: list[bool]) -> np.ndarray:
+def observed(lines: list[str], blank_before: list[int]) -> np.ndarray:
     """Each line's four features."""
     out = np.zeros((len(lines), len(KINDS)), np.int64)
     for i, (line, blank) in enumerate(zip(lines, blank_before, strict=True)):
         marks = line.rstrip()
         out[i] = (
-            speaker(line)[0], blank, min(4, len(line).bit_length() // 2 - 1 if len(line) > 3 else 0),
+            speaker(line)[0], blank > 0, min(4, len(line).bit_length() // 2 - 1 if len(line) > 3 else 0),
             "?.:".find(marks[-1:]) + 1 if marks else 0,
         )
     return out
 
 
-def full_lines(text: str | None) -> tuple[list[str], list[bool]]:
-    """Lines that are not blank, and if a blank one stands before each."""
-    lines, blanks, blank = [], [], False
+def full_lines(text: str | None) -> tuple[list[str], list[int]]:
+    """Lines that are not blank, and how many blank ones stand before each."""
+    lines, blanks, blank = [], [], 0
     for line in (text or "").split("\n"):
         if line.strip():
             lines.append(line)
             blanks.append(blank)
-            blank = False
+            blank = 0
         else:
-            blank = True
+            blank += 1
     return lines, blanks
 
 
@@ -77,7 +87,7 @@ def _count(rows: dict) -> dict:
         lines, blanks = full_lines(text)
         if not lines:
             continue
-        blanks[0] = not first
+        blanks[0] = int(not first)
         base = 2 * ROLES.index(role)
         seen = observed(lines, blanks)
         for i in range(len(lines)):
@@ -140,45 +150,94 @@ def fit_roles(turns: DataFrame) -> dict[str, np.ndarray]:
     }
 
 
-def viterbi(seen: np.ndarray, model: dict) -> np.ndarray:
-    """The likeliest states of a transcript's lines."""
+def viterbi(seen: np.ndarray, model: dict, before: int = -1, last: int = -1) -> np.ndarray:
+    """The likeliest states of a transcript's lines.
+
+    ``before`` is the state of the line before them, -1 at the transcript's beginning; ``last`` the state
+    the last line has to have, -1 for any.
+    """
     n = len(seen)
     scores = sum(e[:, seen[:, i]].T for i, e in enumerate(model["emit"]))
     back = np.zeros((n, STATES), np.int64)
-    value = model["start"] + scores[0]
+    value = (model["start"] if before < 0 else model["move"][before]) + scores[0]
     for i in range(1, n):
         through = value[:, None] + model["move"]
         back[i] = through.argmax(axis=0)
         value = through[back[i], np.arange(STATES)] + scores[i]
     states = np.zeros(n, np.int64)
-    states[-1] = value.argmax()
+    states[-1] = value.argmax() if last < 0 else last
     for i in range(n - 1, 0, -1):
         states[i - 1] = back[i, states[i]]
     return states
 
 
-def turns_of(text: str | None, model: dict) -> list[tuple[str, str]]:
-    lines, blanks = full_lines(text)
-    if not lines:
-        return []
-    turns: list[tuple[str, list[str]]] = []
-    for line, state in zip(lines, viterbi(observed(lines, blanks), model).tolist(), strict=True):
-        if state % 2 == 0 or not turns:
-            turns.append((ROLES[state // 2], [line[speaker(line)[1] :]]))
+def passage(seen: np.ndarray, model: dict) -> np.ndarray:
+    """(state before + 1, state at the end): the best score of the lines; row 0 is for none before."""
+    scores = sum(e[:, seen[:, i]].T for i, e in enumerate(model["emit"]))
+    value = np.vstack((model["start"], model["move"])) + scores[0]
+    for own in scores[1:]:
+        value = (value[:, :, None] + model["move"]).max(axis=1) + own
+    return value
+
+
+def seams(passages: list[np.ndarray | None]) -> list[tuple[int, int]]:
+    """For each part the state before it and at its end, of the likeliest path; -1 before any line.
+
+    A part that is None has no lines, and hands on the state it got.
+    """
+    value, backs = None, []
+    for own in passages:
+        if own is None:
+            backs.append(None)
+        elif value is None:
+            value, back = own[0], np.full(STATES, -1)
+            backs.append(back)
         else:
-            turns[-1][1].append(line)
-    return [(role, "\n".join(own)) for role, own in turns]
+            through = value[:, None] + own[1:]
+            back = through.argmax(axis=0)
+            value = through[back, np.arange(STATES)]
+            backs.append(back)
+    at = -1 if value is None else int(value.argmax())
+    out = []
+    for back in reversed(backs):
+        before = at if back is None else int(back[at])
+        out.append((before, at))
+        at = before
+    return out[::-1]
+
+
+def pieces(
+    text: str | None, model: dict, before: int = -1, last: int = -1, ends: bool = True, joined: bool = False
+) -> tuple[list[str], str]:
+    """(roles of the turns that begin here, rendered) of a transcript or of a part of one.
+
+    ``joined``: if parts come before it, which a blank line joins.
+    """
+    lines, blanks = full_lines(text)
+    roles: list[str] = []
+    out: list[str] = []
+    if lines:
+        blanks[0] += joined
+        states = viterbi(observed(lines, blanks), model, before, last).tolist()
+        for i, (line, blank, state) in enumerate(zip(lines, blanks, states, strict=True)):
+            inside = i > 0 or before >= 0
+            if state % 2 == 0 or not inside:
+                roles.append(ROLES[state // 2])
+                out.append("\n<|end|>\n" if inside else "")
+                out.append(f"<|{roles[-1]}|>\n{line[speaker(line)[1] :]}")
+            else:
+                out.append("\n" * (1 + blank) + line)
+    if ends and (lines or before >= 0):
+        out.append("\n<|end|>\n")
+    return roles, "".join(out)
 
 
 def format_chats(transcripts: DataFrame, model: dict, *columns: str) -> DataFrame:
     """Each transcript's ``columns`` with ``roles`` (array) and ``rendered``."""
 
     def parse(rows: dict) -> dict:
-        parsed = [turns_of(t, model) for t in rows.pop("__text")]
-        return rows | {
-            "__roles": [[role for role, _ in turns] for turns in parsed],
-            "__rendered": ["".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns) for turns in parsed],
-        }
+        parsed = [pieces(t, model) for t in rows.pop("__text")]
+        return rows | {"__roles": [roles for roles, _ in parsed], "__rendered": [text for _, text in parsed]}
 
     own = transcripts.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)], F.col("text").alias("__text"))
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in own.schema if f.name != "__text")
@@ -219,11 +278,56 @@ def transcripts_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return turns, transcripts
 
 
+def part_seams(transcripts: DataFrame, model: dict) -> DataFrame:
+    """(conv_id, part, before, last, ends) of each part of conversations that have several."""
+    several = transcripts.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select("conv_id")
+    parts = transcripts.join(several, "conv_id")
+
+    def measure(rows: dict) -> dict:
+        found = []
+        for part, text in zip(rows["part"], rows["text"], strict=True):
+            lines, blanks = full_lines(text)
+            if lines:
+                blanks[0] += part > 0
+            found.append(passage(observed(lines, blanks), model).ravel().tolist() if lines else [])
+        return {"conv_id": rows["conv_id"], "part": rows["part"], "passage": found}
+
+    def chain(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        own = [np.array(p).reshape(STATES + 1, STATES) if p else None for p in rows["passage"].to_pylist()]
+        before, last = zip(*seams(own), strict=True)
+        ends = [False] * (len(own) - 1) + [True]
+        return pa.table({
+            "conv_id": rows["conv_id"], "part": rows["part"], "before": pa.array(before, pa.int32()),
+            "last": pa.array(last, pa.int32()), "ends": ends,
+        })
+
+    measured = map_batches(parts, measure, "conv_id long, part int, passage array<double>")
+    # 42 numbers for each 256 turns of a conversation.
+    return measured.groupBy("conv_id").applyInArrow(chain, "conv_id long, part int, before int, last int, ends boolean")
+
+
 def chats(conversations: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """(conv_id, part, held_out, n_turns, roles, rendered); the model never sees the held-out fold."""
+    """(conv_id, part, held_out, n_turns, roles, rendered); the model never sees the held-out fold.
+
+    ``n_turns`` and ``roles`` are of the turns that begin in the part.
+    """
+    spark = conversations.sparkSession
     turns, transcripts = transcripts_of(conversations)
     model = fit_roles(turns.where(fold("conv_id", folds) != held_out))
-    parsed = format_chats(transcripts, model, "conv_id", "part")
+    transcripts = cut_lineage(spark, transcripts, "transcripts")
+    known = cut_lineage(spark, part_seams(transcripts, model), "part-seams")
+    placed = transcripts.join(known, ["conv_id", "part"], "left").select(
+        "conv_id", "part", "text", F.coalesce("before", F.lit(-1)).alias("before"),
+        F.coalesce("last", F.lit(-1)).alias("last"), F.coalesce("ends", F.lit(True)).alias("ends"),
+    )
+
+    def parse(rows: dict) -> dict:
+        own = zip(rows["text"], rows["before"], rows["last"], rows["ends"], rows["part"], strict=True)
+        parsed = [pieces(text, model, before, last, ends, part > 0) for text, before, last, ends, part in own]
+        return {"conv_id": rows["conv_id"], "part": rows["part"], "roles": [r for r, _ in parsed], "rendered": [t for _, t in parsed]}
+
+    parsed = map_batches(placed, parse, "conv_id long, part int, roles array<string>, rendered string")
     return parsed.select(
         "conv_id", "part", (fold("conv_id", folds) == held_out).alias("held_out"),
         F.size("roles").cast("long").alias("n_turns"), "roles", "rendered",
