@@ -8,8 +8,9 @@ rate exponentially: rate = exp(lambda of its source). The multipliers minimise t
 
 and Newton's steps on it need, for each source, the mass under the present rates: one aggregate
 over the (source, size) histogram a step. Rates are then rounded into whole copies, systematically
-in order of falling size, so that a source's rounding error is at most about one document, and a
-few single documents are added or taken back to close what is left.
+in order of falling size, so that a source's rounding error is at most about one document. Then
+documents are added, taken back or swapped as long as that brings a source nearer its target, so in
+the end no single move and no swap of two documents would.
 
 Defined results: null texts have size 0. Documents without words are taken 0 words. Null is a
 source like others, ordered last. A table without words gives targets 0. Rows that are the same
@@ -28,7 +29,6 @@ from tidewatch.session import cut_lineage
 WEIGHTS = (5, 2, 1)
 #: A size held by more documents than this is dealt into cells of about so many.
 CELL = 256
-CLOSE_STEPS = 3
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -174,48 +174,102 @@ def round_rates(sizes: DataFrame, histogram: DataFrame, rates: DataFrame) -> Dat
     return placed.unionByName(empty)
 
 
-def close_gaps(rounded: DataFrame, steps: int = CLOSE_STEPS) -> DataFrame:
-    """Add or take back single documents, in each step the largest of each source that fits the gap."""
-    spark = rounded.sparkSession
-    key = ["doc_id", "text_key", "source", "size"]
-    gaps = rounded.groupBy("source").agg(
-        (F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap")
+def best_moves(counts: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(source, up, down): the documents to add and to take back that bring each source nearest its target.
+
+    ``counts`` has (source, size, copies, n). ``up`` and ``down`` are (size, copies), size 0 for none.
+    For each document to take back, the nearest sizes to add lie next to gap + size in order of size.
+    Only sources that come nearer are returned.
+    """
+    none = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("copies"))
+    whole = gaps.where(F.abs("gap") > 1e-6)
+    up = counts.where("copies < 2").groupBy("source", "size").agg(F.min("copies").alias("copies"))
+    up = up.select("source", F.struct("size", "copies").alias("up")).unionByName(whole.select("source", none.alias("up")))
+    down = counts.where("copies > 0").groupBy("source", "size").agg(F.max("copies").alias("copies"))
+    down = down.select("source", F.struct("size", "copies").alias("down")).unionByName(whole.select("source", none.alias("down")))
+    same = F.col("a.source").eqNullSafe(F.col("g.source"))
+    asked = down.alias("a").join(whole.alias("g"), same).select(
+        "a.source", (F.col("gap") + F.col("down.size")).alias("key"), "gap", "down", F.lit(None).cast("struct<size:long,copies:int>").alias("up")
     )
-    for _ in range(steps):
-        gaps = cut_lineage(spark, gaps, "mix-gaps")
-        moves = (
-            rounded.alias("d")
-            .join(gaps.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
-            .where(
-                (F.col("size") > 0)
-                & (F.col("size") <= F.abs("gap"))
-                & F.when(F.col("gap") > 0, F.col("copies") < 2).otherwise(F.col("copies") > 0)
-            )
-            .groupBy("d.source")
-            .agg(
-                F.max(
-                    F.struct("size", F.xxhash64("doc_id", "text_key").alias("draw"), "doc_id", "text_key")
-                ).alias("pick"),
-                F.first(F.signum("gap")).cast("int").alias("change"),
-            )
-            .select("source", "pick.doc_id", "pick.text_key", "pick.size", "change")
-        )
-        moves = cut_lineage(spark, moves, "mix-moves")
-        gaps = (
-            gaps.alias("g")
-            .join(moves.alias("m"), F.col("g.source").eqNullSafe(F.col("m.source")), "left")
-            .select("g.source", (F.col("gap") - F.coalesce(F.col("change") * F.col("size"), F.lit(0))).alias("gap"))
-        )
-        same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key]
-        rounded = (
-            rounded.alias("d")
-            .join(moves.alias("m"), same[0] & same[1] & same[2] & same[3], "left")
-            .select(
-                *[f"d.{c}" for c in key], "source_size", "target",
-                F.greatest(F.lit(0), F.least(F.lit(2), F.col("copies") + F.coalesce("change", F.lit(0)))).alias("copies"),
-            )
+    given = up.alias("a").join(whole.alias("g"), same).select(
+        "a.source", F.col("up.size").cast("double").alias("key"), "gap", F.lit(None).cast("struct<size:long,copies:int>").alias("down"), "up"
+    )
+    rows = asked.unionByName(given)
+    by = Window.partitionBy("source")
+    below = F.last("up", ignorenulls=True).over(by.orderBy("key", F.col("up").isNull()))
+    above = F.last("up", ignorenulls=True).over(by.orderBy(F.desc("key"), F.col("up").isNull()))
+    pairs = rows.select("source", "gap", "down", F.array(below.alias("up"), above.alias("up")).alias("near")).where("down IS NOT NULL")
+    pairs = pairs.select("source", "gap", "down", F.explode("near").alias("up")).where("up IS NOT NULL")
+    left = F.abs(F.col("gap") - F.col("up.size") + F.col("down.size"))
+    best = pairs.groupBy("source").agg(
+        F.min(F.struct(left.alias("left"), F.col("up"), F.col("down"))).alias("best"), F.abs(F.first("gap")).alias("now")
+    )
+    return best.where(F.col("best.left") < F.col("now") - 1e-6).select("source", "best.up", "best.down")
+
+
+def close_gaps(rounded: DataFrame) -> DataFrame:
+    """Add a document, take one back, or both, as long as that brings a source nearer its target.
+
+    At the end no single move and no swap of two documents helps. The moves are found on the histogram
+    of (source, size, copies); documents are touched once, by the moves' sum.
+    """
+    spark = rounded.sparkSession
+    cells = ["source", "size", "copies"]
+    before = rounded.where("size > 0").groupBy(*cells).agg(F.count("*").cast("long").alias("n"))
+    before = cut_lineage(spark, before, "mix-counts")
+    targets = cut_lineage(spark, rounded.groupBy("source").agg(F.first("target").alias("target")), "mix-targets")
+    counts, steps = before, 0
+    while True:
+        taken = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("copies") * F.col("n")).alias("words"))
+        gaps = targets.alias("t").join(taken.alias("w"), F.col("t.source").eqNullSafe(F.col("w.source")), "left").select(
+            "t.source", (F.col("target") - F.coalesce("words", F.lit(0))).alias("gap")
         )
-    return rounded
+        moves = cut_lineage(spark, best_moves(counts, gaps), "mix-moves")
+        if moves.isEmpty():
+            break
+        steps += 1
+        changes = F.inline(F.array(*[
+            F.struct(F.col(f"{side}.size").alias("size"), (F.col(f"{side}.copies") + moved).cast("int").alias("copies"), F.lit(n).cast("long").alias("n"))
+            for side, way in (("up", 1), ("down", -1)) for moved, n in ((0, -1), (way, 1))
+        ]))
+        changed = counts.unionByName(moves.select("source", changes).where("size > 0"))
+        counts = cut_lineage(spark, changed.groupBy(*cells).agg(F.sum("n").alias("n")).where("n > 0"), "mix-counts")
+    if not steps:
+        return rounded
+    # Of each size, how many more documents have 0, 1 and 2 copies now.
+    more = before.select("source", "size", "copies", (-F.col("n")).alias("n")).unionByName(counts)
+    more = more.groupBy("source", "size").agg(
+        *[F.sum(F.when(F.col("copies") == c, F.col("n")).otherwise(0)).alias(f"more_{c}") for c in (0, 1, 2)]
+    ).where("more_0 <> 0 OR more_1 <> 0 OR more_2 <> 0")
+    same = F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size") == F.col("m.size"))
+    draw = [F.xxhash64("doc_id", "text_key"), F.col("doc_id"), F.col("text_key")]
+    # A step touches two documents of a source, so so many of each cell are enough to choose from.
+    in_cell = Window.partitionBy("source", "size", "copies").orderBy(*draw)
+    chosen = rounded.alias("d").join(more.alias("m"), same).select("d.*", "more_0", "more_1", "more_2").withColumn(
+        "rank", F.row_number().over(in_cell)
+    ).where(F.col("rank") <= 2 * steps)
+    in_size = Window.partitionBy("source", "size")
+    have = [F.sum((F.col("copies") == c).cast("long")).over(in_size) + F.col(f"more_{c}") for c in (0, 1)]
+    placed = chosen.withColumns({"none": have[0], "once": have[0] + have[1]}).withColumn(
+        "place", F.row_number().over(in_size.orderBy("copies", *draw))
+    )
+    now = F.when(F.col("place") <= F.col("none"), 0).when(F.col("place") <= F.col("once"), 1).otherwise(2)
+    moved = placed.withColumn("now", now).where("now <> copies").groupBy("doc_id", "text_key", "source", "size", "copies", "now").agg(
+        F.count("*").alias("rows")
+    )
+    moved = cut_lineage(spark, moved, "mix-moved")
+    # Rows that are the same are told apart by a number among themselves.
+    key = ["doc_id", "text_key", "source", "size", "copies"]
+    touched = F.lit(True)
+    for name in key:
+        touched = touched & F.col(f"d.{name}").eqNullSafe(F.col(f"m.{name}"))
+    named = moved.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list(F.expr("array_repeat(now, cast(rows AS int))")))).alias("to"))
+    both = rounded.alias("d").join(named.alias("m"), touched, "left").select("d.*", "to")
+    plain = both.where("to IS NULL").drop("to")
+    equal = Window.partitionBy(*key).orderBy("target")
+    several = both.where("to IS NOT NULL").withColumn("nth", F.row_number().over(equal))
+    several = several.withColumn("copies", F.coalesce(F.get("to", F.col("nth") - 1), F.col("copies"))).drop("to", "nth")
+    return plain.unionByName(several)
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
