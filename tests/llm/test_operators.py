@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -107,6 +108,17 @@ def test_jaccard_groups(docs, empty, rows):
         assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), component.get(r["doc_id"]))
 
 
+def test_an_id_with_two_texts_links_through_both(spark):
+    rng = np.random.default_rng(6)
+    one, two = (" ".join(f"w{x}" for x in rng.integers(0, 9000, 200)) for _ in range(2))
+    near = lambda text: text + " end"
+    made = [(5, one), (5, two), (6, near(two)), (7, near(one)), (8, "quite another text of some words"), (9, ""), (5, one)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 1, 0.0) for i, t in made], DOCS)
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.jaccard_groups(df).collect()}
+    assert {c for (i, _), c in got.items() if i in (5, 6, 7)} == {5}
+    assert got[8, 2] == 8 and got[9, 0] == 9
+
+
 def test_frequent_tokens_link_through_combinations(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
     rng = np.random.default_rng(2)
@@ -124,8 +136,8 @@ def test_tokens_of_refilled_prefixes_open_no_long_list(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 8)
     lists = []
 
-    def seen(docs, sets, reps, own=jaccard.signatures):
-        out = own(docs, sets, reps)
+    def seen(docs, reps, own=jaccard.signatures):
+        out = own(docs, reps)
         lists.append(out.groupBy("signature").count().agg(F.max("count")).first()[0])
         return out
 
@@ -136,7 +148,7 @@ def test_tokens_of_refilled_prefixes_open_no_long_list(spark, monkeypatch):
     made.append((30, made[0][1] + " end", "en", "s", 1, 1, 0.0))
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(spark.createDataFrame(made, DOCS)).collect()}
     assert got == {i: i % 30 for i in range(31)}
-    assert lists[0] <= 8
+    assert lists[0] <= 9
 
 
 def test_prefixes_share_a_signature_whenever_sets_link():
@@ -150,14 +162,13 @@ def test_prefixes_share_a_signature_whenever_sets_link():
                 continue
             often = rng.random(3 * n) < rng.choice([0.0, 0.5, 1.0])
             mark = {int(v): bool(o) for v, o in zip(np.union1d(x, y), often, strict=False)}
-            rows = {k: [] for k in ("rep", "n", "rare", "frequent")}
-            for i, s in enumerate((x, y)):
-                rows["rep"].append(i)
-                rows["n"].append(len(s))
-                rows["rare"].append([v for v in s.tolist() if not mark[v]])
-                rows["frequent"].append([v for v in s.tolist() if mark[v]])
-            out = jaccard._combinations(rows)
-            own = [{s for r, s in zip(out["rep"], out["signature"], strict=True) if r == i} for i in (0, 1)]
+            own = []
+            for values in (x, y):
+                rare = [v for v in values.tolist() if not mark[v]]
+                frequent = np.array([v for v in values.tolist() if mark[v]], np.int64)
+                n = len(values)
+                length = jaccard.prefix_length(n, jaccard.level(n))
+                own.append({*rare[:length], *jaccard.pair_signatures(n, len(rare), frequent).tolist()})
             assert own[0] & own[1]
             assert not jaccard.too_far(jaccard.parity_bits(x), len(x), jaccard.parity_bits(y), len(y))
 
@@ -199,8 +210,9 @@ def test_the_edge_of_a_common_passage_fills_no_shard(spark, monkeypatch):
 
     def seen(spark, df, purpose, cut=repeats.cut_lineage):
         out = cut(spark, df, purpose)
-        if purpose == "shard-strings":
-            heights.append(out.groupBy("shard").count().agg(F.max("count")).first()[0] or 0)
+        if purpose == "class-strings":
+            sharded = out.where("classes <= 8").groupBy("anchor").count()
+            heights.append(sharded.agg(F.max("count")).first()[0] or 0)
         return out
 
     monkeypatch.setattr(repeats, "CLASSES", 8)
@@ -250,6 +262,28 @@ def test_mix_meets_its_targets(spark, docs, empty):
     assert mixing.mix_sources(docs).count() == docs.count() and mixing.mix_sources(empty).count() == 0
 
 
+def test_no_move_and_no_swap_would_come_nearer(spark):
+    rng = np.random.default_rng(11)
+    sizes = {"a": [2770, 71, 16, 2], "b": rng.integers(1, 900, 40).tolist(), "c": [5] * 30, None: rng.integers(100, 3000, 7).tolist(), "d": [0, 0]}
+    rows = [(s, n) for s, own in sizes.items() for n in own]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    docs = docs.unionByName(docs.where("doc_id < 6")).repartition(4)
+    got = mixing.mix_sources(docs).toPandas()
+    assert len(got) == len(rows) + 6 and got["copies"].between(0, 2).all()
+    for _, own in got.groupby("source", dropna=False):
+        size, copies, target = own["size"].to_numpy(), own["copies"].to_numpy(), own["target"].iloc[0]
+        gap = target - (size * copies).sum()
+        up, down = [0, *size[copies < 2]], [0, *size[copies > 0]]
+        assert min(abs(gap - a + b) for a in up for b in down) >= abs(gap) - 1e-6
+
+
+def test_mix_of_the_tables_is_near_its_targets(spark):
+    got = mixing.mix_sources(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).toPandas()
+    for _, own in got.groupby("source", dropna=False):
+        off = abs((own["size"] * own["copies"]).sum() - own["target"].iloc[0])
+        assert off <= max(0.01 * own["target"].iloc[0], own["size"][own["size"] > 0].min())
+
+
 def vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(120, 8))
@@ -296,6 +330,36 @@ def test_near_vectors_lose_no_link_among_many_almost_near(spark, monkeypatch):
     assert got == dict(enumerate((near.sum(axis=1) - 1).tolist()))
 
 
+def test_near_vectors_through_graphs_that_pass_their_audit(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHARD", 400)
+    monkeypatch.setattr(N, "SAMPLE", 300)
+    used = []
+
+    def seen(spark, df, purpose, cut=N.cut_lineage):
+        out = cut(spark, df, purpose)
+        if purpose == "recall-audits":
+            used.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(N, "cut_lineage", seen)
+    rng = np.random.default_rng(8)
+    centres = N.unit(rng.normal(size=(40, 24)))
+    points = N.unit(np.repeat(centres, 25, axis=0) + 0.04 * rng.normal(size=(1000, 24)))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(points)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in N.near_groups(df).collect()}
+    near = points @ points.T >= 0.9
+    assert len(used) >= 3 and all(a["beam"] and a["links"] >= N.LINKS_SEEN and a["recall"] >= N.RECALL for a in used)
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * (near.sum() - 1000)
+    assert all(got[i]["n_links"] <= near[i].sum() - 1 for i in got)
+    assert np.mean([got[i]["component_id"] == i // 25 * 25 for i in got]) == 1.0
+
+
+def test_an_audit_counts_no_link_of_a_vector_with_itself():
+    rng = np.random.default_rng(8)
+    points, ids = N.unit(rng.normal(size=(900, 32))), np.arange(900)
+    assert N.audited(points, ids, (ids, points), 0.9) == (None, {"links": 0, "beam": 0, "recall": 0.0})
+
+
 def test_graph_finds_what_brute_force_finds():
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(60, 16))
@@ -350,6 +414,24 @@ def test_classifiers_on_rows_they_never_saw(spark, empty, column):
     assert run(docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_fits_are_bounded_by_documents_not_by_ids(spark):
+    from tidewatch.llm import common
+
+    rows = [(1, "clean words", None, None, 1, 1, 0.0)] * 500 + [(i, f"text {i}", None, None, 1, 1, 0.0) for i in range(2, 900)]
+    rows += [(1, f"other text {i} of this id", None, None, 1, 1, 0.0) for i in range(2000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 900)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, DOCS)
+    sample, counts = common.labelled_sample(docs, labels, "toxic", 100, 5, 0)
+    held_in = [i for i in range(1, 900) if zlib.crc32(str(i).encode()) % 5]
+    assert counts == {0: sum(i % 2 == 0 for i in held_in), 1: sum(i % 2 for i in held_in) + 2000 * (1 in held_in)}
+    drawn = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert all(50 < n < 160 for n in drawn.values())
+    assert common.sampled_texts(docs, sample).count() == sum(drawn.values())
+    few, _ = common.labelled_sample(docs, labels, "toxic", 100, 5, 0, class_bytes=200)
+    assert few.count() < 60
+    assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, common.labelled_sample(docs, labels, "toxic", 100, 5, 0)[0].collect()))
+
+
 def test_toxicity_draws_four_thousand_rows_a_class():
     assert toxicity.fit_toxicity.__defaults__[1] == toxicity.PER_CLASS == 4000
 
@@ -371,6 +453,52 @@ def test_roles_come_back_without_their_markers(spark):
     assert chat.chats(turns.limit(0)).count() == 0
 
 
+def chat_model(seed):
+    rng = np.random.default_rng(seed)
+    return {"start": rng.normal(size=6), "move": rng.normal(size=(6, 6)), "emit": [rng.normal(size=(6, k)) for k in chat.KINDS]}
+
+
+def test_parts_are_decoded_as_the_whole_transcript():
+    rng = np.random.default_rng(5)
+    lines = ["User: Where is it?", "  ", "Beyond the hills.", "Assistant: so:", "a", "System: be brief", "It is a long way to go there, and longer back."]
+    for seed in range(12):
+        model = chat_model(seed)
+        parts = ["\n".join(rng.choice(lines, rng.integers(0, 5))) for _ in range(6)]
+        passages = []
+        for number, text in enumerate(parts):
+            own, blanks = chat.full_lines(text)
+            if own:
+                blanks[0] += number > 0
+            passages.append(chat.passage(chat.observed(own, blanks), model) if own else None)
+        seams = chat.seams(passages)
+        got = [chat.pieces(t, model, before, last, i == 5, i > 0) for i, (t, (before, last)) in enumerate(zip(parts, seams, strict=True))]
+        roles, rendered = chat.pieces("\n\n".join(parts), model)
+        assert sum((r for r, _ in got), []) == roles
+        squeezed = lambda text: re.sub("\n\n+", "\n\n", text)
+        assert squeezed("".join(t for _, t in got)) == squeezed(rendered)
+
+
+def test_long_conversations_and_blank_lines(spark, monkeypatch):
+    rows = []
+    for c in range(60):
+        for t in range(600 if c == 7 else 5):
+            role = "user" if t % 2 == 0 else "assistant"
+            text = "Where is the river?" if role == "user" else "It lies behind the meadow, beyond two long hills.\n\nSo go there."
+            rows.append((c, t, role, text, "x"))
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, n_turns string")
+    whole = None
+    for part in (256, 7, 10_000):
+        monkeypatch.setattr(chat, "PART", part)
+        found = [r for r in chat.chats(turns).collect() if r["conv_id"] == 7]
+        found.sort(key=lambda r: r["part"])
+        assert len(found) == -(-600 // part)
+        rendered = "".join(r["rendered"] for r in found)
+        assert whole is None or rendered == whole
+        whole = rendered
+        assert sum((r["roles"] for r in found), []) == ["user", "assistant"] * 300
+    assert "hills.\n\nSo go there.\n<|end|>" in whole
+
+
 def test_viterbi_is_the_best_of_all_paths():
     rng = np.random.default_rng(3)
     model = {"start": rng.normal(size=6), "move": rng.normal(size=(6, 6)), "emit": [rng.normal(size=(6, k)) for k in chat.KINDS]}

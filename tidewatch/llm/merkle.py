@@ -28,9 +28,10 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ordering import in_order
 from tidewatch.session import cut_lineage
 
 ARITY = 3
@@ -106,24 +107,6 @@ STEPS = "array<struct<left:string,right:string>>"
 ARROW_STEPS = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
 
 
-def in_order(df: DataFrame, *order: Column) -> DataFrame:
-    """``df`` with ``at``, the place of each row in ``order``.
-
-    Ranges of the whole order are sorted and numbered apart, so no key need fit a task.
-    """
-    spark = df.sparkSession
-    place = F.monotonically_increasing_id()
-    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", place)
-    rows = cut_lineage(spark, sorted_rows, "ordered")
-    part = F.shiftright("place", 33)
-    # One row for each partition.
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rows = rows.withColumn("part", part).join(starts, "part")
-    return rows.withColumn("at", F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("place", "part", "start")
-
-
 def leaves(docs: DataFrame, **columns: Column) -> DataFrame:
     """(doc_id, source, leaf, columns) with the leaf's ``tree``, its ``number`` there and the tree's ``n``."""
     spark = docs.sparkSession
