@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import expressions as X
 from tidewatch.functions.taxonomy import CLASS_NAMES, taxonomy_rows, with_family
-from tidewatch.operators import dedup, profile, sampling, scaling, split
+from tidewatch.operators import bloom, dedup, profile, sampling, scaling, split
 from tidewatch.sources import csv_parts, store
 
 
@@ -80,8 +80,29 @@ def test_other_header_fails(spark, tmp_path):
 def test_value_of_another_type_fails(spark, tmp_path):
     write_part(tmp_path, "X.csv", [1], "v")
     write_part(tmp_path, "X1.csv", ["text"], "v")
+    with pytest.raises(ValueError, match="'v' is int in .*X.csv and string in .*X1.csv"):
+        csv_parts.scan_parts(spark, str(tmp_path))
+    integers = csv_parts.infer_layout(spark, str(tmp_path / "X.csv"))
     with pytest.raises(Exception, match="(?i)malformed"):
-        csv_parts.scan_parts(spark, str(tmp_path)).collect()
+        csv_parts.scan_parts(spark, str(tmp_path), integers).collect()
+
+
+def test_numbers_widen_over_parts(spark, tmp_path):
+    parts = {"X.csv": ["1,7,a,,true", "2,,b,,false"], "X1.csv": ["3,1.5,c,,", "-4,inf,d,,true"], "X2.csv": ["3000000000,1e3,,,false"]}
+    for name, lines in parts.items():
+        (tmp_path / name).write_text("\n".join(["i,f,t,e,b", *lines]) + "\n")
+    frame = csv_parts.scan_parts(spark, str(tmp_path))
+    types = {f.name: f.dataType.simpleString() for f in frame.schema}
+    assert [types[c] for c in "ifteb"] == ["bigint", "double", "string", "string", "boolean"]
+    rows = csv_parts.with_positions(frame).orderBy("pos").collect()
+    assert [r["i"] for r in rows] == [1, 2, 3, -4, 3000000000]
+    assert [r["f"] for r in rows] == [7.0, None, 1.5, math.inf, 1000.0] and [r["b"] for r in rows][2] is None
+
+
+def test_a_part_that_mixes_text_and_numbers_is_text(spark, tmp_path):
+    write_part(tmp_path, "X.csv", ["a", 1], "v")
+    write_part(tmp_path, "X1.csv", ["b"], "v")
+    assert csv_parts.scan_parts(spark, str(tmp_path)).schema["v"].dataType.simpleString() == "string"
 
 
 def test_cap_reads_whole_parts_in_number_order(spark, tmp_path):
@@ -140,15 +161,13 @@ def test_profile_counts(spark, tmp_path):
     assert math.isnan(profile.imbalance_ratio(frame.limit(0), "label").first()[0])
 
 
-def test_wide_matrix_equals_pairwise(spark, monkeypatch):
+def test_pearson_equals_the_built_in_aggregate(spark):
     df = spark.range(50).select(
         F.col("id").cast("double").alias("a"), F.sin("id").alias("b"), F.lit(1.0).alias("c")
     )
     pairs = {(r[0], r[1]): r[2] for r in profile.pearson_matrix(df, ["a", "b", "c"]).collect()}
-    monkeypatch.setattr(profile, "PAIRWISE_COLUMNS", 1)
-    wide = {(r[0], r[1]): r[2] for r in profile.pearson_matrix(df, ["a", "b", "c"]).collect()}
-    assert pairs.keys() == wide.keys() and pairs["a", "c"] == 0.0 and pairs["c", "c"] == 1.0
-    assert all(abs(pairs[k] - wide[k]) < 1e-9 for k in pairs)
+    assert pairs["a", "b"] == pairs["b", "a"] == pytest.approx(df.agg(F.corr("a", "b")).first()[0])
+    assert pairs["a", "c"] == pairs["c", "b"] == 0.0 and pairs["c", "c"] == 1.0
 
 
 # --- dedup ---
@@ -169,6 +188,29 @@ def test_dedup_treats_missing_values_as_equal(spark):
     assert dedup.keep_first(df, "pos").count() == 3
 
 
+@pytest.mark.parametrize("hot", [1, 5, 1 << 17])
+def test_leakage_gate_with_hot_records(spark, hot):
+    rows = [(i, "same" if i % 3 == 0 else f"t{i % 70}" if i % 3 == 1 else f"own{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "i long, text string").repartition(4)
+    train, test = df.where("i < 500"), df.where("i >= 500")
+    known = {t for i, t in rows if i < 500}
+    got = sorted(r["i"] for r in dedup.leaked_rows(train, test, ["text"], hot).collect())
+    assert got == [i for i, t in rows if i >= 500 and t in known]
+    assert dedup.leaked_fingerprints(train, test, ["text"]).count() == len({t for i, t in rows if i >= 500} & known)
+
+
+@pytest.mark.parametrize("words", [1 << 14, 64])
+def test_bloom_filter_loses_no_row_and_passes_few_others(spark, words, monkeypatch):
+    monkeypatch.setattr(bloom, "SHARD_WORDS", words)
+    test = spark.range(4000).select(F.concat(F.lit("t"), "id").alias("x"))
+    train = spark.range(40_000).select(F.concat(F.lit("t"), F.col("id") + 3000).alias("x"))
+    counted = dedup._counted_prints(test, ["x"])
+    # 1,000 of the train rows are in the test side.
+    assert 1000 <= dedup.possible_leaks(train, ["x"], counted).count() <= 1000 + 0.01 * 40_000
+    assert dedup.leaked_fingerprints(train, test, ["x"]).count() == 1000
+    assert dedup.leaked_fingerprints(train, test.limit(0), ["x"]).count() == 0
+
+
 def test_leakage_gate_is_not_vacuous(spark):
     train = spark.createDataFrame([(1, "a"), (2, "b")], "x long, label string")
     test = spark.createDataFrame([(2, "b"), (3, "c")], "x long, label string")

@@ -2,7 +2,9 @@
 
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import expressions as X
 from tidewatch.operators import metrics as M
 from tidewatch.operators import parameters as A
+from tidewatch.operators import relevance as V
 from tidewatch.operators import report as R
 from tidewatch.operators import selection as L
 
@@ -187,18 +190,95 @@ def test_fedprox(spark):
 # --- selection ---
 
 
-def test_pruning_keeps_the_more_relevant_twin():
-    matrix = {(a, b): 1.0 if a == b else 0.1 for a in "abc" for b in "abc"}
-    matrix["a", "b"] = matrix["b", "a"] = 0.95
-    assert L.prune_correlated("abc", {"a": 0.1, "b": 0.2, "c": 0.0}, matrix, 0.95) == (
-        ["b", "c"], ["a"])
-    assert L.prune_correlated("abc", {"a": 0.2, "b": 0.2, "c": 0.0}, matrix, 0.95)[1] == ["b"]
+def pruned(spark, relevance, close, tau=0.95):
+    names = list(relevance)
+    pairs = [(a, b, 1.0 if a == b else close.get(a + b, close.get(b + a, 0.1))) for a in names for b in names]
+    got = L.prune_correlated(
+        spark.createDataFrame(list(relevance.items()), "feature string, mi double"),
+        spark.createDataFrame(pairs, "a string, b string, r double"), tau,
+    )
+    return "".join(sorted(r["feature"] for r in got.where("kept").collect()))
+
+
+def test_pruning_keeps_the_more_relevant_twin(spark):
+    assert pruned(spark, {"a": 0.1, "b": 0.2, "c": 0.0}, {"ab": 0.95}) == "bc"
+    assert pruned(spark, {"a": 0.2, "b": 0.2, "c": 0.0}, {"ab": 0.95}) == "ac"
+
+
+def test_pruning_follows_chains_of_near_copies(spark):
+    relevance = {c: 1.0 - i / 10 for i, c in enumerate("abcdefg")}
+    chain = {a + b: 0.99 for a, b in zip("abcdef", "bcdefg", strict=True)}
+    assert pruned(spark, relevance, chain) == "aceg"
+    rng = random.Random(3)
+    for _ in range(3):
+        names = "abcdefgh"
+        relevance = {c: rng.choice([0.1, 0.2, 0.3]) for c in names}
+        close = {a + b: rng.choice([0.5, 0.97]) for a in names for b in names if a < b}
+        kept = []
+        for c in sorted(names, key=lambda c: (-relevance[c], c)):
+            if all(close[min(c, k) + max(c, k)] < 0.95 for k in kept):
+                kept.append(c)
+        assert pruned(spark, relevance, close) == "".join(sorted(kept))
+
+
+def plain_knn(x, y, k):
+    """The estimate from all distances."""
+    x, y = np.asarray(x, float), np.asarray(y)
+    counts = Counter(y.tolist())
+    keep = np.array([counts[label] > 1 for label in y.tolist()])
+    x, y = x[keep], y[keep]
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, n))
+    total = 0.0
+    for i in range(len(x)):
+        away = np.abs(x - x[i])
+        same = np.sort(np.delete(away, i)[np.delete(y, i) == y[i]])
+        own = min(k, len(same))
+        reach = same[own - 1]
+        m = int((away < reach).sum()) if reach > 0 else int((away == 0).sum())
+        total += psi(own) - psi(len(same) + 1) - psi(m)
+    return max(0.0, psi(len(x)) + total / len(x))
+
+
+@pytest.mark.parametrize("bits", [2, 5, 18])
+@pytest.mark.parametrize("neighbours", [1, 3, 7])
+def test_neighbour_information_equals_all_pairs(spark, bits, neighbours):
+    rng = np.random.default_rng(bits)
+    n = 240
+    y = np.array(["hot"] * 100 + ["b"] * 80 + ["c"] * 52 + ["d"] * 5 + ["two"] * 2 + ["one"])
+    columns = {
+        "close": (y == "hot") * 2.0 + rng.normal(size=n), "noise": rng.normal(size=n) * 1e-9,
+        "ties": rng.integers(-3, 4, n).astype(float), "third": np.where(np.arange(n) % 3 == 0, 0.0, rng.normal(size=n)),
+        "wide": 10.0 ** rng.integers(-300, 300, n) * rng.choice([-1, 1], n),
+    }
+    rows = [(str(label), *[float(c[i]) for c in columns.values()]) for i, label in enumerate(y)]
+    rows += [("b", *[math.nan] * 5), (None, *[1.0] * 5), ("c", math.inf, *[0.0] * 4)]
+    schema = "label string, " + ", ".join(f"{c} double" for c in columns)
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    got = {r["feature"]: r["mi"] for r in V.mutual_information_knn(df, list(columns), "label", neighbours, bits).collect()}
+    for name, values in columns.items():
+        assert got[name] == pytest.approx(plain_knn(values, y, neighbours), abs=1e-9)
+
+
+def test_interval_of_nearer_doubles_has_exact_ends():
+    rng = np.random.default_rng(1)
+    x = np.concatenate((rng.normal(size=300), [0.0, -0.0, 1.0, 1e300, -1e-320, 5e-324]))
+    reach = np.concatenate((10.0 ** rng.uniform(-30, 10, 300), [0.0, 0.0, 1.0, 1e290, 1e-5, 1.0]))
+    first, past = V.nearer_than(x, reach)
+    reach = np.maximum(reach, 5e-324)
+    assert (np.abs(first - x) < reach).all() and (np.abs(np.nextafter(first, -np.inf) - x) >= reach).all()
+    assert (np.abs(past - x) >= reach).all() and (np.abs(np.nextafter(past, -np.inf) - x) < reach).all()
+
+
+def test_digamma(spark):
+    got = [r[0] for r in spark.range(1, 400).select(V.digamma(F.col("id"))).collect()]
+    expected = np.cumsum([-0.5772156649015329, *[1 / i for i in range(1, 399)]])
+    assert np.allclose(got, expected, rtol=0, atol=1e-12)
 
 
 def test_mutual_information_of_a_copy_is_the_entropy(spark):
     df = spark.range(400).select((F.col("id") % 4).alias("a"), (F.col("id") % 4).alias("y"),
                                  F.lit(1).alias("flat"))
-    got = {r[0]: r[1] for r in L.mutual_information(df, ["a", "flat"], "y").collect()}
+    got = {r[0]: r[1] for r in V.mutual_information(df, ["a", "flat"], "y").collect()}
     assert got["a"] == pytest.approx(math.log(4)) and got["flat"] == pytest.approx(0.0)
 
 
@@ -206,7 +286,6 @@ def test_mutual_information_of_a_copy_is_the_entropy(spark):
     ("scores", "at"), [([0.1, 0.9], 1), ([0.5, 0.5], 0), ([0, 0.8, 0.9, 1.0], 1), ([0, 1, 2], 0)]
 )
 def test_knee(spark, scores, at):
-    assert L.knee_index(scores) == at
     df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(scores)],
                                "series string, i int, v double")
     assert L.knee(df, "series", "i", "v").first()["knee_index"] == at
@@ -227,13 +306,20 @@ def labelled(spark):
     )
 
 
+def names_of(table, condition, order="place"):
+    return [r["feature"] for r in table.where(condition).orderBy(order).collect()]
+
+
 def test_selection_stages(spark):
-    result = L.select_features(labelled(spark), "label", "id", 0.95, 2, trees=10)
-    assert sorted(result.dropped_stage1) == ["constant", "source_file"]
+    table, tried = L.select_features(labelled(spark), "label", "id", 0.95, 2, trees=10)
+    assert names_of(table, "NOT candidate") == ["constant", "source_file"] and tried is None
     # The twins tie, so the name decides.
-    assert result.dropped_stage2 == ["informative_a"]
-    assert result.selected[0] == "copy_of_a" and len(result.selected) == 2
-    assert result.fused_ranking[-1] == "noise" and result.excluded_rows == 0
+    assert names_of(table, "candidate AND NOT kept") == ["informative_a"]
+    selected = L.selected_names(table)
+    assert selected[0] == "copy_of_a" and len(selected) == 2
+    assert names_of(table, "kept", "fused_rank")[-1] == "noise"
+    assert table.where("NOT kept AND fused_rank IS NOT NULL").isEmpty()
+    assert names_of(table, "disputed") == names_of(table, "(mi_rank <= 2) <> (forest_rank <= 2)")
 
 
 def test_selection_sweep_adds_the_full_set_and_takes_the_knee(spark):
@@ -243,11 +329,20 @@ def test_selection_sweep_adds_the_full_set_and_takes_the_knee(spark):
         seen.append(len(columns))
         return {1: 0.2, 2: 0.9, 3: 0.91}[len(columns)]
 
-    result = L.select_features(
-        labelled(spark), "label", "id", 0.95, 1, f_sweep=[1, 2, 50], evaluator=evaluator,
-        trees=5, sample_size=300,
+    table, tried = L.select_features(
+        labelled(spark), "label", "id", 0.95, 1, sizes=[1, 2, 50], evaluator=evaluator,
+        trees=5, forest_rows=300,
     )
-    assert seen == [1, 2, 3] and len(result.selected) == 2
+    assert seen == [1, 2, 3] and len(L.selected_names(table)) == 2
+    assert [tuple(r) for r in tried.orderBy("n_features").collect()] == [(1, 0.2, False), (2, 0.9, True), (3, 0.91, False)]
+
+
+def test_selection_leaves_out_rows_that_are_not_finite(spark):
+    noise = F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.col("noise"))
+    table, _ = L.select_features(labelled(spark).withColumn("noise", noise), "label", "id", 0.95, 2, trees=5)
+    whole, _ = L.select_features(labelled(spark).where("id % 5 <> 0"), "label", "id", 0.95, 2, trees=5)
+    mi = lambda t: {r["feature"]: r["mi"] for r in t.collect()}
+    assert mi(table) == mi(whole)
 
 
 def test_selection_refuses_unusable_frames(spark):
@@ -256,5 +351,11 @@ def test_selection_refuses_unusable_frames(spark):
     bad = labelled(spark).withColumn("noise", F.lit(None).cast("double") + F.col("id"))
     with pytest.raises(ValueError):
         L.select_features(bad.select("id", "label", "noise"), "label", "id", 0.9, 1)
+    odd = F.col("id") % 2 == 1
+    apart = labelled(spark).select(
+        "id", "label", F.when(odd, F.col("noise")).alias("x"), F.when(~odd, F.col("noise")).alias("y")
+    )
+    with pytest.raises(ValueError, match="no row"):
+        L.select_features(apart, "label", "id", 0.9, 1)
     with pytest.raises(ValueError, match="tau"):
         L.select_features(labelled(spark), "label", "id", 0.0, 1)

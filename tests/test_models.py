@@ -44,15 +44,20 @@ def numpy_client(rows, start, epochs, rate, proximal=None):
     return w
 
 
+def weights_of(table):
+    return np.array([r["value"] for r in table.orderBy("pos").collect()]).reshape(-1, CLASSES)
+
+
 @pytest.mark.parametrize("aggregation", ["weighted", "unweighted"])
 @pytest.mark.parametrize("proximal", [None, 0.3])
 def test_rounds_equal_numpy(spark, aggregation, proximal):
     data = M.federated_data(sequences(spark).repartition(5), "client", "y", CLASSES).persist()
-    model, sizes = M.federated_rounds(
+    history, sizes = M.federated_rounds(
         data, "y", 3, CLASSES, 4, rounds=2, local_epochs=2, rate=0.3,
         aggregation=aggregation, proximal=proximal,
     )
-    assert sizes == {0: 40, 1: 80, 2: 0}
+    assert {r["client"]: r["n_k"] for r in sizes.collect()} == {0: 40, 1: 80, 2: 0}
+    model = weights_of(history.where("round = 1"))
     rows = data.collect()
     expected = np.zeros((5, CLASSES))
     for _ in range(2):
@@ -68,13 +73,27 @@ def test_rounds_equal_numpy(spark, aggregation, proximal):
 def test_local_only_scores_an_empty_client_as_benign(spark):
     data = M.federated_data(sequences(spark), "client", "y", CLASSES).persist()
     models, sizes = M.local_only(data, "y", 3, CLASSES, 4, epochs=3)
-    assert models[2] is None and sizes[2] == 0
-    scored = M.score_softmax(models, sequences(spark), "y")
+    assert [r["client"] for r in sizes.where("n_k = 0").collect()] == [2]
+    assert models.where("client_id = 2").isEmpty()
+    names = sizes.withColumnRenamed("client", "client_id")
+    scored = M.score_softmax(models, "client_id", sequences(spark), "y", CLASSES, names)
     assert scored.count() == 360
     assert scored.where("model = 2 AND prediction <> 0").isEmpty()
     start = np.zeros((5, CLASSES))
     rows = [r for r in data.collect() if r["client_id"] == 0]
-    assert np.allclose(models[0], numpy_client(rows, start, 3, 0.5))
+    assert np.allclose(weights_of(models.where("client_id = 0")), numpy_client(rows, start, 3, 0.5))
+
+
+def test_blocks_and_groups_of_models_do_not_change_scores(spark, monkeypatch):
+    data = M.federated_data(sequences(spark).repartition(3), "client", "y", CLASSES)
+    found = []
+    for rows, together in ((4096, 16), (7, 1)):
+        monkeypatch.setattr(M, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(M, "MODELS_TOGETHER", together)
+        models, _ = M.local_only(data, "y", 3, CLASSES, 4, epochs=2)
+        scored = M.score_softmax(models, "client_id", sequences(spark), "y", CLASSES)
+        found.append(sorted(map(tuple, scored.collect())))
+    assert found[0] == found[1] and len(found[0]) == 240
 
 
 def test_baselines_learn_separable_classes(spark):

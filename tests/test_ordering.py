@@ -193,3 +193,46 @@ def test_latency_windows_equal_brute_force(spark, bits, window):
         assert [x[0] for x in r["window"]] == [
             float(i) for i in range(r["pos"] - window + 1, r["pos"] + 1)
         ]
+
+
+def test_ordered_image_keeps_the_order_of_doubles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    bits = rng.integers(-(2**63), 2**63, 4000, dtype=np.int64).view(np.float64)
+    exact = [0.0, -0.0, 1.0, -1.0, float("inf"), float("-inf"), 5e-324, -5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.7976931348623157e308]
+    powers = np.concatenate([(2.0**e, np.nextafter(2.0**e, 0), np.nextafter(2.0**e, np.inf)) for e in range(-1060, 1023, 7)])
+    values = np.concatenate((bits[~np.isnan(bits)], exact, powers, -powers))
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = df.select("v", O.ordered_image(F.col("v")).alias("i")).collect()
+    for r in got:
+        whole = int(np.array([r["v"] + 0.0]).view(np.int64)[0])
+        assert r["i"] == (whole if whole >= 0 else -(whole + 2**63))
+    odd = spark.createDataFrame([(float("nan"),), (None,), (float("inf"),)], "v double")
+    nan, null, inf = (r[0] for r in odd.select(O.ordered_image(F.col("v"))).collect())
+    assert nan > inf and null is None
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_in_order_numbers_rows_of_any_order(spark, partitions):
+    df = skewed_rows(spark).repartition(partitions)
+    got = O.in_order(df, F.col("key"), F.col("v").desc(), F.col("pos")).collect()
+    expected = sorted(got, key=lambda r: (r["key"], -r["v"], r["pos"]))
+    assert [r["at"] for r in expected] == list(range(600))
+    assert O.in_order(df.limit(0), F.col("key")).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1, 40, 1 << 18])
+def test_at_ranks_refines_crowded_buckets(spark, rows_per_bucket):
+    rng = random.Random(5)
+    odd = [0.0, -0.0, float("inf"), float("-inf"), float("nan"), None, 5e-324]
+    rows = [(k, v) for k in ("a", None) for v in odd]
+    rows += [(rng.choice("ab"), 1.0 + rng.randrange(90) * 2.0**-50) for _ in range(400)]
+    df = spark.createDataFrame(rows, "key string, v double").repartition(3)
+    got = O.at_ranks(df, ["key"], "v", {"low": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "top": lambda n: n - 1}, rows_per_bucket)
+    order = lambda v: (v != v, 0.0 if v != v else v)
+    for r in got.collect():
+        own = sorted((v for k, v in rows if k == r["key"] and v is not None), key=order)
+        assert r["n"] == len(own)
+        for name, at in (("low", 0), ("mid", len(own) // 2), ("top", len(own) - 1)):
+            assert order(r[name]) == order(own[at])

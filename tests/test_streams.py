@@ -1,5 +1,7 @@
 """Routing, replay and device windows: hand cases, and streams equal to their batch twins."""
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -281,6 +283,58 @@ def test_detection_run_without_benign_verdicts(spark, tmp_path, window, classifi
                                             classified)
 
 
+def test_depth_and_last_seen_follow_the_stream(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice("aab"), i, [float(i)], rng.random() < 0.1) for i in range(60)]
+    files = [rows[i : i + 3] for i in range(0, 60, 3)]
+    (tmp_path / "src").mkdir()
+    for n in (1, 3, 20):
+        done = len(list((tmp_path / "src").iterdir()))
+        for i in range(done, n):
+            part = tmp_path / "made" / str(i)
+            spark.createDataFrame(files[i], PUSH).coalesce(1).write.parquet(str(part))
+            source = next(part.glob("*.parquet"))
+            source.rename(tmp_path / "src" / f"{i}.parquet")
+        stream = jobs.file_stream(spark, str(tmp_path / "src"), PUSH)
+        jobs.run_to_table(state.stream_windows(stream, 4), str(tmp_path / "windows"))
+        depth = {}
+        for device, _, _, reset in rows[: 3 * n]:
+            depth[device] = 0 if reset else min(4, depth.get(device, 0) + 1)
+        got = {r["device"]: r["depth"] for r in state.stream_depth(spark, str(tmp_path / "windows/progress")).collect()}
+        assert got == {d: n for d, n in depth.items() if n}
+        counters = stream.select(
+            F.lit("e").alias("edge_id"), F.col("device").alias("device_id"), "stream_index",
+            ((F.col("stream_index") * 7) % 31).alias("counter"),
+        )
+        jobs.run_to_table(state.stream_replay_guard(counters), str(tmp_path / "guard"))
+        last = {}
+        for device, i, *_ in rows[: 3 * n]:
+            last[device] = max(last.get(device, -1), i * 7 % 31)
+        seen = state.stream_last_seen(spark, str(tmp_path / "guard/progress")).collect()
+        assert {r["device_id"]: int(r["last_counter"]) for r in seen} == last
+
+
+def test_counters_of_micro_batches_and_a_lost_alert(spark, tmp_path):
+    import numpy as np
+
+    def by_first(batch):
+        high = batch[:, -1, 0] > 0
+        return np.stack([~high, high], axis=1).astype(float)
+
+    (tmp_path / "src").mkdir()
+    rows = [(i, "de"[i % 2], "e", i) for i in range(9)]
+    stream = feed(spark, tmp_path / "src", [rows[:4], rows[4:6], rows[6:]],
+                  "stream_index long, device string, edge string, counter long")
+    slots = R.pool_slots(pool(spark, 2).withColumn("x", F.when(F.col("ref") == "f:0", 1.0).otherwise(-1.0)), 0)
+    verdicts = detector.verdict_stream(stream, slots, 2, ["x"], 2, by_first)
+    run = detector.run_detection(verdicts, str(tmp_path / "run"), "v1")
+    assert run.counters.count() == 3 and run.counters.agg(F.sum("n_classified")).first()[0] == 7
+    counts = run.counts(9)
+    assert 0 < counts.first()["n_malicious"] < 7 and R.count_errors(counts).isEmpty()
+    lost = detector.DetectionRun(run.verdicts, run.cloud, run.alerts.limit(run.alerts.count() - 1), run.counters)
+    assert not R.count_errors(lost.counts(9)).isEmpty()
+
+
 def test_workers_need_no_import_path(tmp_path):
     import subprocess
     import sys

@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.bloom import bloom_filter, may_contain
 from tidewatch.operators.ordering import by_position, running_count
+from tidewatch.session import cut_lineage
 
 NULL_MARK = "∅"
+#: Equal test rows beyond which a fingerprint is not joined by shuffle.
+HOT_ROWS = 1 << 17
 
 
 def record_hash(columns: Sequence[str]) -> Column:
@@ -74,18 +78,53 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
-def leaked_fingerprints(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _prints(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(record_md5(columns).alias("fingerprint"))
+
+
+def _counted_prints(test: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(fingerprint, n) of the test rows, counted before they are shuffled, and written once."""
+    counted = _prints(test, columns).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(test.sparkSession, counted, "test-fingerprints")
+
+
+def possible_leaks(train: DataFrame, columns: Sequence[str], counted: DataFrame) -> DataFrame:
+    """The fingerprints of train rows that a Bloom filter of the test side does not rule out."""
+    spark = train.sparkSession
+    bloom = cut_lineage(spark, bloom_filter(counted, "fingerprint", counted.count()), "bloom-filter")
+    return may_contain(_prints(train, columns), "fingerprint", bloom)
+
+
+def leaked_fingerprints(
+    train: DataFrame, test: DataFrame, columns: Sequence[str], counted: DataFrame | None = None
+) -> DataFrame:
     """Fingerprints on both sides; the leakage gate wants none.
 
-    Both sides are reduced to distinct fingerprints first, so no hot record meets itself.
+    Train rows that cannot be in the test side go before anything is shuffled. Both sides are
+    distinct fingerprints then, so no hot record meets itself.
     """
-    left = train.select(record_md5(columns).alias("fingerprint"))
-    right = test.select(record_md5(columns).alias("fingerprint"))
-    return left.intersect(right)
+    counted = _counted_prints(test, columns) if counted is None else counted
+    return possible_leaks(train, columns, counted).distinct().join(
+        counted.select("fingerprint"), "fingerprint", "left_semi"
+    )
 
 
-def leaked_rows(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The test rows whose fingerprint also occurs in train."""
-    offenders = leaked_fingerprints(train, test, columns)
-    marked = test.withColumn("fingerprint", record_md5(columns))
-    return marked.join(offenders, "fingerprint", "left_semi").select(*test.columns)
+def leaked_rows(
+    train: DataFrame, test: DataFrame, columns: Sequence[str], hot: int = HOT_ROWS
+) -> DataFrame:
+    """The test rows whose fingerprint also occurs in train.
+
+    A fingerprint of more than ``hot`` test rows is looked up where its rows lie; there are at most
+    rows / ``hot`` of them. The others are joined by shuffle, ``hot`` rows a key at most.
+    """
+    spark = test.sparkSession
+    counted = _counted_prints(test, columns)
+    offenders = cut_lineage(spark, leaked_fingerprints(train, test, columns, counted), "leaks")
+    marked = test.withColumn("__print", record_md5(columns))
+    offenders = offenders.select(F.col("fingerprint").alias("__print"), F.lit(True).alias("__leaked"))
+    crowded = counted.where(F.col("n") > hot).select(F.col("fingerprint").alias("__print"), F.lit(True).alias("__hot"))
+    crowded = crowded.join(offenders, "__print", "left")
+    known = marked.join(F.broadcast(crowded), "__print", "left")
+    of_hot = known.where("__leaked").select(*test.columns)
+    rest = known.where("__hot IS NULL").join(offenders.select("__print"), "__print", "left_semi")
+    return of_hot.unionByName(rest.select(*test.columns))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordering import CHUNK_BITS, running, running_sum, value_chunk
+from tidewatch.operators.ordering import CHUNK_BITS, by_position, in_order, running_sum
 
 NAN = float("nan")
 
@@ -120,9 +120,7 @@ def binary_metrics(df: DataFrame, truth: str, score: str, threshold: float = 0.5
     )
 
 
-def average_precision(
-    df: DataFrame, truth: str, score: str, rows_per_chunk: int = 1 << CHUNK_BITS
-) -> DataFrame:
+def average_precision(df: DataFrame, truth: str, score: str, bits: int = CHUNK_BITS) -> DataFrame:
     """Sum over distinct scores, descending, of recall gained times precision.
 
     Equal scores form one threshold and are merged before the shuffle. NaN when only one class
@@ -131,16 +129,15 @@ def average_precision(
     descending = df.select(
         (-F.col(score).cast("double")).alias("__key"), F.col(truth).cast("long").alias("__t")
     ).dropna()
-    chunk = value_chunk(descending, "__key", rows_per_chunk)
     thresholds = descending.groupBy("__key").agg(
         F.sum("__t").alias("__hits"), F.count(F.lit(1)).alias("__n")
     )
-    cumulative = running(
-        thresholds,
+    cumulative = by_position(
+        in_order(thresholds, F.col("__key")),
         [],
-        [F.col("__key")],
-        [chunk],
+        "at",
         {"__tp": running_sum(F.col("__hits")), "__seen": running_sum(F.col("__n"))},
+        bits,
     )
     gained = F.sum(F.col("__hits") * F.col("__tp") / F.col("__seen"))
     positives, rows = F.sum("__hits"), F.sum("__n")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from tidewatch.operators.parameters import unweighted_average, weighted_fedavg
 from tidewatch.operators.sampling import sample_rows
 from tidewatch.operators.scaling import class_weights
 from tidewatch.operators.sequences import final_record
+from tidewatch.session import cut_lineage
 
 
 def _weighted(df: DataFrame, label: str, n_classes: int) -> DataFrame:
@@ -119,17 +120,15 @@ def evaluate(
 
 
 # --- federated softmax ------------------------------------------------------------------------
+#
+# Models live in tables (client_id, name, pos, value), keyed like any parameters; the driver only
+# counts rounds. Training rows are packed into matrices once. A step is one job: the models meet the
+# blocks of their client, tasks add up gradients, and their sums meet the models again.
 
-
-@dataclass(frozen=True)
-class Softmax:
-    """Weights of one softmax detector: (inputs + 1) x classes, the last row is the bias."""
-
-    weights: np.ndarray
-
-    @classmethod
-    def zeros(cls, inputs: int, n_classes: int) -> Softmax:
-        return cls(np.zeros((inputs + 1, n_classes)))
+#: Rows in a block of training data.
+BLOCK_ROWS = 4096
+NAME = "softmax"
+BLOCKS = "client_id int, n long, x binary, y binary, w binary"
 
 
 def _softmax(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -139,39 +138,6 @@ def _softmax(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def client_gradients(
-    data: DataFrame, models: dict[int, np.ndarray], label: str
-) -> DataFrame:
-    """(client_id, pos, gradient): the weighted loss gradient of every client, in one job.
-
-    ``data`` has ``client_id``, ``label``, ``weight`` and flat ``x``. Each task folds its rows
-    into one partial per client; the partials are model-sized and summed by key. ``models`` holds
-    clients times parameters numbers, as the federated server does.
-    """
-    shared = data.sparkSession.sparkContext.broadcast(models)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for client, part in batch.groupby("client_id"):
-                weights = shared.value[int(client)]
-                x = np.stack(part["x"].to_numpy())
-                error = _softmax(x, weights)
-                error[np.arange(len(part)), part[label].to_numpy("int64")] -= 1.0
-                error *= part["weight"].to_numpy("float64")[:, None]
-                gradient = np.vstack([x.T @ error, error.sum(axis=0)])
-                sums[int(client)] = sums.get(int(client), 0.0) + gradient
-        for client, total in sums.items():
-            yield pd.DataFrame(
-                {"client_id": client, "pos": np.arange(total.size), "gradient": total.ravel()}
-            )
-
-    partials = data.select("client_id", label, "weight", "x").mapInPandas(
-        fold, "client_id int, pos int, gradient double"
-    )
-    return partials.groupBy("client_id", "pos").agg(F.sum("gradient").alias("gradient"))
-
-
 def federated_data(sequences: DataFrame, client: str, label: str, n_classes: int) -> DataFrame:
     """Flat inputs with class weights computed within each client's own rows."""
     counts = sequences.groupBy(client, label).agg(F.count(F.lit(1)).alias("__n"))
@@ -188,60 +154,117 @@ def federated_data(sequences: DataFrame, client: str, label: str, n_classes: int
     )
 
 
+def packed(data: DataFrame, label: str) -> DataFrame:
+    """``data`` (client_id, label, weight, x) as matrices of at most ``BLOCK_ROWS`` rows of one client.
+
+    Rows are packed where they lie, so a client that holds a third of them is many blocks in many tasks.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clients = batch["client_id"].to_numpy()
+            x = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
+            y, w = batch[label].to_numpy().astype(np.int64), batch["weight"].to_numpy()
+            for client in np.unique(clients):
+                own = np.flatnonzero(clients == client)
+                for at in range(0, len(own), BLOCK_ROWS):
+                    rows = own[at : at + BLOCK_ROWS]
+                    yield pa.RecordBatch.from_pydict({
+                        "client_id": pa.array([client], pa.int32()), "n": pa.array([len(rows)], pa.int64()),
+                        "x": [x[rows].tobytes()], "y": [y[rows].tobytes()], "w": [w[rows].tobytes()],
+                    })
+
+    blocks = data.select("client_id", label, F.col("weight").cast("double").alias("weight"), "x")
+    return cut_lineage(data.sparkSession, blocks.mapInArrow(pack, BLOCKS), "blocks")
+
+
+def client_sizes(blocks: DataFrame, n_clients: int) -> DataFrame:
+    """(client, n_k): the sequence count of every client, 0 where it has none."""
+    found = blocks.groupBy("client_id").agg(F.sum("n").alias("n_k"))
+    everyone = blocks.sparkSession.range(n_clients).select(F.col("id").cast("int").alias("client_id"))
+    sizes = everyone.join(found, "client_id", "left").select(
+        F.col("client_id").alias("client"), F.coalesce("n_k", F.lit(0)).alias("n_k")
+    )
+    return cut_lineage(blocks.sparkSession, sizes, "client-sizes")
+
+
+def _as_arrays(models: DataFrame, key: str) -> DataFrame:
+    """(key, weights): each model's values in order, as one array."""
+    cells = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    return models.groupBy(key).agg(F.transform(cells, lambda c: c["value"]).alias("weights"))
+
+
+def client_gradients(blocks: DataFrame, models: DataFrame, n_classes: int) -> DataFrame:
+    """(client_id, pos, gradient): the weighted loss gradient of every client over its blocks.
+
+    ``models`` is (client_id, name, pos, value). Spark broadcasts the models if they are small, else
+    both sides are shuffled by client. What a task hands on is bounded by its batches.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[int, np.ndarray] = {}
+            for row in batch.to_pylist():
+                weights = np.array(row["weights"]).reshape(-1, n_classes)
+                x = np.frombuffer(row["x"]).reshape(row["n"], -1)
+                y = np.frombuffer(row["y"], np.int64)
+                error = _softmax(x, weights)
+                error[np.arange(len(y)), y] -= 1.0
+                error *= np.frombuffer(row["w"])[:, None]
+                gradient = np.vstack([x.T @ error, error.sum(axis=0)]).ravel()
+                client = row["client_id"]
+                sums[client] = sums[client] + gradient if client in sums else gradient
+            if sums:
+                yield pa.RecordBatch.from_pydict({
+                    "client_id": pa.array(list(sums), pa.int32()),
+                    "gradient": pa.array([g.tolist() for g in sums.values()], pa.list_(pa.float64())),
+                })
+
+    met = blocks.join(_as_arrays(models, "client_id"), "client_id")
+    partials = met.mapInArrow(fold, "client_id int, gradient array<double>")
+    return (
+        partials.select("client_id", F.posexplode("gradient").alias("pos", "gradient"))
+        .groupBy("client_id", "pos")
+        .agg(F.sum("gradient").alias("gradient"))
+    )
+
+
 def train_clients(
-    data: DataFrame,
-    start: dict[int, np.ndarray],
-    sizes: dict[int, int],
-    label: str,
+    blocks: DataFrame,
+    start: DataFrame,
+    sizes: DataFrame,
+    n_classes: int,
     epochs: int,
     rate: float,
     proximal: float | None = None,
-) -> dict[int, np.ndarray]:
-    """``epochs`` full-batch steps of every client from its start, all clients in each job.
+) -> DataFrame:
+    """``epochs`` full-batch steps of every client from ``start``, all clients in each job.
 
-    A client without rows keeps its start.
+    Models are (client_id, name, pos, value). A client without rows keeps its start.
     """
-    models = {c: w.copy() for c, w in start.items()}
+    spark = blocks.sparkSession
+    models = start.withColumn("start", F.col("value"))
+    counts = sizes.withColumnRenamed("client", "client_id")
     for _ in range(epochs):
-        gradients = client_gradients(data, models, label).collect()
-        step = {c: np.zeros(w.size) for c, w in models.items()}
-        for row in gradients:
-            step[row["client_id"]][row["pos"]] = row["gradient"]
-        for client, weights in models.items():
-            if sizes.get(client, 0) == 0:
-                continue
-            gradient = step[client].reshape(weights.shape) / sizes[client]
-            if proximal is not None:
-                gradient = gradient + proximal * (weights - start[client])
-            models[client] = weights - rate * gradient
-    return models
-
-
-def parameter_rows(spark, models: dict[int, np.ndarray]) -> DataFrame:
-    """Client models as a long parameter table."""
-    frames = [
-        pd.DataFrame(
-            {"client": client, "name": "softmax", "pos": np.arange(w.size), "value": w.ravel()}
+        gradients = client_gradients(blocks, models, n_classes)
+        step = F.col("gradient") / F.col("n_k")
+        if proximal is not None:
+            step = step + proximal * (F.col("value") - F.col("start"))
+        moved = F.when(F.col("n_k") > 0, F.col("value") - rate * step).otherwise(F.col("value"))
+        stepped = models.join(counts, "client_id").join(gradients, ["client_id", "pos"], "left").select(
+            "client_id", "name", "pos", moved.alias("value"), "start"
         )
-        for client, w in models.items()
-    ]
-    return spark.createDataFrame(
-        pd.concat(frames), "client int, name string, pos int, value double"
-    )
+        models = cut_lineage(spark, stepped, "models")
+    return models.drop("start")
 
 
-def _from_rows(table: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    flat = np.zeros(shape[0] * shape[1])
-    for row in table.select("pos", "value").collect():
-        flat[row["pos"]] = row["value"]
-    return flat.reshape(shape)
-
-
-def client_sizes(data: DataFrame, n_clients: int) -> dict[int, int]:
-    """n_k, the sequence count of every client, zero where a client has none."""
-    found = {r["client_id"]: r["n"] for r in data.groupBy("client_id")
-             .agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {c: found.get(c, 0) for c in range(n_clients)}
+def zero_models(spark: SparkSession, n_clients: int, inputs: int, n_classes: int) -> DataFrame:
+    """A softmax detector of zeros for each client: (inputs + 1) x classes, the last row the bias."""
+    last = F.lit((inputs + 1) * n_classes - 1)
+    return spark.range(n_clients).select(
+        F.col("id").cast("int").alias("client_id"), F.lit(NAME).alias("name"),
+        F.explode(F.sequence(F.lit(0), last)).alias("pos"), F.lit(0.0).alias("value"),
+    )
 
 
 def federated_rounds(
@@ -255,29 +278,33 @@ def federated_rounds(
     rate: float = 0.5,
     aggregation: str = "weighted",
     proximal: float | None = None,
-    on_round: Callable[[int, np.ndarray], None] | None = None,
-) -> tuple[np.ndarray, dict[int, int]]:
-    """Rounds of: send the model out, train locally, average by sequence count."""
+) -> tuple[DataFrame, DataFrame]:
+    """Rounds of: send the model out, train locally, average by sequence count.
+
+    Returns the shared model after every round, (round, name, pos, value), and (client, n_k).
+    """
     if aggregation not in ("weighted", "unweighted"):
         raise ValueError(f"unknown aggregation {aggregation!r}")
     spark = data.sparkSession
-    sizes = client_sizes(data, n_clients)
-    counts = spark.createDataFrame(list(sizes.items()), "client int, n_k long")
-    model = Softmax.zeros(inputs, n_classes).weights
+    blocks = packed(data, label)
+    sizes = client_sizes(blocks, n_clients)
+    start = zero_models(spark, n_clients, inputs, n_classes)
+    clients = sizes.select(F.col("client").alias("client_id"))
+    history = None
     for number in range(rounds):
-        trained = train_clients(
-            data, {c: model for c in sizes}, sizes, label, local_epochs, rate, proximal
-        )
-        table = parameter_rows(spark, trained)
+        trained = train_clients(blocks, start, sizes, n_classes, local_epochs, rate, proximal)
+        table = trained.withColumnRenamed("client_id", "client")
         merged = (
-            weighted_fedavg(table, counts)
-            if aggregation == "weighted"
-            else unweighted_average(table)
+            weighted_fedavg(table, sizes) if aggregation == "weighted" else unweighted_average(table)
         )
-        model = _from_rows(merged, model.shape)
-        if on_round is not None:
-            on_round(number, model)
-    return model, sizes
+        shared = cut_lineage(spark, merged.select(F.lit(number).alias("round"), "name", "pos", "value"), "shared")
+        history = shared if history is None else history.unionByName(shared)
+        # Every client starts the next round from the shared model.
+        everyone = F.explode(F.sequence(F.lit(0), F.lit(n_clients - 1))).alias("client_id")
+        start = shared.select(everyone, "name", "pos", "value").join(clients, "client_id", "left_semi")
+    if history is None:
+        history = start.where("client_id = 0").select(F.lit(-1).alias("round"), "name", "pos", "value")
+    return history, sizes
 
 
 def local_only(
@@ -288,50 +315,74 @@ def local_only(
     inputs: int,
     epochs: int,
     rate: float = 0.5,
-) -> tuple[dict[int, np.ndarray | None], dict[int, int]]:
-    """One model per client and no exchange; a client without rows has none."""
-    sizes = client_sizes(data, n_clients)
-    start = {c: Softmax.zeros(inputs, n_classes).weights for c in sizes}
-    trained = train_clients(data, start, sizes, label, epochs, rate)
-    return {c: trained[c] if n else None for c, n in sizes.items()}, sizes
+) -> tuple[DataFrame, DataFrame]:
+    """One model per client and no exchange: (client_id, name, pos, value) of those with rows, and
+    (client, n_k) of all."""
+    blocks = packed(data, label)
+    sizes = client_sizes(blocks, n_clients)
+    start = zero_models(data.sparkSession, n_clients, inputs, n_classes)
+    trained = train_clients(blocks, start, sizes, n_classes, epochs, rate)
+    empty = sizes.where("n_k = 0").select(F.col("client").alias("client_id"))
+    return trained.join(empty, "client_id", "left_anti"), sizes
+
+
+#: Models that a task holds against one batch of test rows.
+MODELS_TOGETHER = 16
 
 
 def score_softmax(
-    models: dict[int, np.ndarray | None],
+    models: DataFrame,
+    model: str,
     sequences: DataFrame,
     label: str,
+    n_classes: int,
+    names: DataFrame | None = None,
     benign: int = 0,
 ) -> DataFrame:
-    """(model, label, prediction) of every model on the shared test sequences, in one pass.
+    """(model, label, prediction) of every model on the shared test sequences.
 
-    A missing model predicts benign throughout.
+    ``models`` is (model, pos, value). A model that only ``names`` knows predicts benign throughout.
+    Every model judges every row, which is the result; models travel in groups of bounded size.
     """
-    shared = sequences.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = np.stack(batch["x"].to_numpy())
-            for name, weights in shared.value.items():
-                prediction = (
-                    np.full(len(batch), benign)
-                    if weights is None
-                    else _softmax(x, weights).argmax(axis=1)
-                )
-                yield pd.DataFrame(
-                    {
-                        "model": np.int32(name),
-                        label: batch[label].to_numpy(),
-                        "prediction": prediction.astype("int32"),
-                    }
-                )
-
+    own = _as_arrays(models, model).withColumnRenamed(model, "model")
+    if names is not None:
+        own = names.select(F.col(model).alias("model")).distinct().join(own, "model", "left")
+    own = cut_lineage(sequences.sparkSession, own, "scored-models")
+    groups = max(1, -(-own.count() // MODELS_TOGETHER))
+    together = own.groupBy(F.pmod(F.xxhash64("model"), F.lit(groups)).cast("int").alias("group")).agg(
+        F.collect_list(F.struct("model", "weights")).alias("models")
+    )
     flat = sequences.select(
-        F.col(label).cast("int").alias(label),
-        F.flatten("window").cast("array<double>").alias("x"),
+        F.col(label).cast("int").alias("y"), F.flatten("window").cast("array<double>").alias("x")
     )
-    return flat.mapInPandas(run, f"model int, {label} int, prediction int")
+    out = pa.schema([("model", pa.int32()), (label, pa.int32()), ("prediction", pa.int32())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                yield pa.RecordBatch.from_pydict({
+                    "n": pa.array([part.num_rows], pa.int64()), "x": [part["x"].flatten().to_numpy().tobytes()],
+                    "y": [part["y"].to_numpy().tobytes()],
+                })
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                x, y = np.frombuffer(row["x"]).reshape(row["n"], -1), np.frombuffer(row["y"], np.int32)
+                for one in row["models"]:
+                    found = np.full(len(y), benign)
+                    if one["weights"] is not None:
+                        found = _softmax(x, np.array(one["weights"]).reshape(-1, n_classes)).argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(y), one["model"], np.int32)), pa.array(y), pa.array(found.astype(np.int32))],
+                        schema=out,
+                    )
+
+    blocks = flat.mapInArrow(pack, "n long, x binary, y binary")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    met = blocks.select("*", every).join(together, "group")
+    return met.drop("group").mapInArrow(judge, f"model int, {label} int, prediction int")
 
 
 def sweep_evaluator(

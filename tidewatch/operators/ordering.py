@@ -4,13 +4,15 @@ A Spark window sorts one partition key in one task. A source or class may hold a
 rows here, so nothing below lets a window span a key. Rows are grouped by (key, chunk), where a
 chunk is a bounded stretch of the order, and the chunks are linked in one of two ways:
 
-* :func:`running` - a small table with one row per (key, chunk) carries counts, sums, maxima or
-  the last value over to the later chunks. The table is a chunk length smaller than the data.
+* :func:`running` - a small table with one row per (long key, chunk) carries counts, sums, maxima or
+  the last value over to the later chunks. Keys that fit a chunk need none of it.
 * :func:`with_halo` - a frame of fixed width only needs the few rows before the chunk, so those
   rows are copied into the next chunk and nothing is joined.
 
 :func:`draw_cutoffs` finds order statistics of random draws from a histogram of their prefixes,
-so that "the first n of each class in random order" costs no shuffle of the rows.
+so that "the first n of each class in random order" costs no shuffle of the rows. :func:`at_ranks`
+does the same for numbers, and :func:`in_order` numbers rows by any order, so that the running
+results above apply to it.
 """
 
 from __future__ import annotations
@@ -18,17 +20,22 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut_lineage
+
 # A chunk spans 2**18 positions; positions are unique, so it holds at most that many rows.
 CHUNK_BITS = 18
 # Draws are hex strings; four digits split them into 65,536 buckets of equal expected size.
 DRAW_PREFIX = 4
-MAX_VALUE_CHUNKS = 1 << 14
+# What a broadcast table may hold.
 BOUNDED_ROWS = 100_000
+BOUNDED_BYTES = 32 << 20
+# A monotonically increasing id holds the partition above these bits, and the row below.
+PLACE_BITS = 33
+# Radix selection reads 16 bits of a value at a time.
+RADIX_SHIFTS = (48, 32, 16, 0)
 
 
 def position_chunk(pos: Column | str, bits: int = CHUNK_BITS) -> Column:
@@ -38,13 +45,14 @@ def position_chunk(pos: Column | str, bits: int = CHUNK_BITS) -> Column:
 
 
 def bounded_table(df: DataFrame, max_rows: int = BOUNDED_ROWS) -> DataFrame:
-    """``df`` as a broadcast local table when it has at most ``max_rows`` rows, else ``df`` as is.
+    """``df`` as a broadcast local table when it has at most ``max_rows`` rows and ``BOUNDED_BYTES``,
+    else ``df`` as is.
 
     For tables whose size follows the class domain, the feature list or the client list. Beyond
     the bound the unhinted table goes on to a shuffle join.
     """
     table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    if table.num_rows > max_rows or table.nbytes > BOUNDED_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
 
@@ -81,62 +89,114 @@ def running(
     order: Sequence[Column],
     chunk: Sequence[Column],
     outputs: dict[str, Running],
+    long_rows: int = 1 << CHUNK_BITS,
 ) -> DataFrame:
     """Add running results per ``keys`` in ``order``.
 
     ``chunk`` must be monotone in ``order`` within a key and bound the rows of one (key, chunk).
-    Keys must not be null. ``order`` must be unique within a key.
+    ``order`` must be unique within a key.
+
+    Keys are counted first. Those of at most ``long_rows`` rows get a plain window; only longer ones,
+    of which there are at most rows / ``long_rows``, are cut into chunks that are linked.
     """
     keys = list(keys)
+    if not keys:
+        return _linked(df, df, keys, order, chunk, outputs)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > long_rows)
+    found = sizes.select(*keys).limit(BOUNDED_ROWS + 1).toArrow()
+    if not found.num_rows:
+        return _windowed(df, keys, order, outputs)
+    long = sizes.select(*keys)
+    if found.num_rows <= BOUNDED_ROWS and found.nbytes <= BOUNDED_BYTES:
+        long = F.broadcast(df.sparkSession.createDataFrame(found, long.schema))
+    marked = null_safe_join(df, long.withColumn("__long", F.lit(True)), keys, "left")
+    chunk = [F.when(F.col("__long"), c) for c in chunk]
+    nulls = found.num_rows > BOUNDED_ROWS or any(found[k].null_count for k in keys)
+    linked = _linked(marked, marked.where("__long"), keys, order, chunk, outputs, nulls)
+    return linked.drop("__long")
+
+
+def _local_values(outputs: dict[str, Running], local) -> list[Column]:
+    """The running results within the window ``local``."""
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = local.rowsBetween(Window.unboundedPreceding, -1)
+    values = []
+    for spec in outputs.values():
+        frame = upto if spec.inclusive else before
+        if spec.kind == "count":
+            count = F.row_number().over(local).cast("long")
+            values.append(count if spec.inclusive else count - 1)
+        elif spec.kind == "sum":
+            values.append(F.coalesce(F.sum(spec.value).over(frame), F.lit(0)))
+        elif spec.kind == "max":
+            values.append(F.max(spec.value).over(frame))
+        else:
+            values.append(F.lag(F.struct(spec.value.alias("v"))).over(local))
+    return values
+
+
+def _windowed(df: DataFrame, keys: list[str], order: Sequence[Column], outputs: dict[str, Running]) -> DataFrame:
+    values = _local_values(outputs, Window.partitionBy(*keys).orderBy(*order))
+    named = [
+        (value["v"] if spec.kind == "previous" else value).alias(name)
+        for value, (name, spec) in zip(values, outputs.items(), strict=True)
+    ]
+    kept = [c for c in df.columns if c not in outputs]
+    return df.select(*kept, *named)
+
+
+def _linked(
+    df: DataFrame,
+    long: DataFrame,
+    keys: list[str],
+    order: Sequence[Column],
+    chunk: Sequence[Column],
+    outputs: dict[str, Running],
+    nulls: bool = False,
+) -> DataFrame:
+    """Results within each (key, chunk), and what the chunks of ``long`` carry over to later ones.
+
+    ``nulls``: if null may be a key of ``long``, which costs the join the partitioning the rows have.
+    """
     chunk_names = [f"__chunk_{i}" for i in range(len(chunk))]
     chunks = [c.alias(n) for c, n in zip(chunk, chunk_names, strict=True)]
     rank_of = order[0] if len(order) == 1 else F.struct(*order)
-
-    local = Window.partitionBy(*keys, *chunk_names).orderBy(*order)
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = local.rowsBetween(Window.unboundedPreceding, -1)
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(*chunk_names)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     by_chunk = Window.partitionBy(*keys).orderBy(*chunk_names)
+    earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
 
-    local_columns, totals, carried, combined = [], [], [], []
+    totals, carried, combined = [], [], []
     for index, (name, spec) in enumerate(outputs.items()):
         here, total, carry = f"__here_{index}", f"__total_{index}", f"__carry_{index}"
-        frame = upto if spec.inclusive else before
-        if spec.kind == "count":
-            count = F.row_number().over(local).cast("long")
-            local_columns.append((count if spec.inclusive else count - 1).alias(here))
-            totals.append(F.count(F.lit(1)).alias(total))
-            carried.append(F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(carry))
-            combined.append((F.col(here) + F.coalesce(carry, F.lit(0))).alias(name))
-        elif spec.kind == "sum":
-            local_columns.append(F.coalesce(F.sum(spec.value).over(frame), F.lit(0)).alias(here))
-            totals.append(F.sum(spec.value).alias(total))
+        if spec.kind in ("count", "sum"):
+            totals.append((F.count(F.lit(1)) if spec.kind == "count" else F.sum(spec.value)).alias(total))
             carried.append(F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(carry))
             combined.append((F.col(here) + F.coalesce(carry, F.lit(0))).alias(name))
         elif spec.kind == "max":
-            local_columns.append(F.max(spec.value).over(frame).alias(here))
             totals.append(F.max(spec.value).alias(total))
             carried.append(F.max(total).over(earlier).alias(carry))
             combined.append(F.greatest(here, carry).alias(name))
         else:
             boxed = F.struct(spec.value.alias("v"))
-            local_columns.append(F.lag(boxed).over(local).alias(here))
             totals.append(F.max_by(boxed, rank_of).alias(total))
             carried.append(F.lag(total).over(by_chunk).alias(carry))
             combined.append(F.coalesce(here, carry)["v"].alias(name))
 
-    rows = df.select("*", *chunks).select("*", *local_columns)
+    local = Window.partitionBy(*keys, *chunk_names).orderBy(*order)
+    values = [v.alias(f"__here_{i}") for i, v in enumerate(_local_values(outputs, local))]
+    rows = df.select("*", *chunks).select("*", *values)
     carry_table = (
-        df.groupBy(*[F.col(k) for k in keys], *chunks)
+        long.groupBy(*[F.col(k) for k in keys], *chunks)
         .agg(*totals)
         .select(*keys, *chunk_names, *carried)
     )
     kept = [c for c in df.columns if c not in outputs]
-    return rows.join(carry_table, [*keys, *chunk_names], "left").select(*kept, *combined)
+    # A chunk's number is part of the key, so short keys, which have none, meet nothing.
+    renamed = carry_table.withColumnsRenamed({c: f"__of_{c}" for c in [*keys, *chunk_names]})
+    same = F.lit(True)
+    for name in [*keys, *chunk_names]:
+        other = F.col(f"__of_{name}")
+        same = same & (F.col(name).eqNullSafe(other) if nulls and name in keys else F.col(name) == other)
+    return rows.join(renamed, same, "left").select(*kept, *combined)
 
 
 def by_position(
@@ -147,7 +207,7 @@ def by_position(
     bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """:func:`running` over a unique integer position."""
-    return running(df, keys, [F.col(pos)], [position_chunk(pos, bits)], outputs)
+    return running(df, keys, [F.col(pos)], [position_chunk(pos, bits)], outputs, 1 << bits)
 
 
 def with_halo(df: DataFrame, pos: str, before: int, bits: int = CHUNK_BITS) -> DataFrame:
@@ -238,30 +298,50 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def value_chunk(
-    df: DataFrame, value: str, rows_per_chunk: int = 1 << CHUNK_BITS
-) -> Column:
-    """A monotone chunk number for a numeric column, with about ``rows_per_chunk`` rows each.
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``at``, the dense 0-based place of each row in ``order``.
 
-    The edges are approximate quantiles, fixed before the plan is built, so every branch and
-    every retried task sees the same chunks. Exactness does not depend on where the edges fall.
+    Ranges of the whole order are sorted and numbered apart, then shifted by the sizes of the ranges
+    before, so no key has to fit a task. The sorted rows are written once, which fixes the places of
+    equal rows.
     """
-    n = df.select(value).count()
-    wanted = min(MAX_VALUE_CHUNKS, -(-n // rows_per_chunk))
-    if wanted <= 1:
-        return F.lit(0)
-    shares = [i / wanted for i in range(1, wanted)]
-    edges = np.unique(
-        df.agg(
-            F.percentile_approx(value, shares, max(10_000, 4 * wanted)).alias("edges")
-        ).first()["edges"]
-    ).astype("float64")
-
-    @F.pandas_udf("int")
-    def locate(values: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, values.to_numpy("float64"), side="left"))
-
-    return locate(F.col(value).cast("double"))
+    place = F.monotonically_increasing_id()
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", place)
+    rows = cut_lineage(df.sparkSession, ranges, "in-order")
+    part = F.shiftright("__place", PLACE_BITS)
+    # One row for each range.
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.col("__place").bitwiseAND((1 << PLACE_BITS) - 1)
+    placed = rows.withColumn("__part", part).join(starts, "__part")
+    return placed.select(*df.columns, (F.col("__start") + within).alias("at"))
+
+
+def ordered_image(value: Column) -> Column:
+    """A long for each double that keeps its order: the bits of a positive double, their negative
+    for a negative one. Both zeros are 0, and NaN is above infinity."""
+    x = value.cast("double")
+    size = F.abs(x)
+    guess = F.floor(F.log2(size)).cast("double")
+    power = lambda e: F.pow(F.lit(2.0), e)
+    exponent = F.when(size >= power(guess + 1), guess + 1).when(size < power(guess), guess - 1).otherwise(guess)
+    # Products with powers of two are exact, so the mantissa comes out whole.
+    mantissa = ((size / power(exponent) - 1) * float(1 << 52)).cast("long")
+    normal = (exponent.cast("long") + 1023) * (1 << 52) + mantissa
+    small = (size * float(2**537) * float(2**537)).cast("long")
+    image = (
+        F.when(size == 0, F.lit(0).cast("long"))
+        .when(size < 2.0**-1022, small)
+        .when(size == float("inf"), F.lit(2047 << 52).cast("long"))
+        .otherwise(normal)
+    )
+    return (
+        F.when(x.isNull(), F.lit(None).cast("long"))
+        .when(F.isnan(x), F.lit((2047 << 52) + 1).cast("long"))
+        .when(x < 0, -image)
+        .otherwise(image)
+    )
 
 
 def at_ranks(
@@ -269,30 +349,61 @@ def at_ranks(
     keys: Sequence[str],
     value: str,
     ranks: dict[str, Callable[[Column], Column]],
-    rows_per_chunk: int = 1 << CHUNK_BITS,
+    rows_per_bucket: int = 1 << CHUNK_BITS,
 ) -> DataFrame:
     """Exact order statistics: per key, the values at the 0-based ranks ``ranks[name](n)``.
 
-    Equal values are counted before they are shuffled, so a value held by a third of the rows
-    travels as one row per task. Null values have no rank and do not count.
+    Radix selection: a histogram of the upper 16 bits of the values' ordered images tells the bucket
+    of each rank, and buckets of more than ``rows_per_bucket`` rows are refined by their next 16
+    bits. Only the rows of the last buckets are sorted; equal values are counted before they are
+    shuffled. Null values have no rank and do not count.
     """
     keys = list(keys)
-    df = df.where(F.col(value).isNotNull())
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    placed = running(
-        counted,
-        keys,
-        [F.col(value)],
-        [value_chunk(df, value, rows_per_chunk)],
-        {"__upto": running_sum(F.col("__n"))},
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).alias("__v"), ordered_image(F.col(value)).alias("__bits")
     )
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    placed = placed.join(bounded_table(sizes), keys) if keys else placed.withColumn(
-        "n", sizes.scalar()
+    shift = RADIX_SHIFTS[0]
+    counted = rows.groupBy(*keys, F.shiftright("__bits", shift).alias("__bucket")).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    per_key = Window.partitionBy(*keys)
+    counted = counted.withColumn("n", F.sum("__n").over(per_key))
+    slots = F.explode(
+        F.array(*[F.struct(F.lit(i).alias("__slot"), rank(F.col("n")).cast("long").alias("__at"))
+                  for i, rank in enumerate(ranks.values())])
+    )
+    asked = counted.withColumn("__upto", F.sum("__n").over(per_key.orderBy("__bucket")))
+    wanted = _hit(asked.select("*", slots.alias("__ask")).select("*", "__ask.*"), [*keys, "n", "__slot"])
+    for finer in RADIX_SHIFTS[1:]:
+        if (wanted.agg(F.max("__n")).first()[0] or 0) <= rows_per_bucket:
+            break
+        inside = null_safe_join(
+            rows.withColumn("__bucket", F.shiftright("__bits", shift)),
+            wanted.select(*keys, "__bucket").distinct(), [*keys, "__bucket"],
+        )
+        parts = inside.groupBy(*keys, "__bucket", F.shiftright("__bits", finer).alias("__part")).agg(
+            F.count(F.lit(1)).alias("__n")
+        )
+        upto = F.sum("__n").over(Window.partitionBy(*keys, "__bucket").orderBy("__part"))
+        asked = null_safe_join(
+            wanted.drop("__n"), parts.withColumn("__upto", upto), [*keys, "__bucket"]
+        ).drop("__bucket").withColumnRenamed("__part", "__bucket")
+        wanted, shift = _hit(asked, [*keys, "n", "__slot"]), finer
+    inside = null_safe_join(
+        rows.withColumn("__bucket", F.shiftright("__bits", shift)),
+        wanted.select(*keys, "__bucket").distinct(), [*keys, "__bucket"],
     )
-    picks = []
-    for name, rank in ranks.items():
-        at = rank(F.col("n"))
-        hit = (F.col("__upto") > at) & (F.col("__upto") - F.col("__n") <= at)
-        picks.append(F.max(F.when(hit, F.col(value))).alias(name))
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    values = inside.groupBy(*keys, "__bucket", "__v").agg(F.count(F.lit(1)).alias("__same"))
+    upto = F.sum("__same").over(Window.partitionBy(*keys, "__bucket").orderBy("__v"))
+    found = null_safe_join(
+        wanted, values.withColumn("__upto", upto), [*keys, "__bucket"]
+    ).where((F.col("__upto") > F.col("__at")) & (F.col("__upto") - F.col("__same") <= F.col("__at")))
+    picks = [F.max(F.when(F.col("__slot") == i, F.col("__v"))).alias(name) for i, name in enumerate(ranks)]
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+
+
+def _hit(asked: DataFrame, kept: list[str]) -> DataFrame:
+    """Of each asked rank the bucket that holds it, with the rank within that bucket."""
+    start = F.col("__upto") - F.col("__n")
+    hits = asked.where((F.col("__upto") > F.col("__at")) & (start <= F.col("__at")))
+    return bounded_table(hits.select(*kept, "__bucket", "__n", (F.col("__at") - start).alias("__at")))

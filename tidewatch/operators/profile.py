@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.expressions import INFINITY, finite_rows, numeric_columns
-from tidewatch.operators.ordering import CHUNK_BITS, running, running_sum, value_chunk
-
-# Beyond this many columns the pairwise aggregate grows too wide and the matrix job takes over.
-PAIRWISE_COLUMNS = 16
+from tidewatch.operators.comoments import correlations
+from tidewatch.operators.ordering import CHUNK_BITS, by_position, in_order, running_sum
+from tidewatch.session import cut_lineage
 
 
 def _fractional(df: DataFrame, name: str) -> bool:
@@ -116,105 +112,44 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     An undefined coefficient is 0 and the diagonal is 1.
     """
     columns = list(columns)
-    usable = finite_rows(df, columns)
-    if len(columns) > PAIRWISE_COLUMNS:
-        return _matrix(usable, columns)
-    pairs = list(combinations(columns, 2))
-    entries = [
-        F.struct(
-            F.lit(a).alias("a"),
-            F.lit(b).alias("b"),
-            # A constant is known by its extremes; its merged moments leave noise to divide by.
-            F.when(
-                (F.min(_double(a)) < F.max(_double(a))) & (F.min(_double(b)) < F.max(_double(b))),
-                F.coalesce(
-                    F.try_divide(
-                        F.covar_pop(_double(a), _double(b)),
-                        F.stddev_pop(_double(a)) * F.stddev_pop(_double(b)),
-                    ),
-                    F.lit(0.0),
-                ),
-            )
-            .otherwise(F.lit(0.0))
-            .alias("r"),
-        )
-        for a, b in pairs
-    ]
-    diagonal = [
-        F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("r")) for c in columns
-    ]
-    upper = usable.agg(F.array(*entries, *diagonal).alias("m")).select(F.inline("m"))
-    return upper.unionByName(
-        upper.where(F.col("a") != F.col("b")).select(
-            F.col("b").alias("a"), F.col("a").alias("b"), "r"
-        )
-    )
+    values = F.array(*[_double(c) for c in columns])
+    pairs = correlations(finite_rows(df, columns), values, columns, far=True)
+    return df.sparkSession.createDataFrame(pairs, "a string, b string, r double")
 
 
-def average_ranks(counted: DataFrame, rows_per_chunk: int = 1 << CHUNK_BITS) -> DataFrame:
+def average_ranks(counted: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """(feature, value, rank) from (feature, value, n): ties share the mean of their ranks."""
-    placed = running(
-        counted,
+    placed = by_position(
+        in_order(counted, F.col("feature"), F.col("value")),
         ["feature"],
-        [F.col("value")],
-        [value_chunk(counted, "value", rows_per_chunk)],
-        {"__before": running_sum(F.col("n"), inclusive=False)},
+        "at",
+        {"before": running_sum(F.col("n"), inclusive=False)},
+        bits,
     )
-    return placed.select("feature", "value", (F.col("__before") + (F.col("n") + 1) / 2).alias("rank"))
+    return placed.select("feature", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def spearman_matrix(
-    df: DataFrame, columns: Sequence[str], broadcast_rows: int = 1 << CHUNK_BITS
-) -> DataFrame:
+def spearman_matrix(df: DataFrame, columns: Sequence[str], bits: int = CHUNK_BITS) -> DataFrame:
     """(a, b, r): absolute rank correlation with average ranks for ties, over finite rows.
 
-    Values are counted before they are ranked, so a value that fills a third of a column is one
-    row of the rank table. The table of a column is broadcast up to ``broadcast_rows`` distinct
-    values and joined by shuffle beyond.
+    All columns go through the same few shuffles: the (column, value) pairs are counted, sorted and
+    ranked together, the ranks return to the pairs, and the pairs to their rows. Values are counted
+    before they move, so one that fills a third of a column is a row for each task.
     """
     columns = list(columns)
-    usable = finite_rows(df, columns).select(*[_double(c).alias(c) for c in columns])
-    entries = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("value")) for c in columns]
-    counted = (
-        usable.select(F.inline(F.array(*entries)))
-        .groupBy("feature", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .persist()
-    )
-    ranks = average_ranks(counted).persist()
-    try:
-        sizes = {r["feature"]: r["count"] for r in counted.groupBy("feature").count().collect()}
-        ranked = usable
-        for i, name in enumerate(columns):
-            table = ranks.where(F.col("feature") == name).select(
-                F.col("value").alias(name), F.col("rank").alias(f"__rank_{i}")
-            )
-            small = sizes.get(name, 0) <= broadcast_rows
-            ranked = ranked.join(F.broadcast(table) if small else table, name).drop(name)
-        names = {f"__rank_{i}": c for i, c in enumerate(columns)}
-        # k x k numbers, one per pair of columns.
-        matrix = pearson_matrix(ranked, list(names)).collect()
-    finally:
-        ranks.unpersist()
-        counted.unpersist()
-    return df.sparkSession.createDataFrame(
-        [(names[r["a"]], names[r["b"]], abs(r["r"])) for r in matrix],
-        "a string, b string, r double",
-    )
-
-
-def _matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    vectors = df.select(
-        array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("v")
+    spark = df.sparkSession
+    usable = finite_rows(df, columns).select(
+        F.monotonically_increasing_id().alias("row"), F.array(*[_double(c) for c in columns]).alias("v")
     )
-    # k x k numbers, one per pair of columns.
-    matrix = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
-    rows = []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            r = 1.0 if i == j else float(matrix[i, j])
-            rows.append((a, b, 0.0 if r != r else r))
-    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    usable = cut_lineage(spark, usable, "numbered-rows")
+    cells = usable.select("row", F.posexplode("v").alias("feature", "value"))
+    counted = cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = average_ranks(counted, bits)
+    # As many cells a row as there are columns.
+    own = F.array_sort(F.collect_list(F.struct("feature", "rank")))
+    ranked = cells.join(ranks, ["feature", "value"]).groupBy("row").agg(own.alias("ranks"))
+    pairs = correlations(ranked, F.transform("ranks", lambda r: r["rank"]), columns)
+    return spark.createDataFrame([(a, b, abs(r)) for a, b, r in pairs], "a string, b string, r double")
 
 
 def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:

@@ -136,7 +136,7 @@ def nearest_rank_percentiles(
     keys: Sequence[str],
     value: str,
     percentiles: Sequence[float],
-    rows_per_chunk: int = 1 << CHUNK_BITS,
+    rows_per_bucket: int = 1 << CHUNK_BITS,
 ) -> DataFrame:
     """Exact nearest-rank percentiles: the value at index half-even(p / 100 * (n - 1))."""
 
@@ -144,15 +144,15 @@ def nearest_rank_percentiles(
         return lambda n: F.bround(F.lit(p / 100) * (n - 1)).cast("long")
 
     ranks = {f"p{p:g}".replace(".", "_"): index(p) for p in percentiles}
-    return at_ranks(df, keys, value, ranks, rows_per_chunk)
+    return at_ranks(df, keys, value, ranks, rows_per_bucket)
 
 
 def stage_latency(
-    df: DataFrame, stage: str, value: str, rows_per_chunk: int = 1 << CHUNK_BITS
+    df: DataFrame, stage: str, value: str, rows_per_bucket: int = 1 << CHUNK_BITS
 ) -> DataFrame:
     """Per stage: the element at n // 2 in sorted order, mean and population deviation."""
     middle = at_ranks(
-        df, [stage], value, {"median": lambda n: F.floor(n / 2)}, rows_per_chunk
+        df, [stage], value, {"median": lambda n: F.floor(n / 2)}, rows_per_bucket
     )
     spread = df.groupBy(stage).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     return middle.join(spread, stage).select(stage, "n", "median", "mean", "std")

@@ -202,8 +202,9 @@ def alert_log(
     )
 
 
-def run_counts(messages: DataFrame) -> DataFrame:
-    """One row of run counters over (classified, malicious, reject_reason) messages."""
+def run_counts(messages: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row of run counters over (classified, malicious, reject_reason) messages and the alert log."""
+    raised = alerts.agg(F.count(F.lit(1)).alias("n")).scalar()
     benign = F.col("classified") & ~F.col("malicious")
     return messages.agg(
         F.count(F.lit(1)).alias("n_messages"),
@@ -213,7 +214,15 @@ def run_counts(messages: DataFrame) -> DataFrame:
         F.count_if(F.col("classified") & F.col("malicious")).alias("n_malicious"),
         F.count_if(benign & F.col("reject_reason").isNull()).alias("cloud_received"),
         F.count_if(benign & F.col("reject_reason").isNotNull()).alias("cloud_rejected"),
-        F.count_if(F.col("classified") & F.col("malicious")).alias("alerts"),
+    ).withColumn("alerts", raised)
+
+
+def count_errors(counts: DataFrame) -> DataFrame:
+    """The rows of run counters that do not add up: every message buffered or classified, every benign
+    one answered by the cloud, every malicious one in the alert log. The gate wants none."""
+    return counts.where(
+        "n_buffering + n_classified <> n_messages OR n_benign + n_malicious <> n_classified"
+        " OR cloud_received + cloud_rejected <> n_benign OR alerts <> n_malicious"
     )
 
 

@@ -57,7 +57,7 @@ def with_run_start(
     outputs = {start: running_max(F.when(F.col("__start"), F.col(pos)))}
     if number is not None:
         outputs["__number"] = running_sum(F.col("__start").cast("long"))
-    out = running(marked, [source], [F.col(pos)], [F.col("__chunk")], outputs)
+    out = running(marked, [source], [F.col(pos)], [F.col("__chunk")], outputs, 1 << bits)
     if number is None:
         return out.select(*df.columns, start)
     return out.select(*df.columns, start, (F.col("__number") - 1).alias(number))

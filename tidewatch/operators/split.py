@@ -36,6 +36,8 @@ def make_blocks(
 ) -> DataFrame:
     """Add ``block_id`` to rows with a dense ``pos``, whatever order the labels come in.
 
+    Positions that leave a gap or come twice fail the job.
+
     A block ends where the label changes or after ``block_size`` rows. Within a chunk, blocks are
     counted from the first run that starts there. The rows before it continue a run of an earlier
     chunk; as positions are dense, the blocks they open follow from where that run started.
@@ -59,10 +61,17 @@ def make_blocks(
         """Blocks the carried run has opened at positions below ``at``."""
         return F.ceil((at - F.col("__carried")) / block_size)
 
+    ordered = Window.orderBy("__chunk")
+    dense = (F.col("__last") - F.col("__first") + 1 == F.col("__n")) & F.coalesce(
+        F.lag("__last").over(ordered) + 1 == F.col("__first"), F.lit(True)
+    )
+    sparse = F.raise_error(F.concat(F.lit(f"{pos} is not dense at "), F.col("__first").cast("string")))
     # One row per chunk of 2**bits rows.
     chunks = (
         rows.groupBy("__chunk")
         .agg(
+            F.count(F.lit(1)).alias("__n"),
+            F.max(pos).alias("__last"),
             F.min(pos).alias("__first"),
             F.coalesce(F.min("__start"), F.max(pos) + 1).alias("__lead_end"),
             F.max("__start").alias("__last_start"),
@@ -78,6 +87,7 @@ def make_blocks(
         .withColumn(
             "__offset", F.coalesce(F.sum(F.col("__lead") + F.col("__own")).over(earlier), F.lit(0))
         )
+        .withColumn("__offset", F.when(dense, F.col("__offset")).otherwise(sparse.cast("long")))
         .select("__chunk", "__first", "__carried", "__lead", "__offset")
     )
     counted = rows.withColumn("__opened", F.count_if("__opens").over(upto))

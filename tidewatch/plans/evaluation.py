@@ -8,6 +8,8 @@ from tidewatch.operators import metrics as M
 from tidewatch.operators import parameters as A
 from tidewatch.operators import report as R
 from tidewatch.plans import common as C
+from tidewatch.session import run_folder
+from tidewatch.sources import store
 from tidewatch.sources.tables import events, table
 
 N_CLASSES = len(C.EVENT_CLASSES) + 1  # one declared class never occurs
@@ -187,6 +189,17 @@ def fedavg(spark, folder):
                                   _client_counts(spark, folder)))
 
 
+def parameter_store(spark, folder):
+    """Averaged parameters stored as a round with their sequence count, and loaded again."""
+    path = run_folder(spark, "parameters")
+    counts = _client_counts(spark, folder)
+    total = counts.agg(F.sum("n_k")).first()[0]
+    averaged = A.weighted_fedavg(_client_parameters(spark, folder), counts)
+    store.save_parameters(averaged.withColumn("client", F.lit(0)), path, 4, {"n_k": str(total)})
+    loaded, metadata = store.load_parameters(spark, path, 4)
+    return _six(loaded).select("name", "pos", "value", F.lit(store.sequence_count(metadata)).cast("long").alias("n_k"))
+
+
 def fedavg_unweighted(spark, folder):
     return _six(A.unweighted_average(_client_parameters(spark, folder)))
 
@@ -235,6 +248,7 @@ QUERIES = {
     "nearest_rank_pct": nearest_rank_pct,
     "stage_latency": stage_latency,
     "fedavg": fedavg,
+    "parameter_store": parameter_store,
     "fedavg_unweighted": fedavg_unweighted,
     "fedprox_penalty": fedprox_penalty,
     "alignment_errors": alignment_errors,
@@ -361,6 +375,9 @@ FROM (SELECT label, value, row_number() OVER (PARTITION BY label ORDER BY value)
     "fedavg": C.sql(_PARAMS, query="""
 SELECT name, pos, round(sum(n_k * value) / sum(n_k), 6) AS value
 FROM params JOIN counts USING (client) GROUP BY ALL"""),
+    "parameter_store": C.sql(_PARAMS, query="""
+SELECT name, pos, round(sum(n_k * value) / sum(n_k), 6) AS value, (SELECT sum(n_k) FROM counts) AS n_k
+FROM params JOIN counts USING (client) GROUP BY name, pos"""),
     "fedavg_unweighted": C.sql(_PARAMS, query="""
 SELECT name, pos, round(avg(value), 6) AS value FROM params GROUP BY ALL"""),
     "fedprox_penalty": C.sql(_PARAMS, query=f"""

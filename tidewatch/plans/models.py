@@ -8,7 +8,7 @@ from tidewatch.operators import models as M
 from tidewatch.operators import split
 from tidewatch.operators.prepare import prepared_sequences
 from tidewatch.operators.scaling import Scaler, client_stats, combine_stats
-from tidewatch.operators.selection import knee_index
+from tidewatch.operators.selection import sweep
 from tidewatch.plans import common as C
 from tidewatch.session import cut_lineage
 
@@ -96,12 +96,10 @@ def _federation(spark, folder):
 def federated_rounds(spark, folder):
     """Macro metrics on the shared test set after every round."""
     data, test = _federation(spark, folder)
-    curve = {}
-    M.federated_rounds(
-        data, "class_index", C.CLIENTS, N_CLASSES, INPUTS, ROUNDS, LOCAL_EPOCHS,
-        on_round=curve.__setitem__,
+    history, _ = M.federated_rounds(
+        data, "class_index", C.CLIENTS, N_CLASSES, INPUTS, ROUNDS, LOCAL_EPOCHS
     )
-    scored = M.score_softmax(curve, test, "class_index")
+    scored = M.score_softmax(history, "round", test, "class_index", N_CLASSES)
     return M.evaluate(scored, "class_index", N_CLASSES, ["model"]).withColumnRenamed(
         "model", "round"
     )
@@ -109,10 +107,11 @@ def federated_rounds(spark, folder):
 
 def local_only(spark, folder):
     data, test = _federation(spark, folder)
-    models, _ = M.local_only(
+    models, sizes = M.local_only(
         data, "class_index", C.CLIENTS, N_CLASSES, INPUTS, ROUNDS * LOCAL_EPOCHS
     )
-    scored = M.score_softmax(models, test, "class_index")
+    clients = sizes.withColumnRenamed("client", "client_id")
+    scored = M.score_softmax(models, "client_id", test, "class_index", N_CLASSES, clients)
     return M.evaluate(scored, "class_index", N_CLASSES, ["model"]).withColumnRenamed(
         "model", "client_id"
     )
@@ -133,12 +132,9 @@ def f_sweep(spark, folder):
         rows.where("side = 'train'"), rows.where("side = 'test'"), sequences_of,
         "class_index", N_CLASSES, iterations=5,
     )
-    ranking = ["k", "value"]
-    scores = [score(ranking[:f]) for f in (1, 2)]
-    best = knee_index(scores)
-    return spark.createDataFrame(
-        [(f + 1, s, f == best) for f, s in enumerate(scores)],
-        "n_features int, macro_f1 double, selected boolean",
+    ranking = spark.createDataFrame([("k", 1), ("value", 2)], "feature string, fused_rank int")
+    return sweep(ranking, [1], score).select(
+        "n_features", F.col("score").alias("macro_f1"), F.col("chosen").alias("selected")
     )
 
 

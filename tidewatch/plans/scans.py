@@ -13,7 +13,8 @@ from tidewatch.operators.routing import held_out_pool
 from tidewatch.operators.scaling import Scaler
 from tidewatch.operators.split import keep_blocks
 from tidewatch.plans import common as C
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, run_folder
+from tidewatch.sources import csv_parts, store
 from tidewatch.sources.tables import events, table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -48,6 +49,45 @@ def row_position(spark, folder):
     ).select("event_id", "pos")
 
 
+def csv_scan(spark, folder):
+    """Events written as CSV parts of several folders, and read back with types found in the parts."""
+    root = run_folder(spark, "csv")
+    rows = events(spark, folder).select("event_id", "source", "label", "value", "k")
+    for i in range(3):
+        part = rows.where(F.col("event_id") % 3 == i)
+        part.write.option("header", True).csv(f"{root}/day{i}")
+    return csv_parts.scan_parts(spark, root, with_label=False).select(
+        F.col("event_id").cast("long"), F.col("source").cast("long"), "label", "value", F.col("k").cast("long"),
+        F.regexp_extract("source_file", "^(day[0-9])/", 1).alias("folder"),
+    )
+
+
+def csv_layout(spark, folder):
+    """The types of columns that are whole in one part, decimal or empty in another."""
+    root = run_folder(spark, "csv")
+    rows = events(spark, folder)
+    half = F.col("event_id") % 2 == 0
+    whole = rows.where(half).select("event_id", F.floor("value").cast("int").alias("value"), F.lit(None).cast("string").alias("label"))
+    exact = rows.where(~half).select("event_id", F.col("value") + 0.25, "label")
+    for name, part in (("a", whole), ("b", exact.toDF("event_id", "value", "label"))):
+        part.write.option("header", True).csv(f"{root}/{name}")
+    layout = csv_parts.infer_layout(spark, csv_parts.discover_parts(spark, root))
+    return spark.createDataFrame(
+        [(f.name, f.dataType.simpleString()) for f in layout], "column string, type string"
+    )
+
+
+def prepared_store(spark, folder):
+    """Prepared rows stored by side and read back, with the feature list that was stored beside them."""
+    path = run_folder(spark, "prepared")
+    store.write_prepared(C.split_events(spark, folder).select("event_id", "side", "value", "k"), path, ["k", "value"])
+    rows, features, scaled = store.read_prepared(spark, path)
+    return rows.select(
+        "event_id", "side", F.lit(",".join(features)).alias("features"), F.lit(scaled).alias("scaled"),
+        F.col("value"),
+    )
+
+
 def payload_json(spark, folder):
     fields = F.struct(
         F.concat(F.lit("device-"), F.col("source").cast("string")).alias("deviceId"),
@@ -207,6 +247,9 @@ def ceiling_note(spark, folder):
 QUERIES = {
     "label_from_path": label_from_path,
     "row_position": row_position,
+    "csv_scan": csv_scan,
+    "csv_layout": csv_layout,
+    "prepared_store": prepared_store,
     "payload_json": payload_json,
     "held_out_pool": held_out,
     "finite_rows": finite_rows,
@@ -261,6 +304,13 @@ SELECT page_id, rtrim(rtrim(stem, '0123456789'), '-_') AS label,
        coalesce(TRY_CAST(regexp_extract(stem, '([0-9]+)$', 1) AS BIGINT), 0) AS part_no
 FROM stems""",
     "row_position": "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events",
+    "csv_scan": C.sql(C.EV, query="""
+SELECT event_id, source, label, value, k, 'day' || (event_id % 3) AS folder FROM ev"""),
+    "csv_layout": """
+SELECT * FROM (VALUES ('event_id', 'int'), ('value', 'double'), ('label', 'string')) AS t("column", type)""",
+    "prepared_store": C.sql(C.EV, C.POOL, C.SPLIT, query="""
+SELECT event_id, side, 'k,value' AS features, false AS scaled, value
+FROM pool JOIN split USING (block_id, label)"""),
     "payload_json": C.sql(C.EV, query="""
 SELECT event_id, '{"deviceId":"device-' || source || '","soilMoisture":' || k || '}' AS payload,
        k AS soil_moisture FROM ev"""),

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import profile as P
+from tidewatch.operators import relevance as R
 from tidewatch.operators import scaling as Z
 from tidewatch.operators import selection as L
 from tidewatch.operators.sequences import final_record
@@ -18,6 +19,8 @@ from tidewatch.sources.tables import events, table
 TOP = 6
 MEASURES = ["l_quantity", "price", "l_discount", "l_tax"]
 MI_FEATURES = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
+PRUNED_FEATURES = [*MI_FEATURES, "quantity_copy", "a_cube", "tax_copy"]
+KNN_FEATURES, NEIGHBOURS = ["value", "k"], 3
 
 
 def _lineitem(spark, folder):
@@ -124,34 +127,38 @@ def scaler_gap(spark, folder):
 
 def mutual_info(spark, folder):
     rows = table(spark, folder, "lineitem").select("l_returnflag", *MI_FEATURES)
-    return L.mutual_information(rows, MI_FEATURES, "l_returnflag").withColumn(
+    return R.mutual_information(rows, MI_FEATURES, "l_returnflag").withColumn(
         "mi", F.round("mi", 8)
     )
 
 
 def rf_importance(spark, folder):
-    return L.forest_importance(
+    return R.forest_importance(
         table(spark, folder, "lineitem"), FEATURES, "l_returnflag", trees=20, seed=C.SEED
     )
 
 
+def mutual_info_knn(spark, folder):
+    """What value and counter tell about the type of an event, by nearest neighbours."""
+    return R.mutual_information_knn(events(spark, folder), KNN_FEATURES, "label", NEIGHBOURS).withColumn(
+        "mi", F.round("mi", 9)
+    )
+
+
 def prune_correlated(spark, folder):
-    """Which of the columns, two of them near copies, survive the pruning."""
+    """Which of the columns, some of them near copies, survive the pruning."""
     rows = table(spark, folder, "lineitem").select(
-        "l_returnflag", *MI_FEATURES, (F.col("l_quantity") * 2 + 1).alias("quantity_copy")
+        "l_returnflag", *MI_FEATURES, (F.col("l_quantity") * 2 + 1).alias("quantity_copy"),
+        F.pow("l_quantity", F.lit(3)).alias("a_cube"), (-F.col("l_tax")).alias("tax_copy"),
     )
-    columns = [*MI_FEATURES, "quantity_copy"]
-    relevance = {
-        r["feature"]: r["mi"]
-        for r in L.mutual_information(rows, columns, "l_returnflag").collect()
-    }
-    matrix = {(r["a"], r["b"]): r["r"] for r in P.spearman_matrix(rows, columns).collect()}
-    kept, _ = L.prune_correlated(columns, relevance, matrix, 0.95)
-    return spark.createDataFrame([(c, c in kept) for c in columns], "feature string, kept boolean")
+    columns = PRUNED_FEATURES
+    relevance = R.mutual_information(rows, columns, "l_returnflag")
+    features = cut_lineage(spark, relevance, "relevance")
+    return L.prune_correlated(features, P.spearman_matrix(rows, columns), 0.95).select("feature", "kept")
 
 
 def select_features(spark, folder):
-    """The whole selection over the train side of the block split."""
+    """The whole selection over the train side of the block split: a row for each feature."""
     train = C.split_events(spark, folder).where("side = 'train'").select(
         "event_id", "label", "block_id", "value", "k",
         (F.col("value") + F.col("k")).alias("total"),
@@ -159,9 +166,8 @@ def select_features(spark, folder):
         F.lit(1.0).alias("constant"),
     )
     train = cut_lineage(spark, train, "train")
-    result = L.select_features(train, "label", "event_id", 0.95, 2, trees=10, seed=C.SEED)
-    rows = [(i, name) for i, name in enumerate(result.selected)]
-    return spark.createDataFrame(rows, "fused_rank int, feature string")
+    result, _ = L.select_features(train, "label", "event_id", 0.95, 2, trees=10, seed=C.SEED)
+    return result.select("feature", "candidate", "kept", "fused_rank", "selected")
 
 
 def _brand_scores(spark, folder):
@@ -213,6 +219,7 @@ QUERIES = {
     "scaler_combine": scaler_combine,
     "scaler_gap": scaler_gap,
     "mutual_info": mutual_info,
+    "mutual_info_knn": mutual_info_knn,
     "rf_importance": rf_importance,
     "prune_correlated": prune_correlated,
     "select_features": select_features,
@@ -278,6 +285,57 @@ _RANKS = "ranks AS (SELECT " + ", ".join(
     f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS {f}"
     for f in FEATURES
 ) + " FROM lineitem)"
+
+
+def _mi_sql(features, source, digits):
+    return " UNION ALL ".join(
+        f"""SELECT '{f}' AS feature, round(sum(n / t * ln(n * t / (b * l))), {digits}) AS mi FROM (
+  SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER ()::DOUBLE AS t,
+         sum(count(*)) OVER (PARTITION BY {f})::DOUBLE AS b,
+         sum(count(*)) OVER (PARTITION BY l_returnflag)::DOUBLE AS l
+  FROM {source} GROUP BY {f}, l_returnflag)"""
+        for f in features
+    )
+
+
+def _digamma(n):
+    z = f"({n} + 10)"
+    steps = " + ".join(f"1.0::DOUBLE / ({n} + {i})" for i in range(10))
+    return (
+        f"(ln({z}::DOUBLE) - 0.5::DOUBLE / {z} - 1.0::DOUBLE / (12 * {z}::DOUBLE ** 2) + 1.0::DOUBLE / (120 * {z}::DOUBLE ** 4)"
+        f" - 1.0::DOUBLE / (252 * {z}::DOUBLE ** 6) + 1.0::DOUBLE / (240 * {z}::DOUBLE ** 8) - ({steps}))"
+    )
+
+
+def _knn_sql(feature, k):
+    """All pairs of points: the k-th nearest of a label, and the points that are nearer."""
+    terms = " - ".join(_digamma(x) for x in ("k", "n_label", "m"))
+    return f"""SELECT '{feature}' AS feature, round(greatest(0.0::DOUBLE, any_value({_digamma("n")}) + avg({terms})), 9) AS mi
+FROM (
+  SELECT d.id, d.k, d.n_label, count(*) AS m, any_value(d.n) AS n
+  FROM (
+    SELECT a.event_id AS id, any_value(a.x) AS x, any_value(a.n_label) AS n_label, any_value(a.n) AS n,
+           least({k}, any_value(a.n_label) - 1) AS k,
+           list_sort(min(abs(b.x - a.x), {k}))[least({k}, any_value(a.n_label) - 1)] AS reach
+    FROM points_{feature} a JOIN points_{feature} b ON a.label = b.label AND a.event_id <> b.event_id
+    GROUP BY a.event_id) d
+  JOIN points_{feature} p ON abs(p.x - d.x) < d.reach OR p.x = d.x
+  GROUP BY d.id, d.k, d.n_label)"""
+
+
+def _points_sql(feature):
+    return f"""points_{feature} AS (
+  SELECT event_id, x, label, n_label, count(*) OVER () AS n FROM (
+    SELECT event_id, {feature}::DOUBLE AS x, label, count(*) OVER (PARTITION BY label) AS n_label
+    FROM ev WHERE label IS NOT NULL AND isfinite({feature}::DOUBLE) AND {" AND ".join(f"isfinite({f}::DOUBLE)" for f in KNN_FEATURES)})
+  WHERE n_label > 1)"""
+
+
+_PRUNED = "items AS (SELECT l_returnflag, " + ", ".join(MI_FEATURES) + """,
+         l_quantity * 2 + 1 AS quantity_copy, pow(l_quantity, 3) AS a_cube, -l_tax AS tax_copy FROM lineitem)"""
+_PRUNED_RANKS = "ranks AS (SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS {f}" for f in PRUNED_FEATURES
+) + " FROM items)"
 _FUSED = """scores AS (
   SELECT p_brand AS feature, count(*) AS mi, max(p_size) AS forest FROM part GROUP BY p_brand),
 ranks AS (
@@ -332,14 +390,24 @@ both_{f} AS (
 SELECT greatest(max(abs(fm - pm)) / max(abs(pm)), max(abs(fs - ps)) / max(abs(ps))) <= 1e-9
        AS within_tolerance FROM (""" + " UNION ALL ".join(
         f"SELECT * FROM both_{f}" for f in MEASURES) + ")"),
-    "mutual_info": " UNION ALL ".join(
-        f"""SELECT '{f}' AS feature, round(sum(n / t * ln(n * t / (b * l))), 8) AS mi FROM (
-  SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER ()::DOUBLE AS t,
-         sum(count(*)) OVER (PARTITION BY {f})::DOUBLE AS b,
-         sum(count(*)) OVER (PARTITION BY l_returnflag)::DOUBLE AS l
-  FROM lineitem GROUP BY {f}, l_returnflag)"""
-        for f in MI_FEATURES
-    ),
+    "mutual_info": _mi_sql(MI_FEATURES, "lineitem", 8),
+    "mutual_info_knn": C.sql(
+        C.EV, *[_points_sql(f) for f in KNN_FEATURES],
+        query=" UNION ALL ".join(_knn_sql(f, NEIGHBOURS) for f in KNN_FEATURES)),
+    "prune_correlated": "WITH RECURSIVE " + ", ".join([
+        _PRUNED, _PRUNED_RANKS, f"mi AS ({_mi_sql(PRUNED_FEATURES, 'items', 12)})",
+        f"pairs AS ({_pairs_sql('ranks', PRUNED_FEATURES, absolute=True)})", """ordered AS (
+  SELECT feature, row_number() OVER (ORDER BY mi DESC, feature) AS i FROM mi),
+copies AS (
+  SELECT o.feature, o.i, list(p.b) FILTER (WHERE p.a <> p.b AND p.r >= 0.95) AS near
+  FROM ordered o JOIN pairs p ON p.a = o.feature GROUP BY o.feature, o.i),
+walk AS (
+  SELECT 0::BIGINT AS i, CAST([] AS VARCHAR[]) AS kept
+  UNION ALL
+  SELECT c.i, CASE WHEN len(list_intersect(kept, coalesce(near, []))) > 0 THEN kept
+                   ELSE list_append(kept, c.feature) END
+  FROM walk JOIN copies c ON c.i = walk.i + 1)
+SELECT feature, list_contains((SELECT arg_max(kept, i) FROM walk), feature) AS kept FROM ordered"""]),
     "rank_fusion": C.sql(_FUSED, query="""
 SELECT feature, mi_rank, forest_rank, round(fused_score, 9) AS fused_score, fused_rank
 FROM fused"""),

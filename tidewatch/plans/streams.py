@@ -101,6 +101,29 @@ def replay_accept_stream(spark, folder):
     return rows.select("stream_index", "accepted")
 
 
+def stream_depth(spark, folder):
+    """How full each device's buffer is, from the state of a stream."""
+    messages = _stream(spark, folder).select(
+        "device", "stream_index", F.array("value", "k").alias("features")
+    )
+    base = run_folder(spark, "depth")
+    jobs.run_to_table(state.stream_windows(messages, WINDOW), base)
+    return state.stream_depth(spark, f"{base}/progress")
+
+
+def stream_last_seen(spark, folder):
+    """The last accepted counters, from the state of a stream."""
+    messages = _stream(spark, folder).select(
+        F.col("edge").alias("edge_id"), F.col("device").alias("device_id"), "stream_index", "counter"
+    )
+    base = run_folder(spark, "last-seen")
+    jobs.run_to_table(state.stream_replay_guard(messages), base)
+    return state.stream_last_seen(spark, f"{base}/progress").select(
+        F.col("edge_id").alias("edge"), F.col("device_id").alias("device"),
+        F.col("last_counter").cast("long").alias("last_counter"),
+    )
+
+
 def _slots(spark, folder):
     rows = cut_lineage(spark, C.split_events(spark, folder), "rows")
     scaler = Scaler.fit(rows.where("side = 'train'"), FEATURES)
@@ -216,7 +239,7 @@ def _cloud(spark, folder):
 
 def e2e_counts(spark, folder):
     joined = _verdicts(spark, folder).join(_cloud(spark, folder), "stream_index", "left")
-    return R.run_counts(joined)
+    return R.run_counts(joined, alert_log(spark, folder))
 
 
 def disjointness(spark, folder):
@@ -237,6 +260,8 @@ QUERIES = {
     "buffer_depth": buffer_depth,
     "replay_accept": replay_accept,
     "last_accepted": last_accepted,
+    "stream_depth": stream_depth,
+    "stream_last_seen": stream_last_seen,
     "replay_accept_stream": replay_accept_stream,
     "pair_held_out": pair_held_out,
     "verdict": verdict,
@@ -275,6 +300,8 @@ _WINDOWS_SQL = C.sql(C.EV, _MSG, _WIN, query="""
 SELECT device, stream_index, win AS "window" FROM wins WHERE own >= 3""")
 _REPLAY_SQL = C.sql(C.EV, _MSG, query=f"""
 SELECT stream_index, coalesce(counter > max(counter) {_GUARD}, true) AS accepted FROM msg""")
+_LAST_SQL = C.sql(C.EV, _MSG, query="""
+SELECT edge, device, max(counter) AS last_counter FROM msg GROUP BY ALL""")
 _ACCEPT_SQL = C.sql(C.EV, _MSG, query=f"""
 SELECT stream_index, CASE WHEN k % 13 = 0 THEN 'malformed' ELSE 'edge_mismatch' END
        AS reject_reason FROM msg WHERE k % 13 = 0 OR k % 17 = 0
@@ -314,8 +341,10 @@ SELECT stream_index, device, own AS counter FROM msg"""),
 SELECT stream_index, least(own + 1, {WINDOW}) AS depth FROM msg"""),
     "replay_accept": _REPLAY_SQL,
     "replay_accept_stream": _REPLAY_SQL,
-    "last_accepted": C.sql(C.EV, _MSG, query="""
-SELECT edge, device, max(counter) AS last_counter FROM msg GROUP BY ALL"""),
+    "last_accepted": _LAST_SQL,
+    "stream_last_seen": _LAST_SQL,
+    "stream_depth": C.sql(C.EV, _MSG, query=f"""
+SELECT device, least(count(*), {WINDOW}) AS depth FROM msg GROUP BY device"""),
     "pair_held_out": C.sql(C.EV, C.POOL, C.SPLIT, f"""slots AS (
   SELECT source || ':' || pos AS ref, label AS true_label, count(*) OVER () AS n,
          row_number() OVER (ORDER BY md5('{C.SEED}:' || source || ':' || pos)) - 1 AS slot

@@ -22,7 +22,7 @@ from tidewatch.operators.prepare import prepared_sequences
 from tidewatch.operators.profile import profile
 from tidewatch.operators.report import bracket
 from tidewatch.operators.scaling import Scaler, client_stats, combine_stats
-from tidewatch.operators.selection import Selection, select_features
+from tidewatch.operators.selection import select_features, selected_names
 from tidewatch.session import cut_lineage
 from tidewatch.sources import csv_parts, store
 
@@ -43,7 +43,8 @@ class Settings:
     tau: float = 0.95
     n_features: int = 16
     trees: int = 200
-    sample_size: int | None = 200_000
+    forest_rows: int | None = 200_000
+    sweep_sizes: tuple[int, ...] = ()
     window: int = 16
     n_clients: int = 3
     alpha: float = 0.5
@@ -61,11 +62,12 @@ def characterise(spark: SparkSession, root: str, out: str, run: str) -> DataFram
     return store.read_table(spark, out, store.PROFILE_SCHEMA).where(F.col("run") == run)
 
 
-def prepare(spark: SparkSession, root: str, out: str, settings: Settings) -> Selection:
+def prepare(spark: SparkSession, root: str, out: str, settings: Settings) -> DataFrame:
     """CSV parts to prepared rows: cap, dedup, blocks, split, selection.
 
     The stored rows are unscaled and keep source, position, block and side. Equal rows on both
-    sides of the split fail the job.
+    sides of the split fail the job. Returns the feature table, which is stored beside the rows;
+    with ``sweep_sizes`` the number of features is the knee of a sweep on the train side, stored too.
     """
     frame, _ = csv_parts.capped_subsample(
         spark, root, settings.target, settings.per_class_cap, settings.seed
@@ -82,14 +84,35 @@ def prepare(spark: SparkSession, root: str, out: str, settings: Settings) -> Sel
         train, sided.where("side = 'test'"), content
     ).isEmpty():
         raise ValueError("equal rows on both sides of the split")
-    selection = select_features(
-        train, "label", "pos", settings.tau, settings.n_features, trees=settings.trees,
-        sample_size=settings.sample_size, seed=settings.seed,
+    table, tried = select_features(
+        train, "label", "pos", settings.tau, settings.n_features, sizes=settings.sweep_sizes,
+        evaluator=_evaluator(spark, train, settings) if settings.sweep_sizes else None,
+        trees=settings.trees, forest_rows=settings.forest_rows, seed=settings.seed,
+    )
+    store.write_selection(table, tried, out)
+    table = store.read_selection(spark, out)
+    features = selected_names(table)
+    kept = ["pos", "source_file", "label", "block_id", "side", *features]
+    store.write_prepared(finite_rows(sided.select(*kept), features), out, features)
+    return table
+
+
+def _evaluator(spark: SparkSession, train: DataFrame, settings: Settings):
+    """Validation macro-F1 of a list of columns, on a split of the train blocks alone."""
+    inner = split.inner_split(train, "label", settings.test_fraction, settings.seed)
+    inner = cut_lineage(spark, inner, "inner-split")
+
+    def sequences_of(frame, columns, scaler):
+        usable = finite_rows(frame, columns)
+        scaler = scaler or Scaler.fit(usable, columns)
+        return prepared_sequences(
+            usable, "source_file", "pos", "label", columns, settings.window, scaler, keep=["pos"]
+        ), scaler
+
+    return models.sweep_evaluator(
+        inner.where("side = 'train'"), inner.where("side = 'test'"), sequences_of,
+        "class_index", len(CLASS_NAMES), row_id="pos", seed=settings.seed,
     )
-    kept = ["pos", "source_file", "label", "block_id", "side", *selection.selected]
-    usable = finite_rows(sided.select(*kept), selection.selected)
-    store.write_prepared(usable, out, selection.selected)
-    return selection
 
 
 def _scored(
@@ -124,6 +147,10 @@ def compare_federated(
             frame, source, "pos", "label", features, settings.window, scaler
         )
 
+    def judged(table, key, test_windows, sizes=None):
+        names = None if sizes is None else sizes.withColumnRenamed("client", key)
+        return models.score_softmax(table, key, test_windows, "class_index", n_classes, names)
+
     def record(scored, seed, model):
         headline, classes = _scored(scored, (), n_classes)
         stored.append(store.metric_rows(headline, run, config, seed, model, METRICS))
@@ -150,27 +177,26 @@ def compare_federated(
         data = cut_lineage(spark, models.federated_data(
             clients, "client", "class_index", n_classes), "clients")
 
-        central, _ = models.local_only(
+        central, one = models.local_only(
             pooled, "class_index", 1, n_classes, inputs, passes, settings.rate
         )
-        record(models.score_softmax(central, test_windows, "class_index"), seed, "centralized")
-        alone, _ = models.local_only(
+        record(judged(central, "client_id", test_windows, one), seed, "centralized")
+        alone, sizes = models.local_only(
             data, "class_index", settings.n_clients, n_classes, inputs, passes, settings.rate
         )
-        scored, _ = _scored(
-            models.score_softmax(alone, test_windows, "class_index"), ["model"], n_classes
-        )
+        scored, _ = _scored(judged(alone, "client_id", test_windows, sizes), ["model"], n_classes)
         mean = scored.agg(*[F.avg(m).alias(m) for m in METRICS])
         stored.append(store.metric_rows(mean, run, config, seed, "local_only", METRICS))
-        shared, sizes = models.federated_rounds(
+        history, sizes = models.federated_rounds(
             data, "class_index", settings.n_clients, n_classes, inputs, settings.rounds,
             settings.local_epochs, settings.rate, settings.aggregation,
         )
+        shared = history.where(F.col("round") == settings.rounds - 1)
         store.save_parameters(
-            models.parameter_rows(spark, {0: shared}), f"{out}/models/{run}", seed,
-            {"n_k": str(sum(sizes.values())), "seed": str(seed), "features": ",".join(features)},
+            shared.select(F.lit(0).alias("client"), "name", "pos", "value"), f"{out}/models/{run}", seed,
+            {"n_k": str(sizes.agg(F.sum("n_k")).first()[0]), "seed": str(seed), "features": ",".join(features)},
         )
-        record(models.score_softmax({0: shared}, test_windows, "class_index"), seed, "federated")
+        record(judged(shared, "round", test_windows), seed, "federated")
 
     table = stored[0]
     for part in stored[1:]:

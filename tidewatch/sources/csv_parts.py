@@ -39,9 +39,71 @@ def _reader(spark: SparkSession):
     )
 
 
-def infer_layout(spark: SparkSession, first_part: str) -> T.StructType:
-    """Column names and types of the first part."""
-    return _reader(spark).option("inferSchema", True).csv(first_part).schema
+#: Types a column can have, by rank: the wider of two numbers holds both.
+EMPTY, INT, LONG, DOUBLE, BOOLEAN, TEXT = range(6)
+TYPES = {
+    EMPTY: T.StringType(), INT: T.IntegerType(), LONG: T.LongType(), DOUBLE: T.DoubleType(),
+    BOOLEAN: T.BooleanType(), TEXT: T.StringType(),
+}
+# How a CSV part writes numbers.
+WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+DECIMAL = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+
+
+def _rank(text: Column) -> Column:
+    """The narrowest type of one field."""
+    word = F.lower(F.trim(text))
+    number = F.when(text.rlike(WHOLE), F.when(F.abs(text.cast("long")) < 1 << 31, INT).otherwise(LONG)).when(
+        text.rlike(DECIMAL) | word.isin("inf", "-inf", "nan"), DOUBLE
+    )
+    return F.when(text.isNull() | (word == ""), EMPTY).otherwise(
+        F.coalesce(number, F.when(word.isin("true", "false"), BOOLEAN).otherwise(TEXT))
+    )
+
+
+def part_types(spark: SparkSession, parts: list[str]) -> DataFrame:
+    """(part, column, place, type): the rank of the type of each column in each part, from its values.
+
+    The column list is that of the first part, and a part with another header fails the job. Within a
+    part a mix of text, numbers and truth values is text.
+    """
+    names = _reader(spark).csv(parts[0]).schema.names
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    frame = _reader(spark).schema(schema).option("enforceSchema", False).option("mode", "FAILFAST").csv(parts)
+    ranks = [_rank(F.col(f"`{n}`")) for n in names]
+    seen = []
+    for place, (name, rank) in enumerate(zip(names, ranks, strict=True)):
+        low = F.min(F.when(rank != EMPTY, rank))
+        high = F.max(rank)
+        mixed = (high >= BOOLEAN) & (low != high)
+        seen.append(F.struct(
+            F.lit(name).alias("column"), F.lit(place).alias("place"), F.when(mixed, TEXT).otherwise(high).alias("type")
+        ))
+    by_part = frame.groupBy(F.col("_metadata.file_path").alias("part")).agg(F.array(*seen).alias("seen"))
+    return by_part.select("part", F.inline("seen"))
+
+
+def infer_layout(spark: SparkSession, parts: str | list[str]) -> T.StructType:
+    """Column names, and for each column the narrowest type that holds its values in every part.
+
+    Whole numbers widen to larger ones and to decimals; a column that is empty everywhere is text. A
+    column that is text or truth values in one part and numbers in another is an error.
+    """
+    parts = [parts] if isinstance(parts, str) else parts
+    merged = part_types(spark, parts).where(F.col("type") != EMPTY).groupBy("place", "column").agg(
+        F.min("type").alias("low"), F.max("type").alias("high"),
+        F.min_by("part", "type").alias("one"), F.max_by("part", "type").alias("other"),
+    )
+    # One row for each column.
+    found = {r["column"]: r for r in merged.collect()}
+    fields = []
+    for name in _reader(spark).csv(parts[0]).schema.names:
+        row = found.get(name)
+        if row is not None and row["high"] >= BOOLEAN and row["low"] != row["high"]:
+            kinds = [TYPES[row[k]].simpleString() for k in ("low", "high")]
+            raise ValueError(f"column {name!r} is {kinds[0]} in {row['one']} and {kinds[1]} in {row['other']}")
+        fields.append(T.StructField(name, TYPES[row["high"] if row else EMPTY]))
+    return T.StructType(fields)
 
 
 def _decoded(path: Column) -> Column:
@@ -57,11 +119,11 @@ def scan_parts(
 ) -> DataFrame:
     """Read all parts as one table with ``source_file`` and ``label``.
 
-    The layout is that of the first part. A part with another header, or a value that does not
-    fit the column's type, fails the job: rows are never silently turned into nulls.
+    The layout is that of all parts together, or ``schema``. A part with another header, or a value
+    that does not fit the column's type, fails the job: rows are never silently turned into nulls.
     """
     parts = parts if parts is not None else discover_parts(spark, root)
-    schema = schema or infer_layout(spark, parts[0])
+    schema = schema or infer_layout(spark, parts)
     frame = (
         _reader(spark)
         .schema(schema)
@@ -129,7 +191,7 @@ def capped_subsample(
     if target <= 0:
         raise ValueError(f"target must be positive, got {target}")
     parts = discover_parts(spark, root)
-    schema = infer_layout(spark, parts[0])
+    schema = infer_layout(spark, parts)
     counts = (
         scan_parts(spark, root, schema, parts)
         .groupBy("label", "part_number", "source_file")

@@ -48,6 +48,17 @@ def read_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, list[str],
     return rows, features, bool(listed[0]["scaled"])
 
 
+def write_selection(features: DataFrame, sweep: DataFrame | None, path: str) -> None:
+    """The feature table of a selection, and the sweep if there was one, beside the prepared rows."""
+    features.write.mode("overwrite").parquet(f"{path}/selection")
+    if sweep is not None:
+        sweep.write.mode("overwrite").parquet(f"{path}/sweep")
+
+
+def read_selection(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/selection")
+
+
 def profile_rows(profile: DataFrame, run: str) -> DataFrame:
     """A profile as (run, column, stat, value)."""
     stats = [c for c in profile.columns if c != "column"]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.metadata import encode_metadata
@@ -41,20 +41,31 @@ def verdict_stream(
     return scored.withColumn("malicious", F.col("prediction") != BENIGN_INDEX)
 
 
+def counters() -> list[Column]:
+    """What a micro-batch of verdicts counts while it passes."""
+    return [
+        F.count(F.lit(1)).alias("n_classified"),
+        F.count_if(~F.col("malicious")).alias("n_benign"),
+        F.count_if("malicious").alias("n_malicious"),
+    ]
+
+
 @dataclass(frozen=True)
 class DetectionRun:
-    """The tables one run leaves behind."""
+    """The tables one run leaves behind; ``counters`` has a row for each micro-batch of verdicts."""
 
     verdicts: DataFrame
     cloud: DataFrame
     alerts: DataFrame
+    counters: DataFrame
 
     def counts(self, n_messages: int) -> DataFrame:
-        """One row: buffering, classified, benign, malicious, received, rejected, alerts."""
-        classified = self.verdicts.agg(
-            F.count(F.lit(1)).alias("n_classified"),
-            F.count_if(~F.col("malicious")).alias("n_benign"),
-            F.count_if("malicious").alias("n_malicious"),
+        """One row: buffering, classified, benign, malicious, received, rejected, alerts.
+
+        Verdicts are counted as they passed, deliveries in the tables of their routes.
+        """
+        classified = self.counters.agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_classified", "n_benign", "n_malicious")]
         )
         received = self.cloud.agg(
             F.count_if(F.col("reject_reason").isNull()).alias("received"),
@@ -78,7 +89,7 @@ def run_detection(verdicts: DataFrame, folder: str, schema_version: str) -> Dete
     The stateful part runs once, into the verdict table. Two jobs then follow that table, one per
     route; the alert job is not given anything of the cloud's.
     """
-    judged = jobs.run_to_table(verdicts, f"{folder}/verdicts")
+    judged = jobs.run_to_table(verdicts, f"{folder}/verdicts", counters())
     spark = judged.sparkSession
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
@@ -108,6 +119,9 @@ def run_detection(verdicts: DataFrame, folder: str, schema_version: str) -> Dete
         judged,
         cloud_accept(cloud, "edge", "metadata", "stream_index"),
         alert_log(alerts, "edge", "device", "counter", "stream_index"),
+        _delivered(
+            spark, f"{folder}/verdicts/counters", "n_classified long, n_benign long, n_malicious long"
+        ),
     )
 
 

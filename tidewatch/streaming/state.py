@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,36 +24,46 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class _Windows(StatefulProcessor):
+    """State: the last window - 1 records, and how full the buffer is."""
+
     def __init__(self, window: int, keep: list[str]) -> None:
         self._window = window
         self._keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getListState("last", "features array<double>")
+        self._depth = handle.getValueState("depth", "depth int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # A window of one needs no history but still remembers the feature count.
+        history = max(self._window - 1, 1)
         held = [list(r[0]) for r in self._last.get()] if self._last.exists() else []
+        depth = self._depth.get()[0] if self._depth.exists() else 0
         batch = _in_order(rows)
+        resets = np.flatnonzero(batch["reset"].to_numpy(bool))
+        records = batch["features"].to_numpy()
         emitted, windows = [], []
-        for at, (reset, features) in enumerate(zip(batch["reset"], batch["features"])):
-            if reset:
-                held = []
+        # Stretches between resets; each but the first begins with an empty buffer.
+        for begin, end in zip([0, *(resets + 1)], [*resets, len(batch)], strict=True):
+            if begin:
+                held, depth = [], 0
+            if begin == end:
                 continue
-            record = list(features)
-            if held and len(held[-1]) != len(record):
-                raise ValueError(
-                    f"device {key[0]!r}: expected {len(held[-1])} features, got {len(record)}"
-                )
-            held = [*held[-(self._window - 1):], record] if self._window > 1 else [record]
-            if len(held) == self._window:
-                emitted.append(at)
-                windows.append(held)
-        # A window of one needs no history but still remembers the feature count.
-        keep = held[-max(self._window - 1, 1):]
-        if keep:
-            self._last.put([(r,) for r in keep])
+            own = _stacked(key[0], [*held, *records[begin:end]])
+            n, first = end - begin, len(own) - (end - begin)
+            if self._window == 1:
+                own, first = own[first:], 0
+            if len(own) >= self._window:
+                found = np.lib.stride_tricks.sliding_window_view(own, self._window, axis=0)
+                windows += list(found.transpose(0, 2, 1).tolist())
+                emitted += range(begin + self._window - 1 - first, end)
+            held, depth = own[-history:].tolist(), min(self._window, depth + n)
+        if held:
+            self._last.put([(r,) for r in held])
+            self._depth.update((depth,))
         else:
             self._last.clear()
+            self._depth.clear()
         if windows:
             yield batch.iloc[emitted][["device", "stream_index", *self._keep]].assign(
                 window=windows
@@ -62,6 +73,15 @@ class _Windows(StatefulProcessor):
         pass
 
 
+def _stacked(device, records: list) -> np.ndarray:
+    widths = {len(r) for r in records}
+    if len(widths) > 1:
+        first = len(records[0])
+        other = next(w for w in map(len, records) if w != first)
+        raise ValueError(f"device {device!r}: expected {first} features, got {other}")
+    return np.array([np.asarray(r, float) for r in records])
+
+
 def stream_windows(messages: DataFrame, window: int, keep: Sequence[str] = ()) -> DataFrame:
     """Windows of the last ``window`` records per device, from the ``window``-th record on.
 
@@ -97,13 +117,14 @@ class _Replay(StatefulProcessor):
         batch = _in_order(rows)
         held = self._highest.get() if self._highest.exists() else None
         highest = None if held is None else int(held[0])
-        accepted = []
-        for counter in batch["counter"].map(int):
-            if counter < 0:
-                raise ValueError(f"counter must be non-negative, got {counter}")
-            fresh = highest is None or counter > highest
-            highest = counter if fresh else highest
-            accepted.append(fresh)
+        # Counters may pass a long, so these are arrays of whole numbers of any size.
+        counters = np.array([int(c) for c in batch["counter"]], object)
+        if (counters < 0).any():
+            raise ValueError(f"counter must be non-negative, got {counters.min()}")
+        # Only an accepted counter can raise the maximum of all before it.
+        before = np.maximum.accumulate(np.array([-1 if highest is None else highest, *counters], object))
+        accepted = (counters > before[:-1]).astype(bool)
+        highest = int(before[-1])
         self._highest.update((Decimal(highest),))
         yield pd.DataFrame(
             {
@@ -134,6 +155,27 @@ def stream_replay_guard(messages: DataFrame) -> DataFrame:
     )
 
 
+def _state(spark: SparkSession, progress: str, variable: str) -> DataFrame:
+    """(partition_id, key, value) of a state variable, as of the last finished micro-batch."""
+    return spark.read.format("statestore").option("stateVarName", variable).load(progress)
+
+
+def stream_depth(spark: SparkSession, progress: str) -> DataFrame:
+    """(device, depth): how full each device's buffer is, read from the state of :func:`stream_windows`.
+
+    ``progress`` is the checkpoint folder of its query, which may be running.
+    """
+    return _state(spark, progress, "depth").select("key.device", "value.depth")
+
+
+def stream_last_seen(spark: SparkSession, progress: str) -> DataFrame:
+    """(edge_id, device_id, last_counter): the last accepted counter in the state of
+    :func:`stream_replay_guard`."""
+    return _state(spark, progress, "highest").select(
+        "key.edge_id", "key.device_id", F.col("value.counter").alias("last_counter")
+    )
+
+
 def stream_cloud_accept(deliveries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rejected at once, verdicts of the replay guard) for edge_id, stream_index, metadata.
 
