@@ -145,9 +145,9 @@ def settled_prefixes(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataF
     Returns (rep, n, rare, frequent): the rare tokens of the prefix by hash, and the frequent ones among
     all tokens looked at; and the sets' ids (rep).
 
-    In a round, sets that lost tokens of their prefix to the frequent class take as many from further
-    on. Only these are counted anew, and tokens that now have more than ``FREQUENT`` sets leave all
-    prefixes they are in. It ends when no prefix lacks a token, or has no more to take.
+    In a round, sets that lost tokens of their prefix to the frequent class look at more, further on. Only
+    these are counted anew, and tokens that now have more than ``FREQUENT`` sets leave all prefixes they
+    are in. It ends when no prefix lacks a token, or has no more to take.
     """
     spark = docs.sparkSession
     base = reps.select("rep", F.explode("prefix").alias("token"))
@@ -183,7 +183,9 @@ def settled_prefixes(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataF
         written += [lost, state, tokens]
         whole = tokens if whole is None else whole.unionByName(tokens)
         missing = F.col("length") - F.col("end") + F.size("frequent")
-        lacking = state.select("rep", "end", F.least(missing, F.col("n") - F.col("end")).alias("missing")).where("missing > 0")
+        # Some of what comes will be frequent as well, so more is looked at than is missing.
+        ahead = F.when(missing > 0, F.least(2 * missing + 32, F.col("n") - F.col("end")))
+        lacking = state.select("rep", "end", ahead.alias("missing")).where("missing > 0")
         added = whole.join(lacking, "rep").select("rep", F.expr("slice(tokens, end + 1, missing)").alias("tokens"))
         added = cut_lineage(spark, added, "added-tokens")
         written.append(added)
