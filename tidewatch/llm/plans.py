@@ -185,7 +185,51 @@ ends AS (
 SELECT *, folded_root = root AS verified FROM ends"""
 
 
+#: From links (a, b) in both directions: all pairs that are connected.
+REACH = """
+reach AS (
+  SELECT a AS node, b AS other FROM links
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)"""
+
 ORACLES = {
+    "op1_near_vectors": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),{REACH},
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+named AS (SELECT node AS vec_id, min(other) AS low FROM reach GROUP BY node)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
+       least(e.vec_id, coalesce(low, e.vec_id)) AS component_id,
+       e.vec_id <= coalesce(low, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN counted c ON e.vec_id = c.vec_id LEFT JOIN named m ON e.vec_id = m.vec_id""",
+    "op8_jaccard_join": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+tokens AS (SELECT doc_id, unnest(s) AS token FROM sets),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM tokens x JOIN tokens y ON x.token = y.token AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),{REACH},
+named AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM sizes LEFT JOIN named ON node = doc_id""",
     "op5_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
