@@ -1,15 +1,14 @@
 """Quality classifier by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are documents labelled 1. Unlabelled are documents of the whole table, whatever
-their label. With the class prior pi, the risk of a score g is
+Trusted positives are documents labelled 1. Unlabelled are documents of the whole table but the
+held-out fold, whatever their label. With the class prior pi, the risk of a score g is
 
     pi E_P[loss(g)] + max(0, E_U[loss(-g)] - pi E_P[loss(-g)])
 
 for the logistic loss, so that the fitted score is a probability. When the second term turns
 negative by more than its sampling error, the step goes against it, as the estimator prescribes, so
-that flexible features do not overfit the unlabelled texts. The prior is the share of 1 among all labelled rows outside the
-held-out fold; if those have only one class, it is estimated from the scores of held-back
-positives (mean score of unlabelled over mean score of positives of a plain classifier).
+that flexible features do not overfit the unlabelled texts. The prior is estimated from scores of
+unlabelled rows and of positives that were held back; labels of 0 are used nowhere.
 
 Features describe the shape of the text, each cut into bins at quantiles of the sample: shares of
 capitals, digits, symbols, separators and other marks, repeated neighbouring words, variety of
@@ -160,11 +159,18 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: i
 
 
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Mean score of unlabelled rows over that of positives held back from a plain classifier."""
-    held = np.arange(len(positive)) % 4 == 0
-    w = fit_pu(positive[~held], unlabelled, 0.5, rounds=300, non_negative=False)
-    score = lambda rows: (1 / (1 + np.exp(-(w[rows].sum(axis=1) + w[-1])))).mean()
-    return float(np.clip(score(unlabelled) / max(score(positive[held]), 1e-9), 0.05, 0.98))
+    """Mean score of unlabelled rows over that of positives, by a plain classifier that saw neither.
+
+    A quarter of the rows is held back by what they look like, so a document that is both a positive and
+    unlabelled is held back as both.
+    """
+    place = np.arange(1, SHAPES + 1) * 2654435761
+    held_p, held_u = (((rows * place).sum(axis=1) >> 7) % 4 == 0 for rows in (positive, unlabelled))
+    if held_p.all() or held_u.all() or not held_p.any() or not held_u.any():
+        held_p, held_u = (np.arange(len(rows)) % 4 == 0 for rows in (positive, unlabelled))
+    w = fit_pu(positive[~held_p], unlabelled[~held_u], 0.5, rounds=300, non_negative=False)
+    score = lambda rows: (1 / (1 + np.exp(-np.clip(w[rows].sum(axis=1) + w[-1], -40, 40)))).mean()
+    return float(np.clip(score(unlabelled[held_u]) / max(score(positive[held_p]), 1e-9), 0.05, 0.98))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class: int = PER_CLASS,
