@@ -158,19 +158,26 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: i
     return w
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Mean score of unlabelled rows over that of positives, by a plain classifier that saw neither.
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 4) -> float:
+    """Mean score of unlabelled rows over that of positives, each by a plain classifier that saw it not.
 
-    A quarter of the rows is held back by what they look like, so a document that is both a positive and
-    unlabelled is held back as both.
+    Rows are dealt into folds by what they look like, so a document that is both a positive and unlabelled
+    is in one fold as both.
     """
     place = np.arange(1, SHAPES + 1) * 2654435761
-    held_p, held_u = (((rows * place).sum(axis=1) >> 7) % 4 == 0 for rows in (positive, unlabelled))
-    if held_p.all() or held_u.all() or not held_p.any() or not held_u.any():
-        held_p, held_u = (np.arange(len(rows)) % 4 == 0 for rows in (positive, unlabelled))
-    w = fit_pu(positive[~held_p], unlabelled[~held_u], 0.5, rounds=300, non_negative=False)
-    score = lambda rows: (1 / (1 + np.exp(-np.clip(w[rows].sum(axis=1) + w[-1], -40, 40)))).mean()
-    return float(np.clip(score(unlabelled[held_u]) / max(score(positive[held_p]), 1e-9), 0.05, 0.98))
+    own = [((rows * place).sum(axis=1) >> 7) % folds for rows in (positive, unlabelled)]
+    if any(len(np.unique(f)) < folds for f in own):
+        own = [np.arange(len(rows)) % folds for rows in (positive, unlabelled)]
+    sums = np.zeros(2)
+    for fold_number in range(folds):
+        out = [f == fold_number for f in own]
+        if not all((~o).any() for o in out):
+            continue
+        w = fit_pu(positive[~out[0]], unlabelled[~out[1]], 0.5, rounds=300, non_negative=False)
+        for side, rows in enumerate((positive[out[0]], unlabelled[out[1]])):
+            sums[side] += (1 / (1 + np.exp(-np.clip(w[rows].sum(axis=1) + w[-1], -40, 40)))).sum()
+    means = sums / (len(positive), len(unlabelled))
+    return float(np.clip(means[1] / max(means[0], 1e-9), 0.05, 0.98))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class: int = PER_CLASS,
