@@ -1,5 +1,6 @@
 """Routing, replay and device windows: hand cases, and streams equal to their batch twins."""
 
+import os
 import random
 
 import pytest
@@ -191,6 +192,38 @@ def test_cloud_stream_equals_batch(spark, tmp_path):
     assert [r["reject_reason"] for r in rows] == REASONS
 
 
+def test_cloud_stream_decodes_the_metadata_once(spark):
+    def decodings(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("transform(")
+
+    sent = deliveries(spark, HAND)
+    once = decodings(sent.select(decode_metadata(F.col("metadata")).alias("meta")))
+    assert once > 0
+    assert [decodings(part) for part in state.stream_cloud_accept(sent)] == [once, once]
+
+
+def small_files(spark, folder, n):
+    spark.range(n).select("id", (F.col("id") % 2 == 0).alias("malicious")).repartition(n).write.parquet(folder)
+    return "id long, malicious boolean"
+
+
+def batches_of(progress):
+    return sum(not name.startswith(".") for name in os.listdir(f"{progress}/commits"))
+
+
+def test_small_files_of_a_table_share_a_micro_batch(spark, tmp_path):
+    schema = small_files(spark, f"{tmp_path}/table", 6)
+    stream = jobs.table_stream(spark, f"{tmp_path}/table", schema)
+    assert jobs.run_to_table(stream, f"{tmp_path}/out").count() == 6
+    assert batches_of(f"{tmp_path}/out/progress") == 1
+    # A bound below a file's size still takes a file at a time, and all of them.
+    stream = jobs.file_stream(spark, f"{tmp_path}/table", schema, files_per_batch=None, bytes_per_batch=1)
+    assert jobs.run_to_table(stream, f"{tmp_path}/single").count() == 6
+    assert batches_of(f"{tmp_path}/single/progress") == len(
+        [name for name in os.listdir(f"{tmp_path}/table") if name.endswith(".parquet")]
+    )
+
+
 def test_malicious_only_run_never_touches_the_cloud(spark, tmp_path):
     (tmp_path / "src").mkdir()
     rows = [(i, True) for i in range(5)]

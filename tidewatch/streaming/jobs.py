@@ -14,20 +14,32 @@ from tidewatch.session import ROCKSDB_PROVIDER
 
 Sink = Callable[[DataFrame, int], None]
 
+#: How much of a table a micro-batch reads, one file at least. Small files share a batch, so that the number
+#: of batches follows the size of a table, not the number of its files.
+BATCH_BYTES = 32 << 20
+
 
 def file_stream(
-    spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1
+    spark: SparkSession,
+    folder: str,
+    schema,
+    pattern: str = "*.parquet",
+    files_per_batch: int | None = 1,
+    bytes_per_batch: int = BATCH_BYTES,
 ) -> DataFrame:
-    """Parquet files as a stream, a bounded number of files per micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """Parquet files as a stream, a bounded number of files per micro-batch.
+
+    With ``files_per_batch`` None, their bytes are bounded instead.
+    """
+    files = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_batch is None:
+        return files.option("maxBytesPerTrigger", bytes_per_batch).parquet(folder)
+    return files.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def table_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
+def table_stream(
+    spark: SparkSession, path: str, schema, files_per_batch: int | None = None
+) -> DataFrame:
     """A parquet table as a stream, be it a folder of part files or a single file.
 
     A table that is not there fails at once, rather than giving a stream without rows.

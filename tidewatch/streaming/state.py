@@ -20,7 +20,9 @@ REPLAY_SCHEMA = "edge_id string, device_id string, stream_index long, accepted b
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """One key's rows of one micro-batch by arrival; the trigger bounds their number."""
-    return pd.concat(list(rows), ignore_index=True).sort_values("stream_index")
+    parts = list(rows)
+    batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    return batch.sort_values("stream_index")
 
 
 class _Windows(StatefulProcessor):
@@ -115,7 +117,7 @@ class _Replay(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows)
-        held = self._highest.get() if self._highest.exists() else None
+        held = self._highest.get()
         highest = None if held is None else int(held[0])
         # Counters may pass a long, so these are arrays of whole numbers of any size.
         counters = np.array([int(c) for c in batch["counter"]], object)
@@ -182,7 +184,9 @@ def stream_cloud_accept(deliveries: DataFrame) -> tuple[DataFrame, DataFrame]:
     Malformed metadata and edge mismatches are turned away without state; only the rest reaches
     the guard, whose refusals carry ``reject_reason = 'replay'``.
     """
-    parsed = deliveries.withColumn("__meta", decode_metadata(F.col("metadata")))
+    # As the row of a generator the bytes are decoded once; a filter on a plain column would copy the decoding
+    # into itself, once for each place that names it.
+    parsed = deliveries.select("*", F.explode(F.array(decode_metadata(F.col("metadata")))).alias("__meta"))
     reason = F.when(F.col("__meta").isNull(), F.lit(MALFORMED)).when(
         F.col("__meta.edge_id") != F.col("edge_id"), F.lit(EDGE_MISMATCH)
     )
