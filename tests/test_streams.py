@@ -224,6 +224,19 @@ def test_small_files_of_a_table_share_a_micro_batch(spark, tmp_path):
     )
 
 
+def test_routes_read_the_verdict_files_of_many_partitions_together(spark, tmp_path):
+    schema = small_files(spark, f"{tmp_path}/table", 6)
+    verdicts = jobs.table_stream(spark, f"{tmp_path}/table", schema).select(
+        F.col("id").alias("stream_index"), F.lit("e").alias("edge"), F.lit("d").alias("device"),
+        F.col("id").alias("counter"), "malicious",
+    )
+    got = detector.run_detection(verdicts, f"{tmp_path}/run", "v1").counts(6).first()
+    assert (got["n_classified"], got["cloud_received"], got["alerts"]) == (6, 3, 3)
+    files = [n for n in os.listdir(f"{tmp_path}/run/verdicts/rows") if n.endswith(".parquet")]
+    assert len(files) > 1
+    assert batches_of(f"{tmp_path}/run/cloud-progress") == batches_of(f"{tmp_path}/run/alert-progress") == 1
+
+
 def test_malicious_only_run_never_touches_the_cloud(spark, tmp_path):
     (tmp_path / "src").mkdir()
     rows = [(i, True) for i in range(5)]
