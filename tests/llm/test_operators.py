@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +206,29 @@ def test_repeated_bytes_go(docs, empty, rows, classes, monkeypatch):
         assert r["n_bytes"] == len(r["kept"]) + sum(x["end"] - x["start"] for x in r["removed"])
 
 
+def test_a_shard_is_transformed_in_small_collections(monkeypatch):
+    sizes = []
+
+    def seen(strings, order, starts, own=repeats.repeated_windows):
+        sizes.append(sum(map(len, strings)))
+        return own(strings, order, starts)
+
+    monkeypatch.setattr(repeats, "repeated_windows", seen)
+    rng = np.random.default_rng(9)
+    rows = []
+    for anchor in range(1000):
+        passage = rng.integers(97, 123, 150, np.uint8).tobytes()
+        # The second context begins 20 bytes later and shares 31 windows with the first.
+        for doc_id, context in ((2 * anchor, passage), (2 * anchor + 1, passage[20:] + b"end")):
+            rows.append((anchor * 7919 % 1000, doc_id, False, doc_id, 0, 0, context))
+    rng.shuffle(rows)
+    names = ["anchor", "digest", "unnamed", "doc_id", "text_key", "start", "context"]
+    batch = pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}).to_batches()
+    got = [r for b in repeats._shard(iter(batch)) for r in b.to_pylist()]
+    assert sorted((r["digest"], r["low"], r["high"]) for r in got) == [(2 * a + 1, 0, 30) for a in range(1000)]
+    assert max(sizes) <= 128 << 10 and len(sizes) >= 2
+
+
 def test_the_edge_of_a_common_passage_fills_no_shard(spark, monkeypatch):
     heights = []
 
