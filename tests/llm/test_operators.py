@@ -152,6 +152,66 @@ def test_tokens_of_refilled_prefixes_open_no_long_list(spark, monkeypatch):
     assert lists[0] <= 9
 
 
+def star_of_near_copies(leaves):
+    """A few copies with one edit, which all others link to; the others, with five, link to no other."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(300)]
+    made = []
+    for i in range(leaves + 6):
+        own = list(base)
+        for at in rng.choice(60, 5 if i < leaves else 1, replace=False):
+            own[5 * at] = f"edit{i}x{at}"
+        made.append((i, " ".join(own), "en", "s", 1, 1, 0.0))
+    return made
+
+
+def tables_seen(monkeypatch):
+    seen = defaultdict(list)
+
+    def cut(spark, df, purpose, own=jaccard.cut_lineage):
+        out = own(spark, df, purpose)
+        seen[purpose].append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut_lineage", cut)
+    return seen
+
+
+def test_a_group_of_near_copies_is_joined_by_its_heads(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    seen = tables_seen(monkeypatch)
+    got = jaccard.jaccard_groups(spark.createDataFrame(star_of_near_copies(60), DOCS)).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert sum(seen["open-pairs"]) <= 60
+
+
+def test_refilled_prefixes_are_not_read_again_from_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    seen = tables_seen(monkeypatch)
+    line = "one line that very many of all documents have in common"
+    made = [(i, f"{line} " + " ".join(f"w{i}x{j}" for j in range(300)), "en", "s", 1, 1, 0.0) for i in range(60)]
+    got = jaccard.jaccard_groups(spark.createDataFrame(made, DOCS)).collect()
+    assert {r["component_id"] for r in got} == set(range(60))
+    assert max(seen["lost-tokens"]) > 10 and sum(seen["moved-tokens"]) == 0
+
+
+def test_pairs_of_long_lists_come_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG", 6)
+    monkeypatch.setattr(jaccard, "FIRST", 2)
+    rng = np.random.default_rng(13)
+    members = {s: np.flatnonzero(rng.random(40) < rng.choice([0.1, 0.5, 0.9])).tolist() for s in range(30)}
+    component = {rep: int(rng.integers(0, 25)) for rep in range(40)}
+    rows = [(s, rep, 100 + 5 * (rep % 8), len(own), component[rep]) for s, own in members.items() for rep in own]
+    lists = spark.createDataFrame(rows, "signature long, rep long, n int, sets long, component long")
+    got = [(r["a"], r["b"]) for r in jaccard.pairs_across(lists).collect()]
+    size = {rep: 100 + 5 * (rep % 8) for rep in range(40)}
+    want = {
+        (a, b) for own in members.values() for a in own for b in own
+        if a > b and component[a] != component[b] and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b])
+    }
+    assert sorted(got) == sorted(want)
+
+
 def test_prefixes_share_a_signature_whenever_sets_link():
     rng = np.random.default_rng(8)
     for n in (4, 5, 17, 40, 90, 400):
