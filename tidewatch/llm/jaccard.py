@@ -316,6 +316,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     near = cut_lineage(spark, possible(pairs, reps), "near-pairs")
+    if near.isEmpty():
+        return near
     named = cut_lineage(spark, sets_in(near, reps), "near-sets")
     wide = wide_bits_of(docs, named)
     nearer = cut_lineage(spark, possible(near, wide), "nearer-pairs")
